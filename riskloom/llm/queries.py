@@ -23,7 +23,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = base.new_path(spark, "token_files")
     token_files.write_token_files(read(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
-    rows = token_files.with_starts(token_files.with_crc(token_files.read_token_files(spark, path)))
+    metadata = token_files.read_token_files(spark, path, ["shard", "n_tokens"])
+    rows = token_files.with_starts(token_files.with_crc(token_files.read_token_files(spark, path)), metadata)
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -51,7 +51,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, drops_space:
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, drops_space: bool = True, row_group_bytes: int = 32 << 20, page_rows: int = 128, page_bytes: int = 256 << 10) -> None:
     """Encodes whole texts and writes them in ascending order of ``doc_id`` below ``path``."""
-    ordered = base.texts(docs).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
+    ordered = base.texts(docs).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "h").drop("h")
     rows = encode_documents(ordered, tokenizer, end_id, drops_space)
     options = {
         "parquet.writer.version": "v2",
@@ -74,12 +74,12 @@ def read_token_files(spark: SparkSession, path: str, columns: list[str] | None =
     return df.select(*columns) if columns else df
 
 
-def with_starts(rows: DataFrame) -> DataFrame:
+def with_starts(rows: DataFrame, metadata: DataFrame) -> DataFrame:
     """Replaces the start within the shard by the start within all documents.
 
-    The broadcast table has one row per written shard.
+    ``metadata`` has the columns shard and n_tokens of all rows. The broadcast table has one row per written shard.
     """
-    bases = base.running_base(rows.groupBy("shard").agg(F.sum("n_tokens").alias("total")), "shard", "total", "base")
+    bases = base.running_base(metadata.groupBy("shard").agg(F.sum("n_tokens").alias("total")), "shard", "total", "base")
     return rows.join(F.broadcast(bases.select("shard", "base")), "shard").withColumn("start", F.col("start") + F.col("base")).drop("base")
 
 

@@ -17,6 +17,7 @@ ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u206f\u3000\ufeff]
 STRETCH = re.compile(r"[ \t\n\r\v\f]*[^ \t\n\r\v\f]+|[ \t\n\r\v\f]+")
 #: Stretches kept by a worker, and the longest that is kept.
 KEPT, KEPT_CHARS = 1_200_000, 48
+MARKS = ".,;:!?"
 
 
 class Encoder:
@@ -28,18 +29,31 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.stretches = str.split if drops_space else STRETCH.findall
+        self.lowers = drops_space
         self.known: dict[str, bytes] = {}
 
     def _encode(self, batch: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
 
+    def _core(self, stretch: str) -> tuple[str, str]:
+        """The stretch without the marks at its end, and these: both vocabularies cut between a letter or digit and
+        a mark. The word vocabulary also lower-cases, so ASCII capitals need not be encoded again."""
+        core = stretch.rstrip(MARKS)
+        if not core or not core[-1].isalnum():
+            core = stretch
+        tail = stretch[len(core) :]
+        return (core.lower() if self.lowers and core.isascii() else core), tail
+
     def encode(self, batch: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > KEPT:
             known.clear()
         split = [None if ODD_SPACE.search(t) else self.stretches(t) for t in batch]
-        fresh = list({s for x in split if x for s in x if s not in known})
-        known.update(zip(fresh, self._encode(fresh), strict=True))
+        fresh = {s: self._core(s) for s in {s for x in split if x for s in x if s not in known}}
+        parts = list({p for both in fresh.values() for p in both if p and p not in known})
+        coded = dict(zip(parts, self._encode(parts), strict=True))
+        of = lambda p: coded[p] if p in coded else known[p]
+        known.update({s: of(core) + of(tail) if tail else of(core) for s, (core, tail) in fresh.items()})
         whole = iter(self._encode([t for t, x in zip(batch, split, strict=True) if x is None]))
         get = known.__getitem__
         out = [next(whole) if x is None else b"".join(map(get, x)) for x in split]
