@@ -3,10 +3,10 @@
 Each permutation of the shingle hashes gives two signature values, its minimum and its maximum, so the number of
 hash evaluations is half the number of values. Bands of four values (two permutations) are hashed to buckets.
 Documents with equal shingle sets form a class, which takes part once. Within a bucket every class is compared
-with the bucket's smallest member, its centre. Members that this leaves in different components meet again in
-buckets of the items that they have and the centre lacks; only members with so few such items that they could be
-linked without sharing one are compared directly. So no link between different texts of a bucket is lost, and a
-group of near copies is not expanded to its pairs. Every link is confirmed on the full shingle sets.
+with the bucket's smallest member, its centre. Members of a bucket that this leaves in different components are
+compared if their bits allow it: of 1,024 bits, one for each minimum and maximum under 512 more permutations, two
+sets at the threshold differ in more than the allowed number once in ten million pairs. So a group of near copies
+is not expanded to its pairs, and every link is confirmed on the full shingle sets.
 
 With 20 bands of four values, two sets at similarity s meet in a bucket with probability 1 - (1 - s^4)^20: all but
 4 in ten million at 0.85.
@@ -79,8 +79,21 @@ def sketch(docs: DataFrame, bands: int, per_band: int, shingle: int) -> DataFram
     return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, items): the whole set of each document as sorted 64-bit hashes."""
+def agreement_bits(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """``words`` 64-bit words for each (non-empty) set: one bit of each minimum and maximum under 32 permutations a word."""
+    flat = np.concatenate(sets)
+    starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
+    out = np.zeros((len(sets), words), np.uint64)
+    factors = multipliers(words * 32 + 1000)[1000:]
+    for k, f in enumerate(factors):
+        x = flat * f
+        for least in (np.minimum.reduceat(x, starts), np.maximum.reduceat(x, starts)):
+            out[:, k // 32] = (out[:, k // 32] << np.uint64(1)) | (mixed(least) & np.uint64(1))
+    return out
+
+
+def shingle_sets(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """(doc_id, items, bits): the whole set of each document as ascending unsigned 64-bit hashes, and its bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -88,15 +101,17 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 sets = batch_sets(b["text"], hashes, shingle)
-                lists = base.list_array(np.concatenate(sets).view(np.int64), np.array([len(s) for s in sets]), pa.int64())
-                yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), lists], ["doc_id", "items"])
+                n = np.array([len(s) for s in sets])
+                full = [s for s in sets if len(s)]
+                bits = agreement_bits(full, words) if full else np.empty((0, words), np.uint64)
+                lists = base.list_array(np.concatenate(sets).view(np.int64), n, pa.int64())
+                yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), lists, base.list_array(bits.reshape(-1).view(np.int64), np.where(n > 0, words, 0), pa.int64())], ["doc_id", "items", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, items array<long>")
+    return docs.mapInArrow(run, "doc_id long, items array<long>, bits array<long>").where(F.size("items") > 0)
 
 
-def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked, own, size, extra): whether the full sets of a and b reach the similarity, how many items of b
-    are not in a, how many items a has, and the items of b that are not in a."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     other = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
     both = pairs.join(one, "a").join(other, "b")
@@ -105,75 +120,59 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for t in batches:
             i, x = base.list_parts(t["x"])
             j, y = base.list_parts(t["y"])
-            linked, extra = np.zeros(t.num_rows, bool), []
+            x, y = x.view(np.uint64), y.view(np.uint64)
+            keep = np.zeros(t.num_rows, bool)
             for k in range(t.num_rows):
-                p, q = x[i[k] : i[k + 1]].view(np.uint64), y[j[k] : j[k + 1]].view(np.uint64)
-                at = np.searchsorted(p, q)
-                fresh = q[p[np.minimum(at, len(p) - 1)] != q]
-                common = len(q) - len(fresh)
-                linked[k] = 100 * common >= percent * (len(p) + len(fresh))
-                extra.append(fresh.view(np.int64))
-            own = np.array([len(e) for e in extra], np.int64)
-            lists = base.list_array(np.concatenate(extra) if extra else np.empty(0, np.int64), own, pa.int64())
-            yield pa.RecordBatch.from_arrays([t["a"], t["b"], pa.array(linked), pa.array(own), pa.array(np.diff(i)), lists], ["a", "b", "linked", "own", "size", "extra"])
+                p, q = x[i[k] : i[k + 1]], y[j[k] : j[k + 1]]
+                if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
+                    common = int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum())
+                    keep[k] = 100 * common >= percent * (len(p) + len(q) - common)
+            yield pa.RecordBatch.from_arrays([t["a"], t["b"]], ["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(compare, "a long, b long, linked boolean, own long, size long, extra array<long>")
+    return both.mapInArrow(compare, "a long, b long").distinct()
 
 
-def buckets_of(members: DataFrame) -> DataFrame:
-    """(bucket, node, centre) for buckets with several nodes; the centre is the smallest."""
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """(band, bucket, node, centre) for buckets with several nodes; the centre is the smallest."""
     centres = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre != last").select("bucket", "centre")
     return members.join(centres, "bucket").where("node != centre")
 
 
-def differing(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose nodes lie in different components."""
-    one = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    other = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(one, "a", "left").join(other, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+def far_bits(percent: int, words: int) -> int:
+    """The most bits of all in which two sets at the similarity differ, but for one pair in ten million (5.3 sigma)."""
+    n, differ = 64 * words, (1 - percent / 100) / 2
+    return int(n * differ + 5.3 * (n * differ * (1 - differ)) ** 0.5) + 1
 
 
-def cross_pairs(rows: DataFrame, found: DataFrame, condition: str) -> DataFrame:
-    """Pairs (a, b) of nodes of one bucket that lie in different components and meet the condition (of one, other)."""
-    labelled = base.stored(rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
-    split = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-    apart = labelled.join(split, "bucket")
+def left_apart(shared: DataFrame, found: DataFrame, sketches: DataFrame, percent: int, words: int) -> DataFrame:
+    """Pairs (a, b) of one bucket in different components whose bits allow a link, each in its first common band."""
+    rows = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = base.stored(rows.select("band", "bucket", "node", "component"), "labelled")
+    split = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
+    apart = base.stored(rows.join(split, "bucket").join(sketches, "node"), "apart")
     one, other = apart.alias("one"), apart.alias("other")
-    met = one.join(other, (F.col("one.bucket") == F.col("other.bucket")) & (F.col("one.component") < F.col("other.component")) & F.expr(condition))
-    return met.select(F.col("one.node").alias("a"), F.col("other.node").alias("b")).distinct()
+    differ = " + ".join(f"bit_count(one.bits[{i}] ^ other.bits[{i}])" for i in range(words))
+    first = "array_position(zip_with(one.bands, other.bands, (x, y) -> x = y), true) = one.band"
+    met = one.join(other, (F.col("one.bucket") == F.col("other.bucket")) & (F.col("one.component") < F.col("other.component")) & F.expr(f"({differ}) <= {far_bits(percent, words)} and {first}"))
+    return met.select(F.col("one.node").alias("a"), F.col("other.node").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, per_band: int = PERMUTATIONS_OF_BAND, shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, per_band: int = PERMUTATIONS_OF_BAND, shingle: int = SHINGLE, words: int = 16) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): links are pairs with 100 * intersection >= percent * union."""
     source = base.texts(docs)
     rows = base.stored(sketch(source, bands, per_band, shingle), "sketch")
     named = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = base.stored(named.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("k1", "k2", F.col("r.doc_id").alias("node"), F.col("r.bands").alias("bands")), "classes")
-    members = classes.select(F.explode("bands").alias("bucket"), "node")
-    shared = base.stored(buckets_of(members), "shared")
+    members = classes.select(F.posexplode("bands").alias("band", "bucket"), "node").withColumn("band", F.col("band") + 1)
+    shared = base.stored(shared_buckets(members), "shared")
     stars = base.stored(shared.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     ids = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
-    sets = base.stored(shingle_sets(source.join(ids, "doc_id", "left_semi"), shingle), "sets")
-    against = base.stored(compared(stars, sets, percent), "against")
-    links = against.where("linked").select("a", "b")
-    found = components(links)
-
-    # Two nodes compared with the same centre, each with items the centre lacks: if they share none of these, their
-    # difference is at least the sum of both counts, so they can be linked only if that sum is small. All others
-    # share such an item and meet in its bucket.
-    extras = against.select(F.explode("extra").alias("item"), "a", F.col("b").alias("node")).select(F.xxhash64("a", "item").alias("bucket"), "node")
-    close = base.stored(buckets_of(extras), "close")
-    again = close.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct().join(against.select("a", "b"), ["a", "b"], "left_anti")
-    again = base.stored(differing(again, found), "again")
-    more = base.stored(compared(again, sets, percent).where("linked").select("a", "b"), "confirmed")
-    links = links.unionByName(more)
+    sets = base.stored(shingle_sets(source.join(ids, "doc_id", "left_semi"), shingle, words), "sets")
+    links = base.stored(confirmed(stars, sets, percent), "confirmed")
     found = components(links)
-
-    counted = shared.join(against.select(F.col("a").alias("centre"), F.col("b").alias("node"), "own", "size"), ["centre", "node"])
-    few = cross_pairs(counted.select("bucket", "node", "own", "size"), found, f"(one.own + other.own) * {percent} <= {100 - percent} * one.size")
-    near = cross_pairs(close.select("bucket", "node"), found, "true")
-    rest = base.stored(few.unionByName(near).distinct(), "rest")
-    more = base.stored(compared(rest, sets, percent).where("linked").select("a", "b"), "confirmed")
+    sketches = sets.select(F.col("doc_id").alias("node"), "bits").join(classes.select("node", "bands"), "node").distinct()
+    rest = base.stored(left_apart(shared, found, sketches, percent, words).distinct(), "rest")
+    more = base.stored(confirmed(rest, sets, percent), "confirmed")
     if not more.isEmpty():
         found = components(links.unionByName(more))
 

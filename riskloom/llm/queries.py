@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, minmax, quality, token_files
+from . import base, minmax, packing, quality, token_files
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,6 +28,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces, _ = packing.packed(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, size=1024)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op7_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
