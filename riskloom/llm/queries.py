@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, minmax, packing, quality, token_files
+from . import base, katz, minmax, packing, quality, repeats, token_files
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,11 +28,21 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = katz.scored(read(spark, sf_dir, "documents"), base.remainder("doc_id", 10) == 0, base.new_path(spark, "katz"))
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces, _ = packing.packed(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, size=1024)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.repeated_runs(repeats.hashed_texts(read(spark, sf_dir, "documents")), window=35)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
