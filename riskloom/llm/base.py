@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,11 +28,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/riskloom/{name}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are done: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage is cut there and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,3 +82,26 @@ def running_base(parts: DataFrame, order: str, total: str, base: str) -> DataFra
     from pyspark.sql import Window
 
     return parts.withColumn(base, F.sum(total).over(Window.orderBy(order)) - F.col(total))
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The runs of rows with equal (integer) keys in a sorted partition, whatever the batches' borders."""
+    held: list[pa.RecordBatch] = []
+    now: tuple | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b[k].to_numpy() for k in keys]
+        new = np.zeros(b.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        at = [0, *np.flatnonzero(new).tolist(), b.num_rows]
+        for i, j in zip(at[:-1], at[1:], strict=True):
+            key = tuple(int(c[i]) for c in columns)
+            if held and key != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(b.slice(i, j - i))
+    if held:
+        yield now, pa.Table.from_batches(held)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, katz, minmax, packing, quality, repeats, token_files
+from . import base, descent, hnsw, katz, minmax, packing, quality, repeats, token_files
 
 
 def tokenizer_path(name: str) -> str:
@@ -43,6 +43,11 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return hnsw.nearest(rows, rows.where("vec_id % 20 = 0"), n=20)
+
+
 def op7_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
@@ -54,6 +59,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", (base.remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descent.near_vectors(read(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in sorted(globals().items()) if k.startswith("op") and k[2].isdigit()}
 
