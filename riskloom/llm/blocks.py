@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import base
 
 #: A block is closed when it holds so many words.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 500_000
 SLICE = 512
 CHUNK = "part int, block long, keys binary, data binary"
 
@@ -90,6 +90,13 @@ def blocks(docs: DataFrame, lower: bool, also: list[str], block_words: int = BLO
     return base.stored(docs.select(*kept, "text").mapInArrow(gather, f"block long, {arrays}, lengths binary, ids binary, vocab binary"), "blocks")
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row at a time: a block's arrays are large."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import base
-from .blocks import CHUNK, Block, answers, arrow_schema, batch, blocks, chunks, joined, parts_of, with_replies
+from .blocks import CHUNK, Block, answers, arrow_schema, batch, blocks, chunks, joined, pack, parts_of, rows_of, squeeze, with_replies
 from .words import STEP, mixed
 
 #: Counts up to this one are discounted.
@@ -110,13 +110,12 @@ def scored(docs: DataFrame, held_out: DataFrame | str, model_path: str, k: int =
     asks_arrow = arrow_schema(asks)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                g = Grams(Block(row))
-                for order, keys, n in zip((1, 2), (g.hash[:-1], g.pair_keys), g.counts(), strict=True):
-                    at = np.argsort(keys)
-                    if out := [(order, *c) for c in chunks(row["block"], keys[at], [n[at]], parts)]:
-                        yield batch(out, asks_arrow)
+        for row in rows_of(batches):
+            g = Grams(Block(row))
+            for order, keys, n in zip((1, 2), (g.hash[:-1], g.pair_keys), g.counts(), strict=True):
+                at = np.argsort(keys)
+                if out := [(order, *c) for c in chunks(row["block"], keys[at], [n[at]], parts)]:
+                    yield batch(out, asks_arrow)
 
     def count(keys, inverse, columns):
         n = columns[0]
@@ -127,11 +126,12 @@ def scored(docs: DataFrame, held_out: DataFrame | str, model_path: str, k: int =
         known = keys[total > 0]
         c = total[total > 0]
         of_counts = np.bincount(np.minimum(c, k + 2), minlength=k + 3)[1 : k + 2].tolist()
-        return (total[inverse] * 2 + owner).astype(np.uint64), (known.tobytes(), c.astype(np.uint32).tobytes(), of_counts, int(c.sum()), len(c))
+        return (total[inverse] * 2 + owner).astype(np.uint64), (pack(known), squeeze(c.astype(np.uint32)), of_counts, int(c.sum()), len(c))
 
     answered = answers(slim.mapInArrow(ask, asks), [np.uint32], count, "grams binary, counts binary, n_r array<long>, total long, distinct long", ("order", "part"))
     path = f"{model_path}/counts"
     answered.withColumn("model", F.col("block").isNull()).write.partitionBy("model", "order").option("compression", "zstd").parquet(path)
+    base.release(docs.sparkSession)
     table = docs.sparkSession.read.schema(f"{', '.join(f'{n} {t}' for n, t in answered.dtypes)}, model boolean").parquet(path)
     facts = table.where("model").select("order", "total", "distinct", F.posexplode("n_r").alias("r", "n"))
     known = {(x["order"], x["r"]): x for x in facts.groupBy("order", "r").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct"), F.sum("n").alias("n")).collect()}
@@ -146,36 +146,35 @@ def scored(docs: DataFrame, held_out: DataFrame | str, model_path: str, k: int =
     shape_arrow = arrow_schema(shape)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                g = Grams(Block(row))
-                docs_here = len(g.n)
-                one, two = np.empty(len(g.hash) - 1, np.uint64), np.empty(len(g.first), np.uint64)
-                one[np.argsort(g.hash[:-1])] = joined(row["one"], np.uint64)
-                two[np.argsort(g.pair_keys)] = joined(row["two"], np.uint64)
-                own = (two & np.uint64(1)).astype(bool)
-                one, two = (one >> np.uint64(1)).astype(np.int64), (two >> np.uint64(1)).astype(np.int64)
-                history = np.append(one, law.documents)
-                simple = law.unigram(one)
-                share = law.kept(two, 2) / np.maximum(1, history[g.first])
-                logs = np.log10(np.where(two > 0, np.maximum(share, 1e-300), np.maximum(simple[g.second], 1e-300)))
-                of_doc = lambda per_token: np.bincount(g.doc, per_token, docs_here)
-                is_open = ((two == 0) & (history[g.first] > 0))[g.pair]
-                needs = np.zeros(len(g.hash), bool)
-                needs[g.first[g.pair[is_open]]] = True
-                needs[g.first[own]] = True
-                asked = np.flatnonzero(needs)
-                asked = asked[np.argsort(g.hash[asked])]
-                place = np.zeros(len(g.hash), np.int32)
-                place[asked] = np.arange(len(asked))
-                spent = np.bincount(g.first[own], share[own], len(g.hash))[asked]
-                covered = np.bincount(g.first[own], simple[g.second[own]], len(g.hash))[asked]
-                yield batch(
-                    [(0, None, row["block"], None, None, row["doc_ids"], row["held"], g.n.tolist(), of_doc(one[g.tokens] > 0).astype(np.int64).tolist(), of_doc(law.baseline(one)[g.tokens]).tolist(), of_doc(logs[g.pair]).tolist(), g.doc[is_open].astype(np.int32).tobytes(), place[g.first[g.pair[is_open]]].tobytes())],
-                    shape_arrow,
-                )
-                if out := [(1, *c, *[None] * 8) for c in chunks(row["block"], g.hash[asked], [spent, covered], parts)]:
-                    yield batch(out, shape_arrow)
+        for row in rows_of(batches):
+            g = Grams(Block(row))
+            docs_here = len(g.n)
+            one, two = np.empty(len(g.hash) - 1, np.uint64), np.empty(len(g.first), np.uint64)
+            one[np.argsort(g.hash[:-1])] = joined(row["one"], np.uint64)
+            two[np.argsort(g.pair_keys)] = joined(row["two"], np.uint64)
+            own = (two & np.uint64(1)).astype(bool)
+            one, two = (one >> np.uint64(1)).astype(np.int64), (two >> np.uint64(1)).astype(np.int64)
+            history = np.append(one, law.documents)
+            simple = law.unigram(one)
+            share = law.kept(two, 2) / np.maximum(1, history[g.first])
+            logs = np.log10(np.where(two > 0, np.maximum(share, 1e-300), np.maximum(simple[g.second], 1e-300)))
+            of_doc = lambda per_token: np.bincount(g.doc, per_token, docs_here)
+            is_open = ((two == 0) & (history[g.first] > 0))[g.pair]
+            needs = np.zeros(len(g.hash), bool)
+            needs[g.first[g.pair[is_open]]] = True
+            needs[g.first[own]] = True
+            asked = np.flatnonzero(needs)
+            asked = asked[np.argsort(g.hash[asked])]
+            place = np.zeros(len(g.hash), np.int32)
+            place[asked] = np.arange(len(asked))
+            spent = np.bincount(g.first[own], share[own], len(g.hash))[asked]
+            covered = np.bincount(g.first[own], simple[g.second[own]], len(g.hash))[asked]
+            yield batch(
+                [(0, None, row["block"], None, None, row["doc_ids"], row["held"], g.n.tolist(), of_doc(one[g.tokens] > 0).astype(np.int64).tolist(), of_doc(law.baseline(one)[g.tokens]).tolist(), of_doc(logs[g.pair]).tolist(), g.doc[is_open].astype(np.int32).tobytes(), place[g.first[g.pair[is_open]]].tobytes())],
+                shape_arrow,
+            )
+            if out := [(1, *c, *[None] * 8) for c in chunks(row["block"], g.hash[asked], [spent, covered], parts)]:
+                yield batch(out, shape_arrow)
 
     def told(order: int) -> DataFrame:
         return table.where(f"not model and order = {order}").select("part", "block", "data")
@@ -183,25 +182,26 @@ def scored(docs: DataFrame, held_out: DataFrame | str, model_path: str, k: int =
     whole = with_replies(with_replies(stored, told(1), "one"), told(2), "two")
     resolved = base.new_path(docs.sparkSession, "resolved")
     whole.mapInArrow(resolve, shape).write.partitionBy("kind").option("compression", "zstd").parquet(resolved)
+    base.release(docs.sparkSession)
     halves = docs.sparkSession.read.schema(shape).parquet(resolved)
 
     def weigh(keys, inverse, columns):
         spent, covered = (np.bincount(inverse, c, len(keys)) for c in columns)
         weight = np.maximum(1 - spent, 1e-12) / np.maximum(1 - covered, 1e-12)
-        return weight[inverse], (keys.tobytes(), weight.tobytes())
+        return weight[inverse], (pack(keys), weight.tobytes())
 
     weights = answers(halves.where("kind = 1").select("part", "block", "keys", "data"), [np.float64, np.float64], weigh, "histories binary, weights binary")
     path = f"{model_path}/weights"
     weights.withColumn("model", F.col("block").isNull()).write.partitionBy("model").option("compression", "zstd").parquet(path)
+    base.release(docs.sparkSession)
     weights = docs.sparkSession.read.schema(f"{', '.join(f'{n} {t}' for n, t in weights.dtypes)}, model boolean").parquet(path)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                weight = np.log10(joined(row["weights"], np.float64))
-                doc, at = np.frombuffer(row["open_doc"], np.int32), np.frombuffer(row["open_history"], np.int32)
-                total = np.array(row["seen"]) + np.bincount(doc, weight[at], len(row["n"]))
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"]), pa.array(row["n"], pa.int64()), pa.array(row["n_known"], pa.int64()), pa.array(row["base"]), pa.array(total)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        for row in rows_of(batches):
+            weight = np.log10(joined(row["weights"], np.float64))
+            doc, at = np.frombuffer(row["open_doc"], np.int32), np.frombuffer(row["open_history"], np.int32)
+            total = np.array(row["seen"]) + np.bincount(doc, weight[at], len(row["n"]))
+            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"]), pa.array(row["n"], pa.int64()), pa.array(row["n_known"], pa.int64()), pa.array(row["base"]), pa.array(total)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     final = with_replies(halves.where("kind = 0").drop("kind", "part", "keys", "data"), weights.where("not model").select("part", "block", "data"), "weights")
     return final.mapInArrow(finish, RESULT).withColumn("train_tokens", F.lit(int(law.tokens)).cast("long"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import base
-from .blocks import CHUNK, Block, answers, arrow_schema, batch, blocks, chunks, joined, parts_of, with_replies
+from .blocks import CHUNK, Block, answers, arrow_schema, batch, blocks, chunks, joined, parts_of, rows_of, with_replies
 from .words import mixed, powers, runs
 
 WINDOW, KMER = 35, 8
@@ -53,7 +53,8 @@ class Graph:
             return
         kmers = runs(h, k)
         width = window - k + 1
-        best = np.lib.stride_tricks.sliding_window_view(kmers, width).argmin(axis=1)
+        slid = np.lib.stride_tricks.sliding_window_view(kmers, width)
+        best = np.concatenate([slid[i : i + 16384].argmin(axis=1) for i in range(0, len(slid), 16384)])
         place = np.arange(n - window + 1)[ok] + best[ok]
         self.place, self.anchor = np.unique(place, return_inverse=True)
         self.keys = kmers[self.place]
@@ -110,12 +111,11 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = KMER, with_pat
     arrow = arrow_schema(CHUNK)
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                g = Graph(Block(row), window, k)
-                keys, n, context, one = distinct(g.keys, g.context)
-                if rows := list(chunks(row["block"], keys, [n, context, one], parts)):
-                    yield batch(rows, arrow)
+        for row in rows_of(batches):
+            g = Graph(Block(row), window, k)
+            keys, n, context, one = distinct(g.keys, g.context)
+            if rows := list(chunks(row["block"], keys, [n, context, one], parts)):
+                yield batch(rows, arrow)
 
     def kinds(keys, inverse, columns):
         n, context, one = columns
@@ -135,13 +135,12 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = KMER, with_pat
         return joined(replies, np.uint8)[at] if len(keys) else np.empty(0, np.uint8)
 
     def open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                g = Graph(Block(row), window, k)
-                _, is_open = g.decided(of_anchors(g, row["kinds"]))
-                keys, n = np.unique(g.windows[is_open], return_counts=True)
-                if rows := list(chunks(row["block"], keys, [n.astype(np.uint32)], parts)):
-                    yield batch(rows, arrow)
+        for row in rows_of(batches):
+            g = Graph(Block(row), window, k)
+            _, is_open = g.decided(of_anchors(g, row["kinds"]))
+            keys, n = np.unique(g.windows[is_open], return_counts=True)
+            if rows := list(chunks(row["block"], keys, [n.astype(np.uint32)], parts)):
+                yield batch(rows, arrow)
 
     def often(keys, inverse, columns):
         return (np.bincount(inverse, columns[0], len(keys)) > 1)[inverse], ()
@@ -150,44 +149,43 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = KMER, with_pat
     verified = base.stored(answers(known.mapInArrow(open_windows, CHUNK), [np.uint32], often), "windows")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                block = Block(row)
-                g = Graph(block, window, k)
-                kind = of_anchors(g, row["kinds"])
-                hit, is_open = g.decided(kind)
-                _, at = np.unique(g.windows[is_open], return_inverse=True)
-                if is_open.any():
-                    hit[is_open] = joined(row["often"], np.bool_)[at]
-                covered = np.zeros(len(block.ids) + 1, np.int64)
-                np.add.at(covered, g.starts[hit], 1)
-                np.add.at(covered, g.starts[hit] + window, -1)
-                removed = np.cumsum(covered[:-1]) > 0
-                ends = np.cumsum(block.lengths)
-                gone = np.concatenate(([0], np.cumsum(removed)))
-                n_removed = gone[ends] - gone[ends - block.lengths]
-                shas, spans = [], []
-                for n, e, r in zip(block.lengths.tolist(), ends.tolist(), n_removed.tolist(), strict=True):
-                    ids = block.ids[e - n : e]
-                    here = []
-                    if r:
-                        mask = removed[e - n : e]
-                        ids = ids[~mask]
-                        edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0])))).reshape(-1, 2).tolist()
-                        here = [{"start": s, "length": t - s} for s, t in edges]
-                    spans.append(here)
-                    shas.append(hashlib.sha256(b" ".join(map(block.vocab.__getitem__, ids.tolist()))).hexdigest())
-                paths: list[list[dict]] = [[] for _ in shas]
-                if with_paths:
-                    base_of = ends - block.lengths
-                    first, _, begin, end = g.paths(kind)
-                    for f, s, e in zip(first.tolist(), begin.tolist(), end.tolist(), strict=True):
-                        d = int(g.doc[s])
-                        paths[d].append({"head": int(g.keys[f].view(np.int64)), "start": s - int(base_of[d]), "length": e - s})
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(row["h"], pa.int64()), pa.array(block.lengths), pa.array(n_removed), pa.array(shas, pa.string()), pa.array(spans, SPANS), pa.array(paths, PATHS)],
-                    ["doc_id", "h", "n_words", "n_removed", "kept_sha256", "spans", "paths"],
-                )
+        for row in rows_of(batches):
+            block = Block(row)
+            g = Graph(block, window, k)
+            kind = of_anchors(g, row["kinds"])
+            hit, is_open = g.decided(kind)
+            _, at = np.unique(g.windows[is_open], return_inverse=True)
+            if is_open.any():
+                hit[is_open] = joined(row["often"], np.bool_)[at]
+            covered = np.zeros(len(block.ids) + 1, np.int64)
+            np.add.at(covered, g.starts[hit], 1)
+            np.add.at(covered, g.starts[hit] + window, -1)
+            removed = np.cumsum(covered[:-1]) > 0
+            ends = np.cumsum(block.lengths)
+            gone = np.concatenate(([0], np.cumsum(removed)))
+            n_removed = gone[ends] - gone[ends - block.lengths]
+            shas, spans = [], []
+            for n, e, r in zip(block.lengths.tolist(), ends.tolist(), n_removed.tolist(), strict=True):
+                ids = block.ids[e - n : e]
+                here = []
+                if r:
+                    mask = removed[e - n : e]
+                    ids = ids[~mask]
+                    edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0])))).reshape(-1, 2).tolist()
+                    here = [{"start": s, "length": t - s} for s, t in edges]
+                spans.append(here)
+                shas.append(hashlib.sha256(b" ".join(map(block.vocab.__getitem__, ids.tolist()))).hexdigest())
+            paths: list[list[dict]] = [[] for _ in shas]
+            if with_paths:
+                base_of = ends - block.lengths
+                first, _, begin, end = g.paths(kind)
+                for f, s, e in zip(first.tolist(), begin.tolist(), end.tolist(), strict=True):
+                    d = int(g.doc[s])
+                    paths[d].append({"head": int(g.keys[f].view(np.int64)), "start": s - int(base_of[d]), "length": e - s})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row["doc_ids"], pa.int64()), pa.array(row["h"], pa.int64()), pa.array(block.lengths), pa.array(n_removed), pa.array(shas, pa.string()), pa.array(spans, SPANS), pa.array(paths, PATHS)],
+                ["doc_id", "h", "n_words", "n_removed", "kept_sha256", "spans", "paths"],
+            )
 
     whole = with_replies(with_replies(stored, node_kinds, "kinds"), verified, "often")
     return whole.mapInArrow(finish, RESULT)
