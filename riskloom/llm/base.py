@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -30,8 +31,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of jobs that are done: it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for pause in (0.2, 0.5):  # the job's last events are told to listeners first
+        time.sleep(pause)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -112,17 +112,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, held_out_by
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", also: list[str] | None = None) -> DataFrame:
-    """(doc_id, ``also``, score): the calibrated probability that a whole text is good."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", also: list[str] | None = None, with_text: bool = False) -> DataFrame:
+    """(doc_id, ``also``, score): the calibrated probability that a whole text is good; ``with_text`` adds the text as it is."""
     also = also or []
-    source = docs.select(F.col(id_col).alias("doc_id"), *also, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    kind = source.drop("__text").withColumn("score", F.lit(0.0)).schema
+    source = docs.select(F.col(id_col).alias("doc_id"), *also, F.col(text_col).alias("__text"))
+    names = ["doc_id", *also, *(["text"] if with_text else [])]
+    kind = source.withColumnRenamed("__text", "text").select(*names, F.lit(0.0).alias("score")).schema
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, bad = (c.compress for c in model.compressors()) if model.good else (None, None)
         for b in batches:
             x = np.array([differences(t, good, bad) if good else (0.0, 0.0) for t in base.text_bytes(b["__text"])]).reshape(-1, 2)
             p = 1 / (1 + np.exp(-np.clip(x @ model.weights[:2] + model.weights[2], -35, 35)))
-            yield pa.RecordBatch.from_arrays([b[c] for c in ("doc_id", *also)] + [pa.array(p, pa.float64())], ["doc_id", *also, "score"])
+            yield pa.RecordBatch.from_arrays([b["__text" if c == "text" else c] for c in names] + [pa.array(p, pa.float64())], [*names, "score"])
 
     return source.mapInArrow(rate, kind)
