@@ -9,12 +9,12 @@ So a key that is frequent in the corpus is sent once for each block, and the ans
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +41,9 @@ class Block:
     def __init__(self, row: dict):
         self.id: int = row["block"]
         self.lengths = np.frombuffer(row["lengths"], np.int64)
-        self.ids = np.frombuffer(row["ids"], np.int32)
-        self.vocab: list[bytes] = row["vocab"].split(b" ") if row["vocab"] else []
+        self.ids = expand(row["ids"], np.int32)
+        words = zstandard.decompress(row["vocab"])
+        self.vocab: list[bytes] = words.split(b" ") if words else []
         self.row = row
 
     def hashes(self) -> np.ndarray:
@@ -63,7 +64,7 @@ def blocks(docs: DataFrame, lower: bool, also: list[str], block_words: int = BLO
         def close() -> pa.RecordBatch:
             flat = np.concatenate([*words, np.empty(0, np.int32)]).astype(np.int32)
             arrays = [pa.array([block]), *(pa.array([c], pa.list_(kinds[i])) for i, c in enumerate(columns))]
-            arrays += [pa.array([np.array(lengths, np.int64).tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary()), pa.array([b" ".join(ids)], pa.binary())]
+            arrays += [pa.array([np.array(lengths, np.int64).tobytes()], pa.binary()), pa.array([squeeze(flat)], pa.binary()), pa.array([zstandard.compress(b" ".join(ids), 1)], pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, ["block", "doc_ids", *also, "lengths", "ids", "vocab"])
 
         kinds: list[pa.DataType] = []
@@ -127,11 +128,16 @@ def unpack(raw: bytes) -> np.ndarray:
 
 
 def squeeze(values: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(values).tobytes(), 1)
+    """Compressed values, their first bytes first: small numbers then are long runs of zeros."""
+    values = np.ascontiguousarray(values)
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1) if len(values) else b""
 
 
 def expand(raw: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw), kind)
+    if not raw:
+        return np.empty(0, kind)
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def cut(keys: np.ndarray, parts: int) -> np.ndarray:

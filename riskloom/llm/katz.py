@@ -29,8 +29,8 @@ from . import base
 from .blocks import CHUNK, Block, answers, arrow_schema, batch, blocks, chunks, joined, pack, parts_of, rows_of, squeeze, with_replies
 from .words import STEP, mixed
 
-#: Counts up to this one are discounted.
-K = 5
+#: Counts up to this one are discounted; words of a block.
+K, BLOCK_WORDS = 5, 1_000_000
 END, START = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -103,7 +103,7 @@ def scored(docs: DataFrame, held_out: DataFrame | str, model_path: str, k: int =
     ``held_out`` is a boolean SQL condition on doc_id; the model learns from the rows where it is false.
     """
     rows = base.texts(docs).withColumn("held", F.expr(held_out) if isinstance(held_out, str) else held_out)
-    stored = blocks(rows, True, ["held"])
+    stored = blocks(rows, True, ["held"], BLOCK_WORDS)
     slim = stored.select("block", "held", "lengths", "ids", "vocab")
     parts = parts_of(docs)
     asks = f"order int, {CHUNK}"
