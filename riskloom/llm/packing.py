@@ -67,9 +67,9 @@ def ranked(items: DataFrame) -> DataFrame:
             done += int(blocks.sum())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(kinds), shard, np.int32)), pa.array(place), pa.array(before)], [*b.schema.names, "shard", "place", "before"])
 
-    from pyspark.sql.types import LongType, StructType
+    from pyspark.sql.types import IntegerType, LongType, StructType
 
-    kind = StructType(dealt.schema.fields).add("shard", "int").add("place", LongType()).add("before", LongType())
+    kind = StructType(list(dealt.schema.fields)).add("shard", IntegerType()).add("place", LongType()).add("before", LongType())
     return dealt.mapInArrow(run, kind)
 
 
@@ -119,9 +119,9 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, drops_space: bool =
             sequence[kinds > 0], slot[kinds > 0] = item_places(plan, kinds[kinds > 0], ranks[kinds > 0])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sequence), pa.array(slot)], [*b.schema.names, "sequence", "slot"])
 
-    from pyspark.sql.types import LongType, StructType
+    from pyspark.sql.types import IntegerType, LongType, StructType
 
-    placed = base.stored(known.mapInArrow(place, StructType(known.schema.fields).add("sequence", LongType()).add("slot", LongType())), "placed")
+    placed = base.stored(known.mapInArrow(place, StructType(list(known.schema.fields)).add("sequence", LongType()).add("slot", LongType())), "placed")
     shape = ["row", "doc_id", "start", "length", "ids_crc32", F.col("n").alias("doc_tokens"), "sequence_id", "offset"]
     length = F.col("n") % size
     whole = placed.where("blocks > 0").select("row", "doc_id", "n", "first_block", F.posexplode(F.slice("crcs", F.lit(1), F.col("blocks").cast("int"))).alias("k", "ids_crc32"))
