@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from riskloom.functions import trigrams, versions
 from riskloom.session import table
 
 
@@ -44,9 +45,215 @@ select * from w where rn <= 3 or o_orderstatus = 'P'
 """
 
 
+def top_n_ranked_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best lines of each order by a severity score, ties by line number."""
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    score = F.coalesce(F.when(F.col("l_quantity") > 40, 9.5), F.when(F.col("l_returnflag") == "R", 9.0).when(F.col("l_returnflag") == "A", 7.5).otherwise(5.0))
+    rn = F.row_number().over(W.partitionBy("l_orderkey").orderBy(F.desc("score"), F.asc("l_linenumber")))
+    return t.withColumn("score", score).withColumn("rn", rn).where("rn <= 3").select("l_orderkey", "l_linenumber", "score", "rn")
+
+
+TOP_N_SQL = """
+select l_orderkey, l_linenumber, score, rn from (
+  select *, row_number() over (partition by l_orderkey order by score desc, l_linenumber) as rn from (
+    select l_orderkey, l_linenumber, coalesce(case when l_quantity > 40 then 9.5 end,
+      case l_returnflag when 'R' then 9.0 when 'A' then 7.5 else 5.0 end)::double as score from lineitem))
+where rn <= 3
+"""
+
+
+def distinct_on_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dearest part of each brand and type; the smaller key of equal ones."""
+    t = table(spark, sf_dir, "part")
+    best = F.max_by(F.struct("p_partkey", "p_retailprice"), F.struct("p_retailprice", -F.col("p_partkey"))).alias("b")
+    return t.groupBy("p_brand", "p_type").agg(best).select("p_brand", "p_type", "b.p_partkey", "b.p_retailprice")
+
+
+DISTINCT_ON_SQL = "select distinct on (p_brand, p_type) p_brand, p_type, p_partkey, p_retailprice from part order by p_brand, p_type, p_retailprice desc, p_partkey"
+
+
+def outlier_guarded_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greatest size of each brand, guarded against outliers: few wide values give way to the narrow ones, and a maximum far
+    beyond the 99th percentile gives way to it."""
+    t = table(spark, sf_dir, "part").select("p_brand", F.when(F.col("p_partkey") % 50 != 0, F.col("p_size")).otherwise(F.col("p_size") * 100).alias("major"))
+
+    def facts(name: str, where: str) -> list:
+        return [F.expr(f"{x} filter (where {where})").alias(f"{name}_{y}") for x, y in (("count(major)", "rows"), ("count(distinct major)", "distinct"), ("max(major)", "max"), ("percentile_disc(0.99) within group (order by major)", "p99"))]
+
+    g = t.groupBy("p_brand").agg(F.count("*").alias("cataloged"), *facts("every", "major is not null"), *facts("narrow", "major < 1000"), F.expr("count(*) filter (where major >= 1000)").alias("wide"))
+    use_narrow = (F.col("wide") > 0) & (F.col("wide") * 10 < F.col("every_rows")) & (F.col("narrow_rows") > 0)
+    g = g.select("p_brand", "cataloged", *(F.when(use_narrow, F.col(f"narrow_{x}")).otherwise(F.col(f"every_{x}")).cast("long").alias(x) for x in ("rows", "distinct", "max", "p99")))
+    guarded = (F.col("rows") >= 20) & (F.col("distinct") >= 3) & (F.col("p99") >= 4) & (F.col("max") > 4 * F.col("p99"))
+    return g.select("p_brand", "cataloged", F.when(guarded, F.col("p99")).otherwise(F.col("max")).alias("max_major"))
+
+
+OUTLIER_SQL = """
+with t as (select p_brand, case when p_partkey % 50 != 0 then p_size else p_size * 100 end as major from part),
+g as (select p_brand, count(*) as cataloged, count(major) as r, count(distinct major) as d, max(major) as m, quantile_disc(major, 0.99) as p,
+  count(*) filter (where major >= 1000) as w, count(*) filter (where major < 1000) as nr, count(distinct major) filter (where major < 1000) as nd,
+  max(major) filter (where major < 1000) as nm, quantile_disc(major, 0.99) filter (where major < 1000) as np from t group by p_brand),
+c as (select p_brand, cataloged, w > 0 and w * 10 < r and nr > 0 as n, * exclude (p_brand, cataloged) from g),
+u as (select p_brand, cataloged, case when n then nr else r end as r, case when n then nd else d end as d, case when n then nm else m end as m, case when n then np else p end as p from c)
+select p_brand, cataloged, (case when r >= 20 and d >= 3 and p >= 4 and m > 4 * p then p else m end)::bigint as max_major from u
+"""
+
+
+def coalesce_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merge that never replaces a value by null: new values win where there are any."""
+    t = table(spark, sf_dir, "supplier")
+    old = t.where("s_suppkey % 3 != 0").select("s_suppkey", F.col("s_name").alias("old_name"), F.col("s_acctbal").alias("old_bal"))
+    new = t.where("s_suppkey % 2 = 0").select("s_suppkey", F.upper("s_name").alias("new_name"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal") * 2).alias("new_bal"))
+    return old.join(new, "s_suppkey", "full").select("s_suppkey", F.coalesce("new_name", "old_name").alias("s_name"), F.coalesce("new_bal", "old_bal").alias("s_acctbal"))
+
+
+COALESCE_SQL = """
+with o as (select * from supplier where s_suppkey % 3 != 0),
+n as (select s_suppkey, upper(s_name) as s_name, case when s_acctbal > 0 then s_acctbal * 2 end as s_acctbal from supplier where s_suppkey % 2 = 0)
+select s_suppkey, coalesce(n.s_name, o.s_name) as s_name, coalesce(n.s_acctbal, o.s_acctbal) as s_acctbal from o full join n using (s_suppkey)
+"""
+
+
+def changed_only_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merge that rewrites only rows that differ, null-safely."""
+    t = table(spark, sf_dir, "part")
+    old = t.where("p_partkey % 5 != 0").select("p_partkey", F.col("p_brand").alias("old"))
+    new = t.where("p_partkey % 4 = 0").select("p_partkey", F.when(F.col("p_size") > 20, F.col("p_brand")).alias("new"), F.lit(True).alias("has_new"))
+    both = old.withColumn("has_old", F.lit(True)).join(new, "p_partkey", "full")
+    changed = F.col("has_new").isNotNull() & (F.col("has_old").isNull() | ~F.col("old").eqNullSafe(F.col("new")))
+    return both.select("p_partkey", F.when(F.col("has_new").isNotNull(), F.col("new")).otherwise(F.col("old")).alias("p_brand"), changed.alias("changed"))
+
+
+CHANGED_SQL = """
+with o as (select p_partkey, p_brand as old, true as has_old from part where p_partkey % 5 != 0),
+n as (select p_partkey, case when p_size > 20 then p_brand end as new, true as has_new from part where p_partkey % 4 = 0)
+select p_partkey, case when has_new then new else old end as p_brand,
+  coalesce(has_new, false) and (has_old is null or old is distinct from new) as changed from o full join n using (p_partkey)
+"""
+
+
+def dedup_first_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One event of each user and type: the best-placed source wins, then the smaller id."""
+    t = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", (F.col("event_id") % 5).alias("source_rank"))
+    return t.groupBy("user_id", "event_type").agg(F.min(F.struct("source_rank", "event_id")).alias("m")).select("user_id", "event_type", "m.source_rank", "m.event_id")
+
+
+DEDUP_SQL = """
+select user_id, event_type, source_rank, event_id from (select user_id, event_type, event_id, event_id % 5 as source_rank,
+  row_number() over (partition by user_id, event_type order by event_id % 5, event_id) as rn from events) where rn = 1
+"""
+
+
+def version_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose numeric dotted version lies in [introduced, fixed): equality on the package, then the range."""
+    items = table(spark, sf_dir, "part").select("p_partkey", "p_brand", versions.key(F.concat_ws(".", F.col("p_size"), F.col("p_partkey") % 7)).alias("v"))
+    ranges = table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("range_key"), F.col("p_brand").alias("r_brand"), versions.key(F.concat(F.col("p_size"), F.lit(".3"))).alias("introduced"), versions.key(F.concat(F.col("p_size") + 5, F.lit(".0"))).alias("fixed"))
+    return items.join(ranges, (F.col("p_brand") == F.col("r_brand")) & (F.col("v") >= F.col("introduced")) & (F.col("v") < F.col("fixed"))).select("p_partkey", "range_key")
+
+
+VERSION_SQL = """
+with i as (select p_partkey, p_brand, [p_size::bigint, (p_partkey % 7)::bigint] as v from part),
+r as (select p_partkey as range_key, p_brand, [p_size::bigint, 3] as a, [(p_size + 5)::bigint, 0] as b from part where p_partkey % 20 = 0)
+select i.p_partkey, range_key from i join r on i.p_brand = r.p_brand and v >= a and v < b
+"""
+
+
+def trigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and types that share at least three tenths of their trigrams, over an inverted join of trigrams."""
+    p = table(spark, sf_dir, "part")
+    left = p.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    found = trigrams.similar(left, p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name")).unionByName(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))).groupBy("name").agg(F.min("id").alias("id")), 0.3)
+    return found.select("left_id", "right_id", "shared", "total")
+
+
+TRIGRAM_SQL = r"""
+with n as (select p_partkey as id, p_name as name from part where p_partkey % 100 = 0),
+c as (select name, min(id) as id from (select p_type as name, p_partkey as id from part union all select p_name, p_partkey from part) group by name),
+ln as (select distinct n.id, substr('  ' || w || ' ', k::int, 3) as g from n, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) as x(w), unnest(range(1, length(w) + 2)) as y(k)),
+rn as (select distinct name, id, substr('  ' || w || ' ', k::int, 3) as g from c, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) as x(w), unnest(range(1, length(w) + 2)) as y(k)),
+lc as (select id, count(*) as n from ln group by id), rc as (select name, id, count(*) as n from rn group by name, id),
+s as (select ln.id as left_id, rn.id as right_id, rn.name, count(*) as shared from ln join rn using (g) group by ln.id, rn.id, rn.name)
+select left_id, right_id, shared, lc.n + rc.n - shared as total from s join lc on lc.id = left_id join rc on rc.id = right_id and rc.name = s.name
+where (shared::double / (lc.n + rc.n - shared))::float >= 0.3::float
+"""
+
+
+def json_property_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums and counts of events by their JSON property, missing and malformed ones as null."""
+    k = F.get_json_object("props", "$.k").try_cast("bigint").alias("k")
+    return table(spark, sf_dir, "events").select(k, "value").groupBy("k").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+JSON_SQL = "select try_cast(json_extract_string(props, '$.k') as bigint) as k, count(*) as n, round(sum(value), 2) as total from events group by 1"
+
+
+def prefix_ok_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each user's cursor moves: to the last time before which no event failed."""
+    t = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.col("event_id") % 11 != 0).alias("ok"))
+    ok = F.min("ok").over(W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0))
+    return t.withColumn("ok", ok).groupBy("user_id").agg(F.max(F.when(F.col("ok"), F.col("ts"))).alias("cursor"), F.count_if("ok").alias("passed"))
+
+
+CURSOR_SQL = """
+select user_id, max(case when good then ts end) as cursor, count(*) filter (where good) as passed from (select user_id, ts,
+  min((event_id % 11 != 0)::int) over (partition by user_id order by ts, event_id rows unbounded preceding) = 1 as good from events) group by user_id
+"""
+
+
+def string_agg_cap_notice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three order keys of each customer in one cell, with a notice of how many are hidden."""
+    t = table(spark, sf_dir, "orders").withColumn("rn", F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")))
+    keys = F.array_sort(F.collect_list(F.when(F.col("rn") <= 3, F.struct("rn", F.col("o_orderkey").cast("string").alias("k")))))
+    hidden = F.count("*") - 3
+    cell = F.concat(F.array_join(F.transform(keys, lambda x: x.k), "; "), F.when(hidden > 0, F.concat(F.lit(" and "), hidden.cast("string"), F.lit(" more"))).otherwise(""))
+    return t.groupBy("o_custkey").agg(cell.alias("cell"))
+
+
+CAP_NOTICE_SQL = """
+select o_custkey, string_agg(o_orderkey::varchar, '; ' order by rn) filter (where rn <= 3) || case when count(*) > 3 then ' and ' || (count(*) - 3) || ' more' else '' end as cell
+from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn from orders) group by o_custkey
+"""
+
+
+def confirmed_rate_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with at least ten resolved orders of which less than half are confirmed; an unknown one is not confirmed."""
+    t = table(spark, sf_dir, "orders").select("o_custkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F").alias("confirmed"))
+    g = t.groupBy("o_custkey").agg(F.count("*").alias("resolved"), F.count_if(F.col("confirmed")).alias("confirmed"))
+    return g.withColumn("warning", (F.col("resolved") >= 10) & (F.col("confirmed") * 2 < F.col("resolved")))
+
+
+CONFIRMED_SQL = "select o_custkey, count(*) as resolved, count(*) filter (where o_orderstatus = 'F') as confirmed, count(*) >= 10 and count(*) filter (where o_orderstatus = 'F') * 2 < count(*) as warning from orders group by 1"
+
+
+def fresh_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers that no line of a returned kind names, beside those that rows of two keys name."""
+    t = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey"))
+    return table(spark, sf_dir, "supplier").join(t, "s_suppkey", "left_anti").select("s_suppkey", "s_name")
+
+
+ANTI_SQL = "select s_suppkey, s_name from supplier where s_suppkey not in (select l_suppkey from lineitem where l_returnflag = 'R' and l_quantity > 49)"
+
+#: name -> (query, DuckDB SQL)
+CATALOGUE = {
+    "capped_ranked_findings": (capped_ranked_findings, CAPPED_SQL),
+    "top_n_ranked_cap": (top_n_ranked_cap, TOP_N_SQL),
+    "distinct_on_best": (distinct_on_best, DISTINCT_ON_SQL),
+    "outlier_guarded_max": (outlier_guarded_max, OUTLIER_SQL),
+    "coalesce_upsert": (coalesce_upsert, COALESCE_SQL),
+    "changed_only_upsert": (changed_only_upsert, CHANGED_SQL),
+    "dedup_first_source": (dedup_first_source, DEDUP_SQL),
+    "version_range_join": (version_range_join, VERSION_SQL),
+    "trigram_similarity": (trigram_similarity, TRIGRAM_SQL),
+    "json_property_totals": (json_property_totals, JSON_SQL),
+    "prefix_ok_cursor": (prefix_ok_cursor, CURSOR_SQL),
+    "string_agg_cap_notice": (string_agg_cap_notice, CAP_NOTICE_SQL),
+    "confirmed_rate_warning": (confirmed_rate_warning, CONFIRMED_SQL),
+    "fresh_anti_join": (fresh_anti_join, ANTI_SQL),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"capped_ranked_findings": capped_ranked_findings}
+    return {k: q for k, (q, _) in CATALOGUE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"capped_ranked_findings": CAPPED_SQL}
+    return {k: sql for k, (_, sql) in CATALOGUE.items()}
