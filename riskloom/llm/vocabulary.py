@@ -13,11 +13,15 @@ import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
+
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u206f\u3000\ufeff]")
 STRETCH = re.compile(r"[ \t\n\r\v\f]*[^ \t\n\r\v\f]+|[ \t\n\r\v\f]+")
 #: Stretches kept by a worker, and the longest that is kept.
 KEPT, KEPT_CHARS = 1_200_000, 48
 MARKS = ".,;:!?"
+#: Words that are encoded as one text.
+TOGETHER = 512
 
 
 class Encoder:
@@ -31,6 +35,28 @@ class Encoder:
         self.stretches = str.split if drops_space else STRETCH.findall
         self.lowers = drops_space
         self.known: dict[str, bytes] = {}
+        # Ids that only the end of a word (word vocabulary) or only its space (byte vocabulary) can have.
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.borders = np.zeros(max(names.values()) + 1, bool)
+        self.borders[[i for t, i in names.items() if (t.endswith("</w>") if drops_space else t.startswith("\u0120"))]] = True
+
+    def _plain(self, part: str) -> bool:
+        """Is ``part`` a word of letters, with one space before it where the vocabulary keeps spaces?"""
+        return part.isalpha() if self.lowers else part[0] == " " and part[1:].isalpha()
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each plain word: many are encoded as one text, and its ids are cut at the words' borders. Where
+        these are not as many as the words, each is encoded by itself."""
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        out: list[bytes] = []
+        for group, raw in zip(groups, self._encode([(" " if self.lowers else "").join(g) for g in groups]), strict=True):
+            cuts = 4 * np.flatnonzero(self.borders[np.frombuffer(raw, "<u4")])
+            if len(cuts) != len(group) or (not self.lowers and cuts[0]):
+                out += self._encode(group)
+                continue
+            at = [0, *(cuts + 4).tolist()] if self.lowers else [*cuts.tolist(), len(raw)]
+            out += [raw[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+        return out
 
     def _encode(self, batch: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
@@ -49,9 +75,12 @@ class Encoder:
         if len(known) > KEPT:
             known.clear()
         split = [None if ODD_SPACE.search(t) else self.stretches(t) for t in batch]
-        fresh = {s: self._core(s) for s in {s for x in split if x for s in x if s not in known}}
-        parts = list({p for both in fresh.values() for p in both if p and p not in known})
-        coded = dict(zip(parts, self._encode(parts), strict=True))
+        fresh = {s: self._core(s) for s in set().union(*filter(None, split)).difference(known)}
+        parts = {p for both in fresh.values() for p in both if p and p not in known}
+        plain = list(filter(self._plain, parts))
+        coded = dict(zip(plain, self._encode_words(plain), strict=True))
+        others = [p for p in parts if p not in coded]
+        coded.update(zip(others, self._encode(others), strict=True))
         of = lambda p: coded[p] if p in coded else known[p]
         known.update({s: of(core) + of(tail) if tail else of(core) for s, (core, tail) in fresh.items()})
         whole = iter(self._encode([t for t, x in zip(batch, split, strict=True) if x is None]))
