@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskloom.functions import trigrams, versions
+from riskloom.plans.merges import MERGES
 from riskloom.session import table
 
 
@@ -248,6 +249,7 @@ CATALOGUE = {
     "string_agg_cap_notice": (string_agg_cap_notice, CAP_NOTICE_SQL),
     "confirmed_rate_warning": (confirmed_rate_warning, CONFIRMED_SQL),
     "fresh_anti_join": (fresh_anti_join, ANTI_SQL),
+    **MERGES,
 }
 
 
