@@ -3,8 +3,8 @@
 Equal vectors form one node. The first neighbour graph comes from several orders of the nodes by random sign codes: in
 each order, runs of ``block`` consecutive nodes are compared. Then neighbours meet through their common neighbours: a
 node's neighbours and those that name it are compared with each other, and each keeps its ``k`` nearest, until a round
-finds no further link. Where comparing shows links (cosine >= threshold), each member also reports its least linked
-node, so links join components even where a list is full of nearer ones. A list full of links is saturated; such a
+finds no further link. Where comparing shows links (cosine >= threshold), a spanning forest of them is reported, so
+every link met joins its components even where a list is full of nearer ones. A list full of links is saturated; such a
 node's list is enlarged to its whole component: the component is cut into tiles, and pairs of tiles are multiplied, so
 links are counted in full without a row for each pair. ``recall`` audits the result against brute force.
 
@@ -52,16 +52,32 @@ def codes(nodes: DataFrame, orders: int) -> DataFrame:
     return nodes.mapInArrow(run, "order long, code long, node long, vector array<double>")
 
 
+def forest(hit: np.ndarray) -> np.ndarray:
+    """The parent of each member in a spanning forest of the links ``hit``; -1 for roots and members without a link."""
+    parent = np.full(len(hit), -1, np.int64)
+    left = hit.any(axis=1)
+    while left.any():
+        now = np.array([int(left.argmax())])
+        left[now] = False
+        while len(now):
+            reach = hit[now] & left
+            new = np.flatnonzero(reach.any(axis=0))
+            parent[new] = now[reach[:, new].argmax(axis=0)]
+            left[new] = False
+            now = new
+    return parent
+
+
 def compared(ids: np.ndarray, data: np.ndarray, k: int, threshold: float) -> pa.RecordBatch:
-    """NEAR rows for some nodes that meet: each one's nearest, and its least linked node but itself."""
+    """NEAR rows for some nodes (ascending) that meet: each one's nearest, and its parent in a spanning forest of the links."""
     cosines = data @ data.T
     np.fill_diagonal(cosines, -2)
     m = min(k, len(ids) - 1)
     order = np.argsort(-np.round(cosines, 6), axis=1, kind="stable")[:, :m]
     d = -np.round(np.take_along_axis(cosines, order, axis=1), 6)
-    link = np.where(cosines >= threshold, ids, np.iinfo(np.int64).max).min(axis=1)
+    parent = forest(cosines >= threshold)
     near = pa.ListArray.from_arrays(pa.array(np.arange(0, m * len(ids) + 1, m, dtype=np.int32)), pa.StructArray.from_arrays([pa.array(d.ravel()), pa.array(ids[order].ravel())], ["d", "node"]))
-    return pa.RecordBatch.from_arrays([pa.array(ids), near, pa.array(link, mask=link == np.iinfo(np.int64).max)], ["node", "near", "link"])
+    return pa.RecordBatch.from_arrays([pa.array(ids), near, pa.array(ids[parent], mask=parent < 0)], ["node", "near", "link"])
 
 
 def first_graph(nodes: DataFrame, orders: int, block: int, k: int, threshold: float) -> DataFrame:
@@ -99,7 +115,9 @@ def meetings(graph: DataFrame, nodes: DataFrame, k: int, threshold: float) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, some in base.runs_of(batches, ["centre", "part"]):
             if some.num_rows > 1:
-                yield compared(some["member"].to_numpy(), vectors.matrix(some["vector"]), k, threshold)
+                ids = some["member"].to_numpy()
+                order = np.argsort(ids)
+                yield compared(ids[order], vectors.matrix(some["vector"])[order], k, threshold)
 
     return rows.mapInArrow(run, NEAR)
 

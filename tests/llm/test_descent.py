@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 
 from riskloom.llm import descent
@@ -43,3 +45,44 @@ def test_like_brute_force(spark):
 def test_few_rows_and_none(spark):
     assert near(spark, [])[1].count() == 0
     assert [tuple(r) for r in near(spark, [(4, [1.0, 0.0])])[1].collect()] == [(4, 0, 4, True)]
+
+
+def components_of(batch):
+    group = {i: {i} for i in batch["node"].to_pylist()}
+    for a, b in zip(batch["node"].to_pylist(), batch["link"].to_pylist(), strict=True):
+        if b is not None and group[a] is not group[b]:
+            group[a] |= group[b]
+            for x in group[b]:
+                group[x] = group[a]
+    return {i: min(g) for i, g in group.items()}
+
+
+def test_each_meeting_reports_all_its_components():
+    angles = np.radians([0, 17, 34, 51])
+    for order in itertools.permutations(range(4)):
+        data = np.array([[np.cos(a), np.sin(a)] for a in angles[list(order)]])
+        out = descent.compared(np.arange(4), data, 8, 0.95)
+        assert set(components_of(out).values()) == {0}
+        assert out["link"].null_count == 1
+    angles = np.radians([0, 17, 34, 90, 107, 180])
+    out = descent.compared(np.arange(6), np.array([[np.cos(a), np.sin(a)] for a in angles]), 8, 0.95)
+    assert components_of(out) == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5}
+
+
+def test_chains_and_bridged_groups_exactly(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for c in range(30):  # chains of 2 to 9 members in planes of their own, in which only neighbours are linked
+        for j in rng.permutation(2 + c % 8):
+            v = np.zeros(80)
+            v[2 * c : 2 * c + 2] = np.cos(np.radians(17 * j)), np.sin(np.radians(17 * j))
+            rows.append((len(rows), v))
+    for side in (0, 34):  # two groups of near copies and one vector between them
+        v = np.zeros(80)
+        v[60], v[61] = np.cos(np.radians(side)), np.sin(np.radians(side))
+        rows += [(len(rows) + i, v + rng.normal(size=80) * 0.001) for i in range(10)]
+    v = np.zeros(80)
+    v[60], v[61] = np.cos(np.radians(17)), np.sin(np.radians(17))
+    rows.append((len(rows), v))
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near(spark, rows)[1].collect())
+    assert got == brute(rows)
