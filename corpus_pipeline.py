@@ -21,9 +21,17 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: one document of each group of near copies (five words, similarity of 0.8 or more) stays."""
-    gone = minmax.near_duplicates(docs, percent=80).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Operator 7: one document of each group of near copies (five words, similarity of 0.8 or more) stays.
+
+    Each stored row is a document of its own, whatever its id. Of a group the smallest id stays, null ids last, and of
+    rows with one id the first.
+    """
+    rows = base.stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = minmax.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), percent=80)
+    found = found.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", "doc_id"), "__row")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    stays = found.groupBy("component_id").agg(F.min(place)["__row"].alias("__row"))
+    return rows.join(stays, "__row", "left_semi").select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,14 @@ def test_stages(spark):
         length[r["doc_id"]] += r["length"]
         ends[r["doc_id"]] = r["doc_tokens"]
     assert length == ends
+
+
+def test_repeated_rows_and_null_ids(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    given = [(1, text(1)), (1, text(1)), (None, text(2)), (5, text(2)), (4, text(2)), (None, text(3)), (None, text(3)), (6, text(4)), (7, ""), (7, ""), (None, None)]
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    near = base.stored(corpus_pipeline.near_duplicates(spark, docs, SF), "test_near")
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    want = sorted([(1, text(1)), (4, text(2)), (None, text(3)), (6, text(4)), (7, ""), (7, ""), (None, None)], key=key)
+    assert sorted((tuple(r) for r in near.collect()), key=key) == want
+    assert sorted((tuple(r) for r in corpus_pipeline.substrings(spark, near, SF).collect()), key=key) == want
