@@ -1,26 +1,37 @@
-"""What the operators of this subpackage share: the shared folder, stored tables, Arrow helpers."""
+"""What the operators of this subpackage share: the shared folder, stored tables and their scopes, key filters, Arrow helpers."""
 
 from __future__ import annotations
 
-import gc
+import functools
 import tempfile
-import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of a key filter: 8 MB, whatever the number of keys.
+FILTER_BITS = 26
+#: Spark removes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests), a temporary one is set."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="riskloom-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -29,23 +40,91 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/riskloom/{name}-{uuid.uuid4().hex}"
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs that are done: it does so when the driver collects its garbage."""
-    for pause in (0.2, 0.5):  # the job's last events are told to listeners first
-        time.sleep(pause)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that end inside leave no shuffle files behind."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage is cut there and survives lost executors."""
+def written(df: DataFrame, path: str, *by: str, compression: str = "snappy") -> DataFrame:
+    """Writes ``df`` below ``path``, parted by the columns ``by``, and reads it back."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    release(spark)
+    writer = df.write.option("compression", compression)
+    with shuffles_removed(spark):
+        (writer.partitionBy(*by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame, name: str, *by: str, compression: str = "snappy") -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: lineage is cut there and survives lost executors.
+
+    The table goes with the operator that stored it (see ``scoped``); outside of one it stays.
+    """
+    path = new_path(df.sparkSession, name)
+    if (mine := _scope.get()) is not None:
+        mine.append(path)
+    return written(df, path, *by, compression=compression)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        place = jvm.org.apache.hadoop.fs.Path(p)
+        place.getFileSystem(conf).delete(place, True)
+
+
+def scoped(name: str) -> Callable:
+    """An operator whose result is stored; the tables that it stored on the way are deleted when it returns or fails."""
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(operator)
+        def run(*args, **options) -> DataFrame:
+            mine: list[str] = []
+            token = _scope.set(mine)
+            spark = None
+            try:
+                out = operator(*args, **options)
+                spark = out.sparkSession
+                path = new_path(spark, name)
+                kept = written(out, path)
+            finally:
+                _scope.reset(token)
+                drop(spark or SparkSession.active(), mine)
+            if (outer := _scope.get()) is not None:
+                outer.append(path)
+            return kept
+
+        return run
+
+    return wrap
+
+
+def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> Callable[..., Column]:
+    """A test for rows that may have one of the keys: true for all that do, and for few others.
+
+    The keys' hashes are set in a bitmap of 2**bits bits, whatever their number, which is built by a distributed
+    aggregation and broadcast. So a large table can be thinned out where it lies; an exact join with the few rows left
+    follows. With many more keys than bits the test lets everything through, and the join alone decides.
+    """
+    place = F.pmod(F.xxhash64(*keys.columns), F.lit(1 << bits))
+    words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+    shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def has(p: pd.Series) -> pd.Series:
+        at = p.to_numpy().astype(np.uint64)
+        return pd.Series((shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1)
+
+    return lambda *columns: has(F.pmod(F.xxhash64(*columns), F.lit(1 << bits)))
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with null texts as empty ones; other columns, whatever their names, are left out."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

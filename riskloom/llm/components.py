@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import stored
+from .base import scoped, stored
 
 
 def _state(links: DataFrame) -> tuple:
@@ -18,10 +18,12 @@ def _state(links: DataFrame) -> tuple:
     return tuple(row)
 
 
+@scoped("components")
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (columns a, b: long): the smallest node reachable.
 
-    Nulls link nothing; repeated links and loops are harmless; an empty table gives an empty result.
+    Nulls link nothing; repeated links and loops are harmless; there are no ties, since nodes are told apart by their
+    numbers; an empty table gives an empty result.
     """
     lesser = lambda x, y: F.least(F.col(x), F.col(y)).alias("a")
     links = links.where(F.col("a") != F.col("b"))

@@ -97,6 +97,7 @@ class Grams:
         return np.bincount(self.tokens, learnt, len(self.hash) - 1).astype(np.uint32), np.bincount(self.pair, learnt, len(self.first)).astype(np.uint32)
 
 
+@base.scoped("scores")
 def scored(docs: DataFrame, held_out: DataFrame | str, model_path: str, k: int = K) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each document (doc_id, text).
 
@@ -130,9 +131,7 @@ def scored(docs: DataFrame, held_out: DataFrame | str, model_path: str, k: int =
 
     answered = answers(slim.mapInArrow(ask, asks), [np.uint32], count, "grams binary, counts binary, n_r array<long>, total long, distinct long", ("order", "part"))
     path = f"{model_path}/counts"
-    answered.withColumn("model", F.col("block").isNull()).write.partitionBy("model", "order").option("compression", "zstd").parquet(path)
-    base.release(docs.sparkSession)
-    table = docs.sparkSession.read.schema(f"{', '.join(f'{n} {t}' for n, t in answered.dtypes)}, model boolean").parquet(path)
+    table = base.written(answered.withColumn("model", F.col("block").isNull()), path, "model", "order", compression="zstd")
     facts = table.where("model").select("order", "total", "distinct", F.posexplode("n_r").alias("r", "n"))
     known = {(x["order"], x["r"]): x for x in facts.groupBy("order", "r").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct"), F.sum("n").alias("n")).collect()}
     of = lambda order: discounts([known[order, r]["n"] if (order, r) in known else 0 for r in range(k + 1)])
@@ -180,10 +179,7 @@ def scored(docs: DataFrame, held_out: DataFrame | str, model_path: str, k: int =
         return table.where(f"not model and order = {order}").select("part", "block", "data")
 
     whole = with_replies(with_replies(stored, told(1), "one"), told(2), "two")
-    resolved = base.new_path(docs.sparkSession, "resolved")
-    whole.mapInArrow(resolve, shape).write.partitionBy("kind").option("compression", "zstd").parquet(resolved)
-    base.release(docs.sparkSession)
-    halves = docs.sparkSession.read.schema(shape).parquet(resolved)
+    halves = base.stored(whole.mapInArrow(resolve, shape), "resolved", "kind", compression="zstd")
 
     def weigh(keys, inverse, columns):
         spent, covered = (np.bincount(inverse, c, len(keys)) for c in columns)
@@ -192,9 +188,7 @@ def scored(docs: DataFrame, held_out: DataFrame | str, model_path: str, k: int =
 
     weights = answers(halves.where("kind = 1").select("part", "block", "keys", "data"), [np.float64, np.float64], weigh, "histories binary, weights binary")
     path = f"{model_path}/weights"
-    weights.withColumn("model", F.col("block").isNull()).write.partitionBy("model").option("compression", "zstd").parquet(path)
-    base.release(docs.sparkSession)
-    weights = docs.sparkSession.read.schema(f"{', '.join(f'{n} {t}' for n, t in weights.dtypes)}, model boolean").parquet(path)
+    weights = base.written(weights.withColumn("model", F.col("block").isNull()), path, "model", compression="zstd")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):

@@ -4,7 +4,7 @@ Each permutation of the shingle hashes gives two signature values, its minimum a
 hash evaluations is half the number of values. Bands of four values (two permutations) are hashed to buckets.
 Documents with equal shingle sets form a class, which takes part once. Within a bucket every class is compared
 with the bucket's smallest member, its centre. Members of a bucket that this leaves in different components are
-compared if their bits allow it: of 1,024 bits, one for each minimum and maximum under 512 more permutations, two
+compared, tile by tile, if their bits allow it: of 1,024 bits, one for each minimum and maximum under 512 more permutations, two
 sets at the threshold differ in more than the allowed number once in ten million pairs. So a group of near copies
 is not expanded to its pairs, and every link is confirmed on the full shingle sets.
 
@@ -31,7 +31,8 @@ from .components import components
 from .words import WordHashes, mixed, shingle_set
 
 BANDS, PERMUTATIONS_OF_BAND = 20, 2
-SHINGLE = 5
+#: Words of a shingle; nodes of a tile.
+SHINGLE, TILE = 5, 256
 
 
 def multipliers(n: int) -> np.ndarray:
@@ -133,9 +134,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """(band, bucket, node, centre) for buckets with several nodes; the centre is the smallest."""
+    """(band, bucket, node, centre) for buckets with several nodes; the centre is the smallest.
+
+    The centres are stored first, so that the join back to the members is a plain one that Spark can split.
+    """
     centres = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre != last").select("bucket", "centre")
-    return members.join(centres, "bucket").where("node != centre")
+    return members.join(base.stored(centres, "centres"), "bucket").where("node != centre")
 
 
 def far_bits(percent: int, words: int) -> int:
@@ -144,19 +148,45 @@ def far_bits(percent: int, words: int) -> int:
     return int(n * differ + 5.3 * (n * differ * (1 - differ)) ** 0.5) + 1
 
 
-def left_apart(shared: DataFrame, found: DataFrame, sketches: DataFrame, percent: int, words: int) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components whose bits allow a link, each in its first common band."""
+def left_apart(shared: DataFrame, found: DataFrame, sketches: DataFrame, percent: int, words: int, tile: int = TILE) -> DataFrame:
+    """Pairs (a, b) of one bucket in different components whose bits allow a link, each in its first common band.
+
+    One of the two is outside the bucket's largest component, a minor one. A bucket is cut into tiles of about ``tile``
+    nodes and its minor nodes once more; each pair of an outer and a minor tile is a group of its own, so no task holds
+    a bucket, and one that its centre has all but united is hardly copied.
+    """
     rows = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = base.stored(rows.select("band", "bucket", "node", "component"), "labelled")
-    split = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-    apart = base.stored(rows.join(split, "bucket").join(sketches, "node"), "apart")
-    one, other = apart.alias("one"), apart.alias("other")
-    differ = " + ".join(f"bit_count(one.bits[{i}] ^ other.bits[{i}])" for i in range(words))
-    first = "array_position(zip_with(one.bands, other.bands, (x, y) -> x = y), true) = one.band"
-    met = one.join(other, (F.col("one.bucket") == F.col("other.bucket")) & (F.col("one.component") < F.col("other.component")) & F.expr(f"({differ}) <= {far_bits(percent, words)} and {first}"))
-    return met.select(F.col("one.node").alias("a"), F.col("other.node").alias("b"))
-
+    shares = base.stored(rows.groupBy("bucket", "component").agg(F.count("*").alias("n")), "shares")
+    split = shares.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n")).where(F.col("n") > F.col("main.n"))
+    tiles = lambda n: F.ceil(n / tile).cast("long")
+    split = split.select("bucket", F.col("main.component").alias("main"), tiles(F.col("n")).alias("tiles"), tiles(F.col("n") - F.col("main.n")).alias("minor_tiles"))
+    apart = base.stored(rows.join(base.stored(split, "split"), "bucket").join(sketches, "node"), "apart")
+    place = lambda n: F.pmod(F.xxhash64("node"), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    carried = ["bucket", "band", "node", "component", "bits", "bands"]
+    outer = apart.select(*carried, place(F.col("tiles")).alias("i"), each("minor_tiles").alias("j"), F.lit(0).alias("side"))
+    minor = apart.where("component != main").select(*carried, each("tiles").alias("i"), place(F.col("minor_tiles")).alias("j"), F.lit(1).alias("side"))
+    dealt = outer.unionByName(minor).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+    most = far_bits(percent, words)
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in base.runs_of(batches, ["bucket", "i", "j"]):
+            node, component, side = (group[c].to_numpy() for c in ("node", "component", "side"))
+            bits, bands = (base.list_parts(group[c])[1].reshape(len(node), -1) for c in ("bits", "bands"))
+            band, (left, right) = int(group["band"][0].as_py()) - 1, (np.flatnonzero(side == k) for k in (0, 1))
+            for x in right.tolist():
+                some = left[component[left] != component[x]]
+                some = some[np.bitwise_count(bits[some] ^ bits[x]).sum(axis=1) <= most]
+                some = some[(bands[some] == bands[x]).argmax(axis=1) == band]
+                if len(some):
+                    y = np.full(len(some), node[x])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[some], y)), pa.array(np.maximum(node[some], y))], ["a", "b"])
+
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+@base.scoped("near_duplicates")
 def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, per_band: int = PERMUTATIONS_OF_BAND, shingle: int = SHINGLE, words: int = 16) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): links are pairs with 100 * intersection >= percent * union."""
     source = base.texts(docs)
@@ -166,12 +196,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, per_
     members = classes.select(F.posexplode("bands").alias("band", "bucket"), "node").withColumn("band", F.col("band") + 1)
     shared = base.stored(shared_buckets(members), "shared")
     stars = base.stored(shared.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    ids = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
-    sets = base.stored(shingle_sets(source.join(ids, "doc_id", "left_semi"), shingle, words), "sets")
+    # Texts stay where they lie: a bitmap lets those through that may be of a shared bucket, the joins of ``confirmed`` decide.
+    named_in_a_bucket = base.key_filter(stars.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    sets = base.stored(shingle_sets(source.where(named_in_a_bucket(F.col("doc_id").cast("long"))), shingle, words), "sets")
     links = base.stored(confirmed(stars, sets, percent), "confirmed")
     found = components(links)
     sketches = sets.select(F.col("doc_id").alias("node"), "bits").join(classes.select("node", "bands"), "node").distinct()
-    rest = base.stored(left_apart(shared, found, sketches, percent, words).distinct(), "rest")
+    rest = base.stored(left_apart(shared, found, sketches, percent, words), "rest")
     more = base.stored(confirmed(rest, sets, percent), "confirmed")
     if not more.isEmpty():
         found = components(links.unionByName(more))
