@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search (operator 1).
 
 The search goes over the characters of the normalised text and keeps, for each place where a piece can end, one
-survivor: the last piece and where it began. No piece is longer than ``longest`` characters, so only the survivors of
-that many last places can be continued. Their backpointer paths are followed from time to time; where all have met,
+survivor: the last piece and where it began. No piece is longer than ``longest`` characters, so only as many places
+ahead can have a survivor, and those behind are reached through backpointers alone. Their backpointer paths are followed from time to time; where all have met,
 the ids before that place are committed and everything before it is dropped.
 
 A survivor is chosen by the model's kind. In a unigram model it is the path of the greatest sum of scores. In a BPE
@@ -83,8 +83,12 @@ class Encoder:
         self.longest = max(map(len, self.ids))
         self.bonds = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
         self.known: dict[str, bytes] = {}  # ids as little-endian 32-bit integers
-        self.sound: dict[str, bool] = {}
         self.follow: dict[tuple[str, str], bool] = {}
+        whole = (t for t in self.ids if self.kind != BPE or self.merged(t) == [t])  # others no merging gives
+        self.coded = {t: self.ids[t].to_bytes(4, "little") for t in whole}
+        self.begins = {t[:n] for t in self.coded for n in range(1, len(t) + 1)}
+        self.plain = [t.replace(SPACE, " ") for t in self.texts]
+        self.is_byte = np.array([i in self.value for i in range(len(self.texts))])
 
     def merged(self, text: str) -> list[str]:
         """What merging leaves of a short text: the best pair first, the leftmost of equal ones."""
@@ -99,75 +103,70 @@ class Encoder:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def fits(self, before: str, piece: str) -> bool:
-        key = (before, piece)
-        value = self.follow.get(key)
-        if value is None:
-            if len(self.follow) > KEPT:
-                self.follow.clear()
-            value = self.follow[key] = self.whole(piece) and (not before or self.merged(before + piece) == [before, piece])
-        return value
-
-    def whole(self, piece: str) -> bool:
-        """Whether merging the piece's own text gives the piece."""
-        value = self.sound.get(piece)
-        if value is None:
-            value = self.sound[piece] = self.merged(piece) == [piece]
-        return value
-
     def search(self, text: str) -> list[str]:
         """The pieces of a text, which may be of any length: see the module's description."""
         out: list[str] = []
+        # Of each place: where its last piece begins, that piece, and (unigram) the path's score.
         last: dict[int, tuple[int, str, float]] = {0: (0, "", 0.0)}
-        done, ids, scores, bpe = 0, self.ids, self.scores, self.kind == BPE
-        for j in range(1, len(text) + 1):
-            best = None
-            for i in range(max(done, j - self.longest), j):
-                if i not in last:
-                    continue
+        done, n, pieces, begins, bpe, follow = 0, len(text), self.coded, self.begins, self.kind == BPE, self.follow
+        for i in range(n):
+            here = last.get(i)
+            if here is not None:
+                j = i + 1
                 piece = text[i:j]
-                known = piece in ids
-                if not known and i < j - 1:
-                    continue
-                if bpe:
-                    if self.fits(last[i][1], piece):
-                        best = (i, piece, 0.0)
+                while True:
+                    if piece in pieces or j == i + 1:
+                        if not bpe:
+                            score = here[2] + (self.scores[self.ids[piece]] if piece in pieces else self.unknown_score)
+                            if j not in last or score > last[j][2]:
+                                last[j] = (i, piece, score)
+                        elif j not in last:
+                            key = (here[1], piece)
+                            fits = follow.get(key)
+                            if fits is None:
+                                fits = follow[key] = not here[1] or self.merged(here[1] + piece) == [here[1], piece]
+                            if fits:
+                                last[j] = (i, piece, 0.0)
+                    if j == n or piece not in begins:
                         break
-                else:
-                    score = last[i][2] + (scores[ids[piece]] if known else self.unknown_score)
-                    if best is None or score > best[2]:
-                        best = (i, piece, score)
-            if best:
-                last[j] = best
-            if j % COMMIT == 0 or j == len(text):
-                live = {i for i in range(max(done, j - self.longest + 1), j + 1) if i in last} if j < len(text) else {j}
+                    j += 1
+                    piece = text[i:j]
+            if (i + 1) % COMMIT == 0 or i + 1 == n:
+                # Every path goes on from a place that a piece from here or before can reach.
+                live = {j for j in range(i + 1, min(n, i + self.longest) + 1) if j in last} if i + 1 < n else {n}
                 while len(live) > 1:  # where do all survivors' paths meet?
                     top = max(live)
                     live.remove(top)
                     live.add(last[top][0])
                 meet = here = live.pop()
+                if meet > i + 1:  # not yet final: a later piece may still end there
+                    continue
                 path = []
                 while here > done:
                     path.append(last[here][1])
                     here = last[here][0]
                 out += reversed(path)
                 done = meet
-                last = {i: x for i, x in last.items() if i >= done}
+                last = {k: x for k, x in last.items() if k >= done}
         return out
 
     def _part(self, text: str) -> bytes:
-        out: list[int] = []
+        if len(self.follow) > KEPT:
+            self.follow.clear()
+        out: list[bytes] = []
         for piece in self.search(text):
-            i = self.ids.get(piece)
-            if i is not None:
-                out.append(i)
+            code = self.coded.get(piece)
+            if code is not None:
+                out.append(code)
             elif self.bytes:
-                out += [self.bytes[b] for b in piece.encode()]
-            elif not out or out[-1] != self.unknown:  # neighbouring unknown characters are one piece
-                out.append(self.unknown)
-        return np.array(out, "<u4").tobytes()
+                out += [self.bytes[b].to_bytes(4, "little") for b in piece.encode()]
+            elif not out or out[-1] != self.unknown.to_bytes(4, "little"):  # neighbouring unknown characters are one piece
+                out.append(self.unknown.to_bytes(4, "little"))
+        return b"".join(out)
 
     def _stretch(self, text: str) -> bytes:
+        if len(text) <= KEPT_CHARS:
+            return self._part(text)
         out: list[bytes] = []
         start = 0
         for i in range(1, len(text) + 1):
@@ -206,11 +205,13 @@ class Encoder:
             return coded[~again].tobytes()
         return b"".join(out)
 
-    def decode(self, ids: list[int]) -> str:
-        if self.value.keys().isdisjoint(ids):
-            text = "".join(map(self.texts.__getitem__, ids)).replace(SPACE, " ")
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        ids = np.asarray(ids, np.int64)
+        if self.is_byte[ids].any():
+            parts = (bytes([self.value[i]]) if i in self.value else self.plain[i].encode() for i in ids.tolist())
+            text = b"".join(parts).decode(errors="replace")
         else:
-            text = b"".join(bytes([self.value[i]]) if i in self.value else self.texts[i].replace(SPACE, " ").encode() for i in ids).decode(errors="replace")
+            text = "".join(map(self.plain.__getitem__, ids.tolist()))
         return text[1:] if text.startswith(" ") else text
 
 
@@ -257,7 +258,7 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
                 texts = b["text"].to_pylist()
                 coded = [work.encoded(t) for t in texts]
                 crc = [zlib.crc32(x) for x in coded]
-                same = [work.decode(np.frombuffer(x, "<u4").tolist()) == t for x, t in zip(coded, texts, strict=True)]
+                same = [work.decode(np.frombuffer(x, "<u4")) == t for x, t in zip(coded, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_tokens", "ids_crc32", "round_trip"])
 
     return base.texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
