@@ -1,4 +1,4 @@
-"""Trigram similarity: shared trigrams over all trigrams of two names."""
+"""Trigram similarity: shared trigrams over all trigrams of two names, and joins by it."""
 
 from __future__ import annotations
 
@@ -8,16 +8,45 @@ from pyspark.sql import functions as F
 
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of the lower-case words, each padded by two spaces before and one after."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
     of = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))
     return F.array_distinct(F.flatten(F.transform(words, of)))
 
 
-def similar(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(left_id, right_id, right_name, shared, total) of names (id, name) whose similarity, as a 32-bit float, reaches the
-    threshold: an equality join on trigrams, not a comparison of all pairs."""
-    one = left.select(F.col("id").alias("left_id"), trigrams(F.col("name")).alias("g")).select("left_id", F.size("g").alias("n"), F.explode("g").alias("g"))
-    two = right.select(F.col("id").alias("right_id"), F.col("name").alias("right_name"), trigrams(F.col("name")).alias("g")).select("right_id", "right_name", F.size("g").alias("m"), F.explode("g").alias("g"))
-    met = one.join(two, "g").groupBy("left_id", "right_id", "right_name", "n", "m").agg(F.count("*").alias("shared"))
-    met = met.withColumn("total", F.col("n") + F.col("m") - F.col("shared"))
-    return met.where((F.col("shared") / F.col("total")).cast("float") >= F.lit(threshold).cast("float"))
+def similarity(a: Column, b: Column) -> Column:
+    """Shared trigrams over all, as a 32-bit float; 0 for names without trigrams."""
+    x, y = trigrams(a), trigrams(b)
+    shared = F.size(F.array_intersect(x, y))
+    total = F.size(x) + F.size(y) - shared
+    return F.coalesce(F.try_divide(shared, total), F.lit(0.0)).cast("float")
+
+
+def _rare_first(grams: DataFrame, frequency: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(keys, n, g): the rarest trigrams of each name, as many as two names at the threshold must have one in common of."""
+    known = grams.join(frequency, "g", "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0).cast("long")).alias("f"), "g"))).alias("sorted"))
+    n = F.size("sorted")
+    prefix = n - F.ceil(n * threshold - 1e-4).cast("int") + 1
+    return known.select(*keys, n.alias("n"), F.explode(F.slice("sorted", F.lit(1), F.least(n, F.greatest(prefix, F.lit(1))))).alias("x")).select(*keys, "n", F.col("x.g").alias("g"))
+
+
+def similar(left: DataFrame, right: DataFrame, threshold: float, above: float | None = None) -> DataFrame:
+    """(left_id, right_id, right_name, shared, total, score) of names (id, name) whose similarity, as a 32-bit float,
+    reaches the threshold, and exceeds ``above`` as a 64-bit one where that is given.
+
+    Names meet by their rarest trigrams only, and if their lengths allow the threshold; of those pairs the whole sets
+    are compared. So a trigram that most names have brings few together. Equal names on the right are compared once
+    for each id; nulls and names without letters or digits are similar to nothing.
+    """
+    one = left.select(F.col("id").alias("left_id"), trigrams(F.col("name")).alias("x")).where(F.size("x") > 0)
+    two = right.select(F.col("id").alias("right_id"), F.col("name").alias("right_name"), trigrams(F.col("name")).alias("y")).where(F.size("y") > 0)
+    right_grams = two.select("right_id", "right_name", F.explode("y").alias("g"))
+    frequency = right_grams.groupBy("g").agg(F.count("*").alias("f"))
+    a = _rare_first(one.select("left_id", F.explode("x").alias("g")), frequency, ["left_id"], threshold).withColumnRenamed("n", "n_left")
+    b = _rare_first(right_grams, frequency, ["right_id", "right_name"], threshold).withColumnRenamed("n", "n_right")
+    fits = (F.col("n_left") >= F.col("n_right") * threshold - 1e-4) & (F.col("n_right") >= F.col("n_left") * threshold - 1e-4)
+    met = a.join(b, "g").where(fits).select("left_id", "right_id", "right_name").distinct()
+    met = met.join(one, "left_id").join(two, ["right_id", "right_name"])
+    shared = F.size(F.array_intersect("x", "y")).cast("long")
+    met = met.select("left_id", "right_id", "right_name", shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("total"))
+    met = met.withColumn("score", (F.col("shared") / F.col("total")).cast("float")).where(F.col("score") >= F.lit(threshold).cast("float"))
+    return met if above is None else met.where(F.col("score").cast("double") > F.lit(above).cast("double"))

@@ -8,41 +8,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from riskloom.functions import trigrams, versions
+from riskloom.operators import rank
+from riskloom.plans import searches, versioning
+from riskloom.plans.incremental import INCREMENTAL
 from riskloom.plans.merges import MERGES
+from riskloom.plans.relational import RELATIONAL
+from riskloom.plans.reports import REPORTS
+from riskloom.plans.scalars import SCALARS
 from riskloom.session import table
 
 
 def capped_ranked_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per customer and category: a rank by score, the group's size, and at most three rows of each category."""
+    """Customers' orders as findings, ranked by score and capped at three: open ones are the customer's own, others belong to
+    a component (their status), urgent ones are of an advisory and always stay."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    group = W.partitionBy("o_custkey", "o_orderstatus")
-    fallback = F.when(F.col("o_orderpriority") == "1-URGENT", 9.0).when(F.col("o_orderpriority") == "2-HIGH", 7.5).when(F.col("o_orderpriority") == "3-MEDIUM", 5.0).when(F.col("o_orderpriority") == "4-NOT SPECIFIED", 2.0).otherwise(5.0)
-    score = F.coalesce(F.when(F.col("o_totalprice") > 100000, F.lit(9.5)), fallback)
-    ranked = (
-        o.join(c, F.col("o_custkey") == F.col("c_custkey"))
-        .withColumn("score", score)
-        .withColumn("total_count", F.count("*").over(group))
-        .withColumn("rn", F.row_number().over(group.orderBy(F.desc("score"), F.asc("o_orderkey"))))
-        .withColumn("category_rank", F.dense_rank().over(W.partitionBy("o_custkey").orderBy(F.asc_nulls_last("o_orderstatus"))))
-    )
-    return ranked.where((F.col("rn") <= 3) | (F.col("o_orderstatus") == "P")).select("o_custkey", "c_name", "o_orderkey", "o_orderstatus", "score", "total_count", "rn", "category_rank")
+    severity = F.substr("o_orderpriority", F.lit(3))
+    score = F.coalesce(F.when(F.col("o_totalprice") > 100000, F.lit(9.5)), rank.severity_score(severity, {"URGENT": 9.0, "HIGH": 7.5, "MEDIUM": 5.0, "NOT SPECIFIED": 2.0}))
+    component = F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus"))
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).withColumns({"component": component, "version": F.lit(None).cast("string"), "advisory": F.when(severity == "URGENT", "a")})
+    return rank.capped_view(rows, "o_custkey", "component", "version", "advisory", score, "o_orderkey", 3).select("o_custkey", "c_name", "o_orderkey", "o_orderstatus", "score", "total_count", "rn", "component_rank")
 
 
 CAPPED_SQL = """
 with r as (
-  select o_custkey, c_name, o_orderkey, o_orderstatus,
+  select o_custkey, c_name, o_orderkey, o_orderstatus, case when o_orderstatus <> 'O' then o_orderstatus end as component, o_orderpriority = '1-URGENT' as advisory,
     coalesce(case when o_totalprice > 100000 then 9.5 end,
       case o_orderpriority when '1-URGENT' then 9.0 when '2-HIGH' then 7.5 when '3-MEDIUM' then 5.0
         when '4-NOT SPECIFIED' then 2.0 else 5.0 end)::double as score
   from orders join customer on o_custkey = c_custkey),
 w as (
-  select *, count(*) over (partition by o_custkey, o_orderstatus) as total_count,
-    row_number() over (partition by o_custkey, o_orderstatus order by score desc, o_orderkey) as rn,
-    dense_rank() over (partition by o_custkey order by o_orderstatus nulls last) as category_rank
+  select *, count(*) over (partition by o_custkey, component is null) as total_count,
+    row_number() over (partition by o_custkey, component is null order by score desc, o_orderkey) as rn,
+    dense_rank() over (partition by o_custkey order by component nulls last) as component_rank
   from r)
-select * from w where rn <= 3 or o_orderstatus = 'P'
+select o_custkey, c_name, o_orderkey, o_orderstatus, score, total_count, rn, component_rank from w
+where (component is null and rn <= 3) or (component is not null and component_rank <= 3) or advisory
 """
 
 
@@ -73,21 +74,6 @@ def distinct_on_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 DISTINCT_ON_SQL = "select distinct on (p_brand, p_type) p_brand, p_type, p_partkey, p_retailprice from part order by p_brand, p_type, p_retailprice desc, p_partkey"
 
 
-def outlier_guarded_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greatest size of each brand, guarded against outliers: few wide values give way to the narrow ones, and a maximum far
-    beyond the 99th percentile gives way to it."""
-    t = table(spark, sf_dir, "part").select("p_brand", F.when(F.col("p_partkey") % 50 != 0, F.col("p_size")).otherwise(F.col("p_size") * 100).alias("major"))
-
-    def facts(name: str, where: str) -> list:
-        return [F.expr(f"{x} filter (where {where})").alias(f"{name}_{y}") for x, y in (("count(major)", "rows"), ("count(distinct major)", "distinct"), ("max(major)", "max"), ("percentile_disc(0.99) within group (order by major)", "p99"))]
-
-    g = t.groupBy("p_brand").agg(F.count("*").alias("cataloged"), *facts("every", "major is not null"), *facts("narrow", "major < 1000"), F.expr("count(*) filter (where major >= 1000)").alias("wide"))
-    use_narrow = (F.col("wide") > 0) & (F.col("wide") * 10 < F.col("every_rows")) & (F.col("narrow_rows") > 0)
-    g = g.select("p_brand", "cataloged", *(F.when(use_narrow, F.col(f"narrow_{x}")).otherwise(F.col(f"every_{x}")).cast("long").alias(x) for x in ("rows", "distinct", "max", "p99")))
-    guarded = (F.col("rows") >= 20) & (F.col("distinct") >= 3) & (F.col("p99") >= 4) & (F.col("max") > 4 * F.col("p99"))
-    return g.select("p_brand", "cataloged", F.when(guarded, F.col("p99")).otherwise(F.col("max")).alias("max_major"))
-
-
 OUTLIER_SQL = """
 with t as (select p_brand, case when p_partkey % 50 != 0 then p_size else p_size * 100 end as major from part),
 g as (select p_brand, count(*) as cataloged, count(major) as r, count(distinct major) as d, max(major) as m, quantile_disc(major, 0.99) as p,
@@ -144,28 +130,6 @@ select user_id, event_type, source_rank, event_id from (select user_id, event_ty
 """
 
 
-def version_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items whose numeric dotted version lies in [introduced, fixed): equality on the package, then the range."""
-    items = table(spark, sf_dir, "part").select("p_partkey", "p_brand", versions.key(F.concat_ws(".", F.col("p_size"), F.col("p_partkey") % 7)).alias("v"))
-    ranges = table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("range_key"), F.col("p_brand").alias("r_brand"), versions.key(F.concat(F.col("p_size"), F.lit(".3"))).alias("introduced"), versions.key(F.concat(F.col("p_size") + 5, F.lit(".0"))).alias("fixed"))
-    return items.join(ranges, (F.col("p_brand") == F.col("r_brand")) & (F.col("v") >= F.col("introduced")) & (F.col("v") < F.col("fixed"))).select("p_partkey", "range_key")
-
-
-VERSION_SQL = """
-with i as (select p_partkey, p_brand, [p_size::bigint, (p_partkey % 7)::bigint] as v from part),
-r as (select p_partkey as range_key, p_brand, [p_size::bigint, 3] as a, [(p_size + 5)::bigint, 0] as b from part where p_partkey % 20 = 0)
-select i.p_partkey, range_key from i join r on i.p_brand = r.p_brand and v >= a and v < b
-"""
-
-
-def trigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names and types that share at least three tenths of their trigrams, over an inverted join of trigrams."""
-    p = table(spark, sf_dir, "part")
-    left = p.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    found = trigrams.similar(left, p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name")).unionByName(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))).groupBy("name").agg(F.min("id").alias("id")), 0.3)
-    return found.select("left_id", "right_id", "shared", "total")
-
-
 TRIGRAM_SQL = r"""
 with n as (select p_partkey as id, p_name as name from part where p_partkey % 100 = 0),
 c as (select name, min(id) as id from (select p_type as name, p_partkey as id from part union all select p_name, p_partkey from part) group by name),
@@ -215,18 +179,19 @@ from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey or
 """
 
 
-def confirmed_rate_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers with at least ten resolved orders of which less than half are confirmed; an unknown one is not confirmed."""
-    t = table(spark, sf_dir, "orders").select("o_custkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F").alias("confirmed"))
-    g = t.groupBy("o_custkey").agg(F.count("*").alias("resolved"), F.count_if(F.col("confirmed")).alias("confirmed"))
-    return g.withColumn("warning", (F.col("resolved") >= 10) & (F.col("confirmed") * 2 < F.col("resolved")))
+def confirmed_rate_warning(spark: SparkSession, sf_dir: str, least: int = 30, share: float = 0.5) -> DataFrame:
+    """Nations with at least ``least`` resolved orders of which less than a ``share`` is confirmed; an unknown one is not confirmed."""
+    n = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    t = table(spark, sf_dir, "orders").join(n, "o_custkey").select("c_nationkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F").alias("confirmed"))
+    g = t.groupBy("c_nationkey").agg(F.count("*").alias("resolved"), F.count_if(F.col("confirmed")).alias("confirmed"))
+    return g.withColumn("warning", (F.col("resolved") >= least) & (F.col("confirmed") < F.col("resolved") * share))
 
 
-CONFIRMED_SQL = "select o_custkey, count(*) as resolved, count(*) filter (where o_orderstatus = 'F') as confirmed, count(*) >= 10 and count(*) filter (where o_orderstatus = 'F') * 2 < count(*) as warning from orders group by 1"
+CONFIRMED_SQL = "select c_nationkey, count(*) as resolved, count(*) filter (where o_orderstatus = 'F') as confirmed, count(*) >= 30 and count(*) filter (where o_orderstatus = 'F') * 2 < count(*) as warning from orders join customer on o_custkey = c_custkey group by 1"
 
 
 def fresh_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers that no line of a returned kind names, beside those that rows of two keys name."""
+    """Suppliers that no returned line of great quantity names."""
     t = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey"))
     return table(spark, sf_dir, "supplier").join(t, "s_suppkey", "left_anti").select("s_suppkey", "s_name")
 
@@ -238,18 +203,23 @@ CATALOGUE = {
     "capped_ranked_findings": (capped_ranked_findings, CAPPED_SQL),
     "top_n_ranked_cap": (top_n_ranked_cap, TOP_N_SQL),
     "distinct_on_best": (distinct_on_best, DISTINCT_ON_SQL),
-    "outlier_guarded_max": (outlier_guarded_max, OUTLIER_SQL),
+    "outlier_guarded_max": (versioning.outlier_guarded_max, OUTLIER_SQL),
     "coalesce_upsert": (coalesce_upsert, COALESCE_SQL),
     "changed_only_upsert": (changed_only_upsert, CHANGED_SQL),
     "dedup_first_source": (dedup_first_source, DEDUP_SQL),
-    "version_range_join": (version_range_join, VERSION_SQL),
-    "trigram_similarity": (trigram_similarity, TRIGRAM_SQL),
+    "trigram_similarity": (searches.trigram_similarity, TRIGRAM_SQL),
     "json_property_totals": (json_property_totals, JSON_SQL),
     "prefix_ok_cursor": (prefix_ok_cursor, CURSOR_SQL),
     "string_agg_cap_notice": (string_agg_cap_notice, CAP_NOTICE_SQL),
     "confirmed_rate_warning": (confirmed_rate_warning, CONFIRMED_SQL),
     "fresh_anti_join": (fresh_anti_join, ANTI_SQL),
     **MERGES,
+    **SCALARS,
+    **versioning.VERSIONING,
+    **RELATIONAL,
+    **searches.SEARCHES,
+    **INCREMENTAL,
+    **REPORTS,
 }
 
 
@@ -258,4 +228,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in CATALOGUE.items()}
+    return {k: sql for k, (_, sql) in CATALOGUE.items() if sql}

@@ -93,15 +93,15 @@ left join (select * from nation where n_nationkey % 2 = 0) n on s_nationkey = n_
 
 
 def avg_without_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each customer the orders, their lines and the sum of the orders' totals: lines are counted before the join, so
-    that no order counts as often as it has lines."""
+    """For each customer the orders, their lines, the sum of the orders' totals and what a line costs on average: lines are
+    counted before the join, so that no order counts as often as it has lines."""
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice").join(lines, "o_orderkey", "left")
-    return o.groupBy("o_custkey").agg(F.count("*").alias("n_orders"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_lines"), money("o_totalprice").alias("total"))
+    return o.groupBy("o_custkey").agg(F.count("*").alias("n_orders"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_lines"), money("o_totalprice").alias("total")).withColumn("average", F.try_divide("total", "n_lines"))
 
 
 FANOUT_SQL = """
-select o_custkey, count(*) as n_orders, coalesce(sum(n), 0)::bigint as n_lines, sum(o_totalprice::decimal(15,2))::double as total from orders
+select o_custkey, count(*) as n_orders, coalesce(sum(n), 0)::bigint as n_lines, sum(o_totalprice::decimal(15,2))::double as total, sum(o_totalprice::decimal(15,2))::double / nullif(sum(n), 0) as average from orders
 left join (select l_orderkey, count(*) as n from lineitem group by 1) on l_orderkey = o_orderkey group by 1
 """
 

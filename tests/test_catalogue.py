@@ -18,7 +18,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.CATALOGUE))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_like_duckdb(spark, db, name):
     query, sql = catalogue.CATALOGUE[name]
     df = query(spark, SF)
