@@ -1,4 +1,8 @@
-"""The corpus pipeline: raw documents to packed training sequences, one written table after another."""
+"""The corpus pipeline: raw documents to packed training sequences, one written table after another.
+
+All stages but the last return the columns of their input, whatever further columns it has and however they are named.
+Null texts are empty ones; rows with a null or a repeated id are documents of their own; empty tables stay empty.
+"""
 
 from __future__ import annotations
 
@@ -14,38 +18,39 @@ MASK = "[SECRET]"
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: documents that the compression classifier rejects go."""
-    model = quality.fit(docs, read(spark, sf_dir, "labels"))
-    rated = quality.score(docs, model, also=[c for c in docs.columns if c not in ("doc_id", "text")], with_text=True)
-    return rated.where(F.col("score") >= REJECT_BELOW).select(*docs.columns)
+    """Operator 9: documents that the compression classifier rejects go. A null text is rated as an empty one."""
+    rate = quality.goodness(quality.fit(docs, read(spark, sf_dir, "labels")))
+    return docs.where(rate(F.col("text")) >= REJECT_BELOW)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: one document of each group of near copies (five words, similarity of 0.8 or more) stays.
 
     Each stored row is a document of its own, whatever its id. Of a group the smallest id stays, null ids last, and of
-    rows with one id the first.
+    rows with one id the first. Rows without words are nobody's copies and all stay. Texts stay where they lie but for
+    those that go, and the few that a bitmap of fixed size takes for such.
     """
-    rows = base.stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = minmax.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), percent=80)
-    found = found.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", "doc_id"), "__row")
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
-    stays = found.groupBy("component_id").agg(F.min(place)["__row"].alias("__row"))
-    return rows.join(stays, "__row", "left_semi").select(*docs.columns)
+    rows = base.stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("n"), F.col("doc_id").alias("id")), "rows")
+    found = minmax.near_duplicates(rows.select(F.col("n").alias("doc_id"), F.col("row.text").alias("text")), percent=80)
+    found = found.select(F.col("doc_id").alias("n"), "component_id").join(rows.select("n", "id"), "n")
+    stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "n"))["n"].alias("stays"), F.count("*").alias("size")).where("size > 1")
+    gone = base.stored(found.join(stays, "component_id").where("n != stays").select("n"), "gone")
+    may_go = base.key_filter(gone)
+    return rows.where(~may_go("n")).select("row.*").union(rows.where(may_go("n")).join(gone, "n", "left_anti").select("row.*"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: runs of words that repeat are cut out of the texts."""
-    return repeats.without_repeats(docs).select(*docs.columns)
+    """Operator 5: runs of words that repeat are cut out of the texts; every document stays, if only with an empty text."""
+    return repeats.without_repeats(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: secrets are masked; every document stays."""
-    return secrets.scan(docs, secrets.fit(spark), mask=MASK).select(*docs.columns)
+    return secrets.masked(docs, secrets.fit(docs), MASK)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: pieces of documents in sequences of at most 1,024 tokens."""
+    """Operator 4: pieces of documents in sequences of at most 1,024 tokens; a null text is packed as its end token."""
     pieces, _ = packing.packed(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, size=1024)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
@@ -58,7 +63,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's result is written as Parquet and read again."""
+    return _run(spark, sf_dir)
+
+
+@base.scoped("pipeline")
+def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = base.stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs = base.scoped(name.replace(" ", "_"))(stage)(spark, docs, sf_dir)
     return docs
