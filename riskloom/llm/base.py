@@ -10,7 +10,6 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,25 +103,43 @@ def scoped(name: str) -> Callable:
     return wrap
 
 
-def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> Callable[..., Column]:
-    """A test for rows that may have one of the keys: true for all that do, and for few others.
+class KeyFilter:
+    """A test for rows that may have one of some keys: true for all that do, and for few others.
 
     The keys' hashes are set in a bitmap of 2**bits bits, whatever their number, which is built by a distributed
     aggregation and broadcast. So a large table can be thinned out where it lies; an exact join with the few rows left
     follows. With many more keys than bits the test lets everything through, and the join alone decides.
     """
-    place = F.pmod(F.xxhash64(*keys.columns), F.lit(1 << bits))
-    words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
-    table = np.zeros(1 << (bits - 6), np.uint64)
-    table[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
-    shared = keys.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def has(p: pd.Series) -> pd.Series:
-        at = p.to_numpy().astype(np.uint64)
-        return pd.Series((shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1)
-
-    return lambda *columns: has(F.pmod(F.xxhash64(*columns), F.lit(1 << bits)))
+
+    def __init__(self, keys: DataFrame, bits: int = FILTER_BITS):
+        self.size = 1 << bits
+        words = keys.select(self.place(*keys.columns).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
+        table = np.zeros(self.size >> 6, np.uint64)
+        table[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+        self.shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    def place(self, *columns: Column | str) -> Column:
+        """The bit of a key."""
+        return F.pmod(F.xxhash64(*columns), F.lit(self.size))
+
+    def test(self) -> Callable[[pa.Array], pa.Array]:
+        """For tasks: which bits are set."""
+        shared = self.shared
+
+        def has(places: pa.Array) -> pa.Array:
+            at = places.to_numpy(zero_copy_only=False).astype(np.uint64)
+            return pa.array((shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1)
+
+        return has
+
+    def __call__(self, *columns: Column | str) -> Column:
+        test = self.test()
+
+        @F.arrow_udf("boolean")
+        def has(places: pa.Array) -> pa.Array:
+            return test(places)
+
+        return has(self.place(*columns))
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -93,12 +93,14 @@ def agreement_bits(sets: list[np.ndarray], words: int) -> np.ndarray:
     return out
 
 
-def shingle_sets(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    """(doc_id, items, bits): the whole set of each document as ascending unsigned 64-bit hashes, and its bits."""
+def shingle_sets(docs: DataFrame, named: base.KeyFilter, shingle: int, words: int) -> DataFrame:
+    """(doc_id, items, bits): the whole set of each named document as ascending unsigned 64-bit hashes, and its bits."""
+    has = named.test()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for whole in batches:
+        for every in batches:
+            whole = every.filter(has(every["place"]))
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 sets = batch_sets(b["text"], hashes, shingle)
@@ -108,7 +110,8 @@ def shingle_sets(docs: DataFrame, shingle: int, words: int) -> DataFrame:
                 lists = base.list_array(np.concatenate(sets).view(np.int64), n, pa.int64())
                 yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), lists, base.list_array(bits.reshape(-1).view(np.int64), np.where(n > 0, words, 0), pa.int64())], ["doc_id", "items", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, items array<long>, bits array<long>").where(F.size("items") > 0)
+    rows = docs.withColumn("place", named.place(F.col("doc_id").cast("long")))
+    return rows.mapInArrow(run, "doc_id long, items array<long>, bits array<long>").where(F.size("items") > 0)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -191,14 +194,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, per_
     """(doc_id, n_shingles, component_id, kept): links are pairs with 100 * intersection >= percent * union."""
     source = base.texts(docs)
     rows = base.stored(sketch(source, bands, per_band, shingle), "sketch")
-    named = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = base.stored(named.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("k1", "k2", F.col("r.doc_id").alias("node"), F.col("r.bands").alias("bands")), "classes")
+    usable = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    classes = base.stored(usable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("k1", "k2", F.col("r.doc_id").alias("node"), F.col("r.bands").alias("bands")), "classes")
     members = classes.select(F.posexplode("bands").alias("band", "bucket"), "node").withColumn("band", F.col("band") + 1)
     shared = base.stored(shared_buckets(members), "shared")
     stars = base.stored(shared.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     # Texts stay where they lie: a bitmap lets those through that may be of a shared bucket, the joins of ``confirmed`` decide.
-    named_in_a_bucket = base.key_filter(stars.select(F.explode(F.array("a", "b")).alias("doc_id")))
-    sets = base.stored(shingle_sets(source.where(named_in_a_bucket(F.col("doc_id").cast("long"))), shingle, words), "sets")
+    named = base.KeyFilter(stars.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    sets = base.stored(shingle_sets(source, named, shingle, words), "sets")
     links = base.stored(confirmed(stars, sets, percent), "confirmed")
     found = components(links)
     sketches = sets.select(F.col("doc_id").alias("node"), "bits").join(classes.select("node", "bands"), "node").distinct()
