@@ -46,8 +46,8 @@ class Block:
         self.vocab: list[bytes] = words.split(b" ") if words else []
         self.row = row
 
-    def hashes(self) -> np.ndarray:
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.vocab), np.uint64, len(self.vocab))
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.vocab), np.uint64, len(self.vocab))
 
 
 def blocks(docs: DataFrame, lower: bool, also: list[str], block_words: int = BLOCK_WORDS) -> DataFrame:

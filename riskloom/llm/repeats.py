@@ -9,8 +9,9 @@ the path), and every window inside is repeated. Windows that reach over a path's
 verified by themselves: their hashes, with their source coordinates, are counted over all blocks. Both decisions
 depend only on the window's words, so all occurrences of a window are decided alike.
 
-Words, edges and windows are compared by 64-bit hashes. Two different windows among n are taken for equal with a
-probability of about n * n / 2**65, and inside a path a node and its edges must both agree.
+Windows are equal if two independent hashes of 64 bits agree, each over other hashes of the words; inside a path a
+node agrees by the first and its edges, which cover its words, by the second. Among n different windows two are taken
+for equal with a probability of about n * n / 2**129 (3e-13 for 1e13 windows).
 
 Nulls and ties: a null or empty text has no words; fewer words than a window are never removed; a null id is kept as
 null; repeated rows are documents of their own, so their windows occur twice. An empty table gives an empty result.
@@ -42,8 +43,7 @@ class Graph:
     def __init__(self, block: Block, window: int, k: int):
         self.window, self.k = window, k
         self.doc = np.repeat(np.arange(len(block.lengths)), block.lengths)
-        vocab = block.hashes()
-        h = vocab[block.ids] if len(vocab) else np.empty(0, np.uint64)
+        h, self.second = (block.hashes(seed)[block.ids] if block.vocab else np.empty(0, np.uint64) for seed in (0, 1))
         n = len(h)
         ok = np.flatnonzero(self.doc[window - 1 :] == self.doc[: n - window + 1]) if n >= window else np.empty(0, np.int64)
         self.starts = ok
@@ -59,7 +59,7 @@ class Graph:
         self.place, self.anchor = np.unique(place, return_inverse=True)
         self.keys = kmers[self.place]
         up, down = powers(n + 1)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[:n], dtype=np.uint64)))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.second * up[:n], dtype=np.uint64)))
         p, q = self.place[:-1], self.place[1:] + k
         self.linked = self.doc[p] == self.doc[self.place[1:]]
         edge = mixed((total[q] - total[p]) * down[p] + (q - p).astype(np.uint64))
@@ -67,6 +67,20 @@ class Graph:
         none = np.zeros(1, np.uint64)
         self.context = mixed(np.concatenate((none, edge)) * np.uint64(0x9E3779B97F4A7C15) + np.concatenate((edge, none)))
 
+    def window_values(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the chosen windows' distinct (hash, check value), by hash: both, how many windows, and each window's place.
+
+        The check value is a hash of the window over other hashes of its words.
+        """
+        keys = self.windows[chosen]
+        checks = runs(self.second, self.window)[self.starts[chosen]] if len(keys) else keys
+        order = np.lexsort((checks, keys))
+        k, c = keys[order], checks[order]
+        new = np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]))) if len(k) else np.empty(0, bool)
+        place = np.empty(len(k), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return k[new], c[new], np.bincount(place, minlength=int(new.sum())).astype(np.uint32), place
+
     def paths(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First and last anchor of each compacted path, and where its words begin and end."""
         inside = kind == PATH
@@ -98,6 +112,17 @@ def distinct(keys: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndar
     return k[first], (last - first + 1).astype(np.uint32), c[first], c[first] == c[last]
 
 
+def repeated(inverse: np.ndarray, n: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """For each sent (key, check value): does the pair occur more than once? Equal keys with other check values are others."""
+    order = np.lexsort((checks, inverse))
+    i, c = inverse[order], checks[order]
+    group = np.cumsum(np.concatenate(([True], (i[1:] != i[:-1]) | (c[1:] != c[:-1])))) - 1 if len(i) else i
+    out = np.empty(len(i), bool)
+    out[order] = (np.bincount(group, n[order]) > 1)[group] if len(i) else False
+    return out
+
+
+@base.scoped("runs")
 def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = KMER, with_paths: bool = False) -> DataFrame:
     """(doc_id, h, n_words, n_removed, kept_sha256, spans, paths) for each document (doc_id, text, h).
 
@@ -138,15 +163,15 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = KMER, with_pat
         for row in rows_of(batches):
             g = Graph(Block(row), window, k)
             _, is_open = g.decided(of_anchors(g, row["kinds"]))
-            keys, n = np.unique(g.windows[is_open], return_counts=True)
-            if rows := list(chunks(row["block"], keys, [n.astype(np.uint32)], parts)):
+            keys, checks, n, _ = g.window_values(is_open)
+            if rows := list(chunks(row["block"], keys, [n, checks], parts)):
                 yield batch(rows, arrow)
 
     def often(keys, inverse, columns):
-        return (np.bincount(inverse, columns[0], len(keys)) > 1)[inverse], ()
+        return repeated(inverse, *columns), ()
 
     known = with_replies(slim, node_kinds, "kinds")
-    verified = base.stored(answers(known.mapInArrow(open_windows, CHUNK), [np.uint32], often), "windows")
+    verified = base.stored(answers(known.mapInArrow(open_windows, CHUNK), [np.uint32, np.uint64], often), "windows")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
@@ -154,9 +179,8 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = KMER, with_pat
             g = Graph(block, window, k)
             kind = of_anchors(g, row["kinds"])
             hit, is_open = g.decided(kind)
-            _, at = np.unique(g.windows[is_open], return_inverse=True)
             if is_open.any():
-                hit[is_open] = joined(row["often"], np.bool_)[at]
+                hit[is_open] = joined(row["often"], np.bool_)[g.window_values(is_open)[3]]
             covered = np.zeros(len(block.ids) + 1, np.int64)
             np.add.at(covered, g.starts[hit], 1)
             np.add.at(covered, g.starts[hit] + window, -1)
@@ -199,24 +223,42 @@ def hashed_texts(docs: DataFrame) -> DataFrame:
     return base.texts(docs).withColumn("h", F.xxhash64("text"))
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER) -> DataFrame:
-    """The documents with repeated runs of words cut out of ``text``; a text with nothing to cut stays as it is, one
-    with cuts is its kept words joined by single spaces. All columns of the input come back."""
-    found = repeated_runs(hashed_texts(docs), window, k).where("n_removed > 0").select("doc_id", "h", "spans").dropDuplicates(["doc_id", "h"])
-    found = base.stored(found, "spans").withColumnsRenamed({"doc_id": "__id", "h": "__h"})
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.join(found, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h")), "left").drop("__id", "__h")
-
-    def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names = [c for c in b.schema.names if c != "spans"]
-            texts = b["text"].to_pylist()
-            for i, spans in enumerate(b["spans"].to_pylist()):
-                if spans:
-                    words = texts[i].encode().split()
-                    for s in reversed(spans):
-                        del words[s["start"] : s["start"] + s["length"]]
-                    texts[i] = b" ".join(words).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field("text").type) if c == "text" else b[c] for c in names], names)
-
-    return rows.mapInArrow(trim, docs.schema)
+@base.scoped("spans")
+def cuts(docs: DataFrame, window: int, k: int) -> DataFrame:
+    """(doc_id, h, spans) of the documents with something to cut."""
+    return repeated_runs(hashed_texts(docs), window, k).where("n_removed > 0").select("doc_id", "h", "spans").dropDuplicates(["doc_id", "h"])
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with repeated runs of words cut out of the text; a text with nothing to cut stays as it is, one
+    with cuts is its kept words joined by single spaces. All columns of the input come back, whatever their names.
+
+    Only the texts with something to cut, and the few that a bitmap of fixed size takes for such, move to be joined with
+    their cuts; all others are passed on where they lie.
+    """
+    pair = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = cuts(pair, window, k)
+    may_be_cut = base.KeyFilter(found.select("doc_id", "h"))
+    rows = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"))
+    rows = rows.select("row", F.col(f"row.{quoted(id_col)}").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(f"row.{quoted(text_col)}"), F.lit(""))).alias("h"))
+
+    @F.arrow_udf("string")
+    def trimmed(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for text, cuts in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
+            words = (text or "").encode().split()
+            for s in reversed(cuts):
+                del words[s["start"] : s["start"] + s["length"]]
+            out.append(b" ".join(words).decode())
+        return pa.array(out, pa.string())
+
+    sure = rows.where(~may_be_cut("doc_id", "h")).select("row.*")
+    joined_rows = rows.where(may_be_cut("doc_id", "h")).alias("r").join(found.alias("f"), F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.h") == F.col("f.h")), "left").select("row", "spans")
+    joined_rows = base.stored(joined_rows, "joined")
+    same = joined_rows.where("spans is null").select("row.*")
+    cut = joined_rows.where("spans is not null").select(*(trimmed(F.col(f"row.{quoted(c)}"), "spans").alias(c) if c == text_col else F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns))
+    return sure.union(same).union(cut)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
