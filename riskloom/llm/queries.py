@@ -57,7 +57,8 @@ def op7_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.findings(read(spark, sf_dir, "documents"), secrets.fit(spark)).select("doc_id", "n_candidates", "n_secrets", "secrets")
+    docs = read(spark, sf_dir, "documents")
+    return secrets.findings(docs, secrets.fit(docs)).select("doc_id", "n_candidates", "n_secrets", "secrets")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
