@@ -18,7 +18,7 @@ import numpy as np
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u206f\u3000\ufeff]")
 STRETCH = re.compile(r"[ \t\n\r\v\f]*[^ \t\n\r\v\f]+|[ \t\n\r\v\f]+")
 #: Stretches kept by a worker, and the longest that is kept.
-KEPT, KEPT_CHARS = 1_200_000, 48
+KEPT, KEPT_CHARS = 800_000, 48
 MARKS = ".,;:!?"
 #: Words that are encoded as one text.
 TOGETHER = 512

@@ -48,3 +48,34 @@ def test_repeated_rows_and_null_ids(spark):
     want = sorted([(1, text(1)), (4, text(2)), (None, text(3)), (6, text(4)), (7, ""), (7, ""), (None, None)], key=key)
     assert sorted((tuple(r) for r in near.collect()), key=key) == want
     assert sorted((tuple(r) for r in corpus_pipeline.substrings(spark, near, SF).collect()), key=key) == want
+
+
+def test_columns_of_any_name_pass_through(spark):
+    docs = read(spark, SF, "documents")
+    names = ["score", "spans", "found", "__text", "__id", "__h", "h", "row", "n", "id", "bands", "a.b", "stays", "kind"]
+    wide = docs.select("*", *(docs.doc_id.alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns, name
+        plain = {r["doc_id"]: r["text"] for r in stage(spark, docs, SF).collect()}
+        assert {r["doc_id"]: r["text"] for r in out.collect()} == plain, name
+        assert all(r["a.b"] == r["doc_id"] == r["score"] for r in out.collect())
+    assert corpus_pipeline.pack(spark, wide, SF).count() == corpus_pipeline.pack(spark, docs, SF).count()
+
+
+def test_empty_and_null(spark):
+    empty = read(spark, SF, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0, name
+    docs = spark.createDataFrame([(None, None), (1, None), (2, "")], "doc_id long, text string")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs, SF).count() == 3, name
+
+
+def test_intermediate_tables_go(spark):
+    import glob
+
+    folder = base.shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/riskloom/*"))
+    corpus_pipeline.run(spark, SF)
+    assert [x.rsplit("/", 1)[1].split("-")[0] for x in set(glob.glob(f"{folder}/riskloom/*")) - before] == ["pipeline"]
