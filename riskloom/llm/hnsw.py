@@ -1,11 +1,16 @@
 """Approximate nearest neighbours by a hierarchical navigable small-world graph for each shard (operator 6).
 
-Vectors are dealt to shards of about ``shard_rows`` by a hash. A shard's graph is stored as flat neighbour arrays: one
-int32 matrix for each level. Rows enter in batches: each batch searches the graph so far for its neighbours, keeps a
-spread-out few of them and links both ways; a node whose list overflows keeps its best. Queries come in blocks, each
-block visits every shard, and the shards' answers are merged. Nearness is the inner product in double precision; the
-graph is built on vectors with one more component that makes them equally long, which turns the largest inner product
-into the least distance.
+Vectors are dealt to shards of about ``shard_rows``: first to the nearest of some centroids, fitted on a bounded sample,
+then by a hash where a centroid has more. A task builds its shard's graph, and the graph is stored as one Parquet row of
+flat arrays: ids, vectors, and for each level the nodes' neighbours as 32-bit integers. Rows enter a graph in batches: each
+batch searches the graph so far for its neighbours, keeps a spread-out few of them and links both ways; a node whose list
+overflows keeps its best. Searching reads the stored rows: a task loads one shard's arrays for one block of queries of
+bounded size, and the shards' answers are merged.
+
+A query visits the shards of its nearest centroids only. How many is audited in each run: a bounded sample of queries is
+compared with all rows, and so many centroids are visited as hold ``target`` of the sample's true neighbours, all of them
+if need be. Nearness is the inner product in double precision; the graph is built on vectors with one more component
+that makes them equally long, which turns the largest inner product into the least distance.
 
 Equal vectors form one node, which answers with its least ids, as many as an answer can need: so copies neither crowd
 the graph nor the answers, and ties go to the smaller id.
@@ -29,7 +34,9 @@ from . import base, vectors
 
 #: Rows of a shard; neighbours on a level (twice as many on the lowest); width of the search while building and asking.
 SHARD_ROWS, LINKS, BUILD_WIDTH, SEARCH_WIDTH = 4096, 16, 96, 192
-BATCH, QUERY_BLOCK = 128, 128
+BATCH, QUERY_BLOCK = 128, 1024
+#: Most centroids, rows they are fitted on, queries of the audit, and the share of true neighbours that visits must hold.
+CENTROIDS, SAMPLE, AUDIT, TARGET = 1024, 16_384, 128, 0.97
 
 
 class Graph:
@@ -50,6 +57,18 @@ class Graph:
             self._add(np.arange(at, min(n, at + size)), width)
             at += size
 
+    def arrays(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        return self.data.ravel(), [t.ravel() for t in self.levels]
+
+    @classmethod
+    def stored(cls, data: np.ndarray, levels: list[np.ndarray]) -> Graph:
+        """A graph from its arrays, for searching."""
+        out = cls.__new__(cls)
+        norms = (data * data).sum(axis=1)
+        out.data, out.levels = data, [t.reshape(len(data), -1) for t in levels]
+        out.points = np.column_stack([data, np.sqrt(np.maximum(norms.max(initial=0) - norms, 0))])
+        return out
+
     def _add(self, new: np.ndarray, width: int) -> None:
         entry = np.zeros((len(new), 1), np.int64)
         for level in range(len(self.levels) - 1, -1, -1):
@@ -158,50 +177,146 @@ class Graph:
         return nodes, exact
 
 
-def shard_index(rows: DataFrame, n: int, shards: int) -> DataFrame:
-    """Classes of equal vectors (ids, vector) with their shard; as many least ids as an answer of ``n`` can need."""
-    return vectors.least_ids(rows, n + 1).select(F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard"), "ids", "vector")
+def centroids(rows: DataFrame, k: int, sample: int) -> np.ndarray:
+    """``k`` means of at most ``sample`` vectors of the most frequent length, those with the least hashes."""
+    some = rows.orderBy(F.xxhash64("vector"), "vec_id").limit(sample).select("vector").toArrow()["vector"]
+    sizes = pa.compute.list_value_length(some).to_numpy()
+    most = np.bincount(sizes).argmax()
+    data = vectors.matrix(some.combine_chunks().filter(pa.array(sizes == most)))
+    rng = np.random.default_rng(6)
+    means = data[rng.permutation(len(data))[: min(k, len(data))]].copy()
+    for _ in range(8):
+        of = nearest_centroid(data, means)
+        for c in range(len(means)):
+            if (mine := data[of == c]).size:
+                means[c] = mine.mean(axis=0)
+    return means
 
 
-def nearest(rows: DataFrame, queries: DataFrame, n: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, links: int = LINKS, build_width: int = BUILD_WIDTH, width: int = SEARCH_WIDTH) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query row its ``n`` nearest rows but itself."""
-    spark = rows.sparkSession
-    indexed = vectors.usable(rows, id_col, vector_col)
-    asked = vectors.usable(queries, id_col, vector_col).distinct()
-    total = indexed.count()
-    shards = max(1, math.ceil(total / shard_rows))
-    index = shard_index(indexed, n, shards).select("shard", "ids", "vector", F.lit(None).cast("array<long>").alias("query_ids"), F.lit(None).cast("array<double>").alias("flat"))
-    # Queries in blocks: a row for each block and shard, not for each query and row.
-    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    dealt = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.size("vector").alias("size"))
-    dealt = dealt.agg(F.collect_list("vec_id").alias("query_ids"), F.flatten(F.collect_list("vector")).alias("flat"))
-    each = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<double>").alias("vector"), "query_ids", "flat")
-
-    def search(key: tuple, table: pa.Table) -> pa.Table:
-        nodes = table.filter(pa.compute.is_valid(table["ids"]))
-        blocks = table.filter(pa.compute.is_valid(table["query_ids"])).to_pylist()
-        ids, sizes = nodes["ids"].to_pylist(), pa.compute.list_value_length(nodes["vector"]).to_numpy()
-        out_q, out_v, out_s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float64)]
-        for size in np.unique(sizes):
-            here = np.flatnonzero(sizes == size)
-            data = vectors.matrix(nodes["vector"].take(pa.array(here)))
-            order = np.lexsort(data.T[::-1])  # the same graph whatever the order of arrival
-            here, data = here[order], data[order]
-            here = here[np.random.default_rng(1).permutation(len(here))] if len(here) else here
-            data = vectors.matrix(nodes["vector"].take(pa.array(here)))
-            graph = Graph(data, links, build_width)
-            for block in blocks:
-                q = np.array(block["flat"]).reshape(len(block["query_ids"]), -1)
-                if q.shape[1] != size:
+def nearest_centroid(data: np.ndarray, means: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *(((means * means).sum(axis=1) - 2 * data[i : i + 4096] @ means.T).argmin(axis=1) for i in range(0, len(data), 4096))])
+
+
+INDEX = "cell int, sub int, size int, ids array<array<long>>, vectors array<double>, levels array<array<int>>"
+
+
+def build(rows: DataFrame, n: int, means: np.ndarray, shard_rows: int, links: int, width: int) -> DataFrame:
+    """The stored index, a row for each shard (INDEX). Vectors of another length than the centroids' are in cell -1."""
+    shared = rows.sparkSession.sparkContext.broadcast(means)
+    classes = vectors.least_ids(rows, n + 1).select("ids", "vector")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = pa.compute.list_value_length(b["vector"]).to_numpy()
+            cell = np.full(b.num_rows, -1, np.int32)
+            fits = np.flatnonzero(sizes == shared.value.shape[1])
+            if len(fits):
+                cell[fits] = nearest_centroid(vectors.matrix(b["vector"].take(pa.array(fits))), shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(sizes.astype(np.int32)), b["ids"], b["vector"]], ["cell", "size", "ids", "vector"])
+
+    placed = base.stored(classes.mapInArrow(place, "cell int, size int, ids array<long>, vector array<double>"), "placed")
+    subs = placed.groupBy("cell", "size").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("subs"))
+    dealt = placed.join(F.broadcast(subs) if len(means) <= CENTROIDS else subs, ["cell", "size"]).withColumn("sub", F.pmod(F.xxhash64("vector"), F.col("subs")).cast("int")).drop("subs")
+
+    def graph(key: tuple, table: pa.Table) -> pa.Table:
+        data = vectors.matrix(table["vector"])
+        order = np.lexsort(data.T[::-1])  # the same graph whatever the order of arrival
+        order = order[np.random.default_rng(1).permutation(len(order))]
+        flat, levels = Graph(data[order], links, width).arrays()
+        ids = table["ids"].combine_chunks().take(pa.array(order)).to_pylist()
+        cell, sub, size = (k.as_py() for k in key)
+        return pa.table({"cell": pa.array([cell], pa.int32()), "sub": pa.array([sub], pa.int32()), "size": pa.array([size], pa.int32()), "ids": pa.array([ids], pa.list_(pa.list_(pa.int64()))), "vectors": pa.array([flat], pa.list_(pa.float64())), "levels": pa.array([levels], pa.list_(pa.list_(pa.int32())))})
+
+    return base.stored(dealt.groupBy("cell", "sub", "size").applyInArrow(graph, INDEX), "index", compression="zstd")
+
+
+def true_nearest(rows: DataFrame, asked: list[tuple[int, list[float]]], n: int) -> DataFrame:
+    """(query_id, vec_id, score, vector): the ``n`` nearest of each of a bounded number of queries, by comparing all rows."""
+    ids = np.array([i for i, _ in asked])
+    q = np.array([v for _, v in asked])
+    shared = rows.sparkSession.sparkContext.broadcast((ids, q))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = shared.value
+        for b in batches:
+            keep = np.flatnonzero(pa.compute.list_value_length(b["vector"]).to_numpy() == q.shape[1])
+            if not len(keep):
+                continue
+            b = b.take(pa.array(keep))
+            score = q @ vectors.matrix(b["vector"]).T
+            score[own[:, None] == b["vec_id"].to_numpy()[None, :]] = -np.inf
+            best = np.argpartition(-score, min(n, score.shape[1] - 1), axis=1)[:, :n]
+            who, at = np.repeat(np.arange(len(own)), best.shape[1]), best.ravel()
+            ok = np.isfinite(score[who, at])
+            who, at = who[ok], at[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(own[who]), b["vec_id"].take(pa.array(at)), pa.array(score[who, at]), b["vector"].take(pa.array(at))], ["query_id", "vec_id", "score", "vector"])
+
+    near = rows.mapInArrow(compare, "query_id long, vec_id long, score double, vector array<double>")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("rank")
+
+
+def visits(rows: DataFrame, asked: DataFrame, means: np.ndarray, n: int, audit: int, target: float) -> int:
+    """How many centroids a query must visit: audited on at most ``audit`` queries, those with the least hashes."""
+    some = asked.where(F.size("vector") == means.shape[1]).orderBy(F.xxhash64("vec_id", "vector")).limit(audit).collect()
+    if len(means) == 1 or not some:
+        return len(means)
+    queries = {r["vec_id"]: np.array(r["vector"]) for r in some}
+    found = true_nearest(rows, [(i, v.tolist()) for i, v in queries.items()], n).collect()
+    if not found:
+        return len(means)
+    cell = nearest_centroid(np.array([r["vector"] for r in found]), means)
+    rank = {i: np.argsort(np.argsort(-(means @ v))) for i, v in queries.items()}
+    needed = np.sort([rank[r["query_id"]][c] + 1 for r, c in zip(found, cell, strict=True)])
+    return int(needed[math.ceil(target * len(needed)) - 1])
+
+
+def search(index: DataFrame, asked: DataFrame, means: np.ndarray, probes: int, n: int, width: int, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, vec_id, score): the answers of the shards that each query visits."""
+    spark = index.sparkSession
+    shared = spark.sparkContext.broadcast(means)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = pa.compute.list_value_length(b["vector"]).to_numpy()
+            fits = sizes == shared.value.shape[1]
+            for chosen, cells in ((np.flatnonzero(~fits), None), (np.flatnonzero(fits), shared.value)):
+                if not len(chosen):
                     continue
-                found, score = graph.nearest(q, max(width, n + 1))
-                for i, query in enumerate(block["query_ids"]):
+                if cells is None:
+                    who, cell = chosen, np.full(len(chosen), -1)
+                else:
+                    near = np.argsort(-(vectors.matrix(b["vector"].take(pa.array(chosen))) @ cells.T), axis=1)[:, :probes]
+                    who, cell = np.repeat(chosen, near.shape[1]), near.ravel()
+                at = pa.array(who)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(sizes[who].astype(np.int32)), b["vec_id"].take(at), b["vector"].take(at)], ["cell", "size", "query_id", "vector"])
+
+    routed = asked.mapInArrow(route, "cell int, size int, query_id long, vector array<double>")
+    # A shard's queries in blocks of bounded size; its arrays go to each block.
+    blocks = routed.groupBy("cell", "size").agg(F.ceil(F.count("*") / query_block).cast("int").alias("blocks"))
+    shards = index.select("cell", "sub", "size").join(blocks, ["cell", "size"])
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    keys = ["cell", "sub", "size", "block"]
+    left = index.join(shards, ["cell", "sub", "size"]).select("*", each).drop("blocks")
+    right = routed.withColumn("h", F.xxhash64("query_id", "vector")).join(shards, ["cell", "size"]).withColumn("block", F.pmod("h", "blocks").cast("int")).select(*keys, "query_id", "vector")
+
+    def ask(key: tuple, graphs: pa.Table, queries: pa.Table) -> pa.Table:
+        out_q, out_v, out_s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float64)]
+        if graphs.num_rows and queries.num_rows:
+            row = graphs.slice(0, 1)
+            ids = row["ids"][0].as_py()
+            data = row["vectors"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            graph = Graph.stored(data, [np.array(t, np.int32) for t in row["levels"][0].as_py()])
+            q, own = vectors.matrix(queries["vector"]), queries["query_id"].to_pylist()
+            for at in range(0, len(q), BATCH):
+                found, score = graph.nearest(q[at : at + BATCH], max(width, n + 1))
+                for i, query in enumerate(own[at : at + BATCH]):
                     left, got_v, got_s = n, [], []
                     for node, s in zip(found[i], score[i], strict=True):
                         # the shard's answer is cut where a lower score begins and enough are there
                         if node < 0 or (left <= 0 and s < got_s[-1]):
                             break
-                        mine = [x for x in ids[here[node]] if x != query]
+                        mine = [x for x in ids[node] if x != query]
                         got_v += mine
                         got_s += [s] * len(mine)
                         left -= len(mine)
@@ -210,7 +325,34 @@ def nearest(rows: DataFrame, queries: DataFrame, n: int = 20, id_col: str = "vec
                     out_s.append(np.array(got_s, np.float64))
         return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
 
-    found = index.unionByName(each).groupBy("shard").applyInArrow(search, "query_id long, vec_id long, score double")
-    found = base.stored(found, "found")
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # both come from ``shards``
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(ask, "query_id long, vec_id long, score double")
+
+
+@base.scoped("nearest")
+def nearest(rows: DataFrame, queries: DataFrame, n: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, links: int = LINKS, build_width: int = BUILD_WIDTH, width: int = SEARCH_WIDTH, audit: int = AUDIT, target: float = TARGET) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each query row its ``n`` nearest rows but itself."""
+    indexed = vectors.usable(rows, id_col, vector_col)
+    asked = vectors.usable(queries, id_col, vector_col).distinct()
+    shape = "query_id long, rank int, vec_id long, score double"
+    total = indexed.count()
+    if not total:
+        return rows.sparkSession.createDataFrame([], shape)
+    means = centroids(indexed, min(CENTROIDS, math.ceil(total / shard_rows)), SAMPLE)
+    index = build(indexed, n, means, shard_rows, links, build_width)
+    probes = visits(indexed, asked, means, n, audit, target)
+    found = base.stored(search(index, asked, means, probes, n, width), "found")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("query_id", "rank", "vec_id", "score")
+
+
+def recall(rows: DataFrame, found: DataFrame, queries: DataFrame, n: int = 20, audit: int = AUDIT, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
+    """The share of the true nearest of at most ``audit`` queries that ``found`` names; ties at the end count as found."""
+    asked = vectors.usable(queries, id_col, vector_col).orderBy(F.xxhash64("vec_id", "vector")).limit(audit).collect()
+    asked = [r for r in asked if len(r["vector"]) == len(asked[0]["vector"])]
+    if not asked:
+        return 1.0
+    true = true_nearest(vectors.usable(rows, id_col, vector_col), [(r["vec_id"], r["vector"]) for r in asked], n).select("query_id", F.col("score").alias("t"))
+    least = found.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    row = true.join(least, "query_id", "left").agg(F.count("*"), F.count_if((F.col("t") >= F.col("least") - 1e-9))).first()
+    return row[1] / row[0] if row[0] else 1.0
