@@ -2,16 +2,22 @@
 
 Equal vectors form one node. The first neighbour graph comes from several orders of the nodes by random sign codes: in
 each order, runs of ``block`` consecutive nodes are compared. Then neighbours meet through their common neighbours: a
-node's neighbours and those that name it are compared with each other, and each keeps its ``k`` nearest, until a round
-finds no further link. Where comparing shows links (cosine >= threshold), a spanning forest of them is reported, so
-every link met joins its components even where a list is full of nearer ones. A list full of links is saturated; such a
-node's list is enlarged to its whole component: the component is cut into tiles, and pairs of tiles are multiplied, so
-links are counted in full without a row for each pair. ``recall`` audits the result against brute force.
+node's neighbours and those that name it are compared with each other, and each keeps its nearest. A list whose last
+entry is a link (cosine >= threshold) is saturated and becomes twice as long for the next round, up to ``longest``. The
+rounds end when no list is saturated anew and hardly any entry (``settled``) changes. Where comparing shows links, a
+spanning forest of them is reported, so every link met joins its components even where a list is full of nearer ones.
+
+In dense groups a list of any bounded length misses links, so links are counted apart: each component is cut into tiles, and
+pairs of tiles are multiplied, without a row for each pair. A list of any length finds the component; the tiles count in full.
+
+Each run audits itself: a bounded sample of nodes is compared with all, and if less than ``target`` of their links lie within
+the found components, further orders are drawn and the descent goes on, ``retries`` times at most. The share is the result's
+column ``audit_recall`` (1 where the sample has no link).
 
 Nulls and ties: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
 their own component; a null id has a null component, no links and is kept; rows with equal ids are one vector each, and
 their component is the least id reachable; vectors of different lengths link with nothing. A list's ties go to the
-smaller id. An empty table gives an empty result.
+smaller node number. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,21 +26,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import base, vectors
 from .components import components
 
 THRESHOLD = 0.95
-#: Neighbours of a list, orders for the first graph, nodes compared in an order's run, rounds at most, nodes of a tile.
-K, ORDERS, BLOCK, ROUNDS, TILE = 8, 8, 128, 6, 512
+#: First length of a list and its greatest, orders for the first graph, nodes compared in an order's run, nodes of a tile.
+K, LONGEST, ORDERS, BLOCK, TILE = 8, 64, 8, 128, 512
 #: Those that name a node are compared in groups of about so many.
 GROUP = 64
+#: Share of entries that a settled graph still changes; nodes of the audit, the recall it wants, and how often it tries again.
+SETTLED, AUDIT, TARGET, RETRIES = 0.002, 256, 0.95, 3
 NEAR = "node long, near array<struct<d:double,node:long>>, link long"
 
 
-def codes(nodes: DataFrame, orders: int) -> DataFrame:
+def codes(nodes: DataFrame, orders: range) -> DataFrame:
     """(order, code, node, vector): signs of 60 random projections, in each order of the nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +52,7 @@ def codes(nodes: DataFrame, orders: int) -> DataFrame:
                 at = pa.array(np.flatnonzero(sizes == size))
                 part = b.take(at)
                 data = vectors.matrix(part["vector"])
-                for o in range(orders):
+                for o in orders:
                     planes = np.random.default_rng([o, int(size)]).normal(size=(int(size), 60))
                     code = ((data @ planes > 0).astype(np.int64) << np.arange(60)).sum(axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), o * 100_000 + size, np.int64)), pa.array(code), part["node"], part["vector"]], ["order", "code", "node", "vector"])
@@ -80,7 +88,8 @@ def compared(ids: np.ndarray, data: np.ndarray, k: int, threshold: float) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(ids), near, pa.array(ids[parent], mask=parent < 0)], ["node", "near", "link"])
 
 
-def first_graph(nodes: DataFrame, orders: int, block: int, k: int, threshold: float) -> DataFrame:
+def first_graph(nodes: DataFrame, orders: range, block: int, k: int, threshold: float) -> DataFrame:
+    """NEAR rows from comparing the neighbours in each order."""
     dealt = codes(nodes, orders).repartitionByRange("order", "code", "node").sortWithinPartitions("order", "code", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,13 +104,32 @@ def first_graph(nodes: DataFrame, orders: int, block: int, k: int, threshold: fl
     return dealt.mapInArrow(run, NEAR)
 
 
-def merged(found: DataFrame, k: int) -> DataFrame:
-    """(node, near, links): the k nearest of all reports and the linked nodes that these name."""
-    best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k)
-    return found.groupBy("node").agg(best.alias("near"), F.collect_set("link").alias("links"))
+def merged(found: DataFrame, lengths: DataFrame, k: int, longest: int, threshold: float) -> DataFrame:
+    """(node, k, near): the nearest of all entries (node, other, d), as many as the node's list is long.
+
+    A window with a limit chooses them, so a node that very many name is never gathered as a whole.
+    """
+    once = found.groupBy("node", "other").agg(F.min("d").alias("d"))
+    ranked = once.withColumn("rn", F.row_number().over(Window.partitionBy("node").orderBy("d", "other"))).where(F.col("rn") <= longest)
+    kept = ranked.join(lengths, "node", "left").withColumn("k", F.coalesce("k", F.lit(k))).where(F.col("rn") <= F.col("k"))
+    return kept.groupBy("node").agg(F.first("k").alias("k"), F.array_sort(F.collect_list(F.struct("d", F.col("other").alias("node")))).alias("near"))
+
+
+def entries(near: DataFrame) -> DataFrame:
+    return near.select("node", F.explode("near").alias("e")).select("node", F.col("e.node").alias("other"), F.col("e.d").alias("d"))
+
+
+def forest_links(near: DataFrame) -> DataFrame:
+    return near.where("link is not null").select(F.least("node", "link").alias("a"), F.greatest("node", "link").alias("b")).distinct()
 
 
-def meetings(graph: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
+def lengthened(graph: DataFrame, longest: int, threshold: float) -> DataFrame:
+    """(node, k): twice as long where a full list ends with a link."""
+    full = (F.size("near") >= F.col("k")) & (F.element_at("near", -1)["d"] <= -threshold)
+    return graph.select("node", F.when(full, F.least(F.col("k") * 2, F.lit(longest))).otherwise(F.col("k")).alias("k"))
+
+
+def meetings(graph: DataFrame, nodes: DataFrame, longest: int, threshold: float) -> DataFrame:
     """NEAR rows from comparing the neighbours of each node, and those that name it, with each other."""
     edges = graph.select("node", F.explode("near.node").alias("other"))
     names = edges.groupBy("other").agg(F.ceil(F.count("*") / GROUP).alias("groups")).withColumnRenamed("other", "centre")
@@ -117,11 +145,31 @@ def meetings(graph: DataFrame, nodes: DataFrame, k: int, threshold: float) -> Da
             if some.num_rows > 1:
                 ids = some["member"].to_numpy()
                 order = np.argsort(ids)
-                yield compared(ids[order], vectors.matrix(some["vector"])[order], k, threshold)
+                yield compared(ids[order], vectors.matrix(some["vector"])[order], longest, threshold)
 
     return rows.mapInArrow(run, NEAR)
 
 
+def descended(nodes: DataFrame, met: DataFrame, before: tuple[DataFrame, DataFrame] | None, k: int, longest: int, threshold: float, settled: float) -> tuple[DataFrame, DataFrame]:
+    """(graph, links) from first meetings, joined to an earlier graph and its links if there are any, until settled."""
+    met = base.stored(met, "met")
+    no_lengths = nodes.select("node", F.lit(k).alias("k"))
+    lengths = no_lengths if before is None else before[0].select("node", "k")
+    found = entries(met) if before is None else entries(met).unionByName(entries(before[0]))
+    links = forest_links(met) if before is None else forest_links(met).unionByName(before[1]).distinct()
+    graph = base.stored(merged(found, lengths, k, longest, threshold), "graph")
+    while True:
+        lengths = base.stored(lengthened(graph, longest, threshold), "lengths")
+        met = base.stored(meetings(graph, nodes, longest, threshold), "met")
+        links = base.stored(links.unionByName(forest_links(met)).distinct(), "links")
+        after = base.stored(merged(entries(met).unionByName(entries(graph)), lengths, k, longest, threshold), "graph")
+        changes = entries(after).join(entries(graph).select("node", "other"), ["node", "other"], "left_anti").count()
+        grown = lengths.join(graph.select("node", F.col("k").alias("was")), "node").where("k > was").count()
+        graph = after
+        if changes <= settled * max(1, after.select(F.sum(F.size("near"))).first()[0] or 0) and not grown:
+            return graph, links
+
+
 def linked_copies(members: DataFrame, threshold: float, tile: int) -> DataFrame:
     """(node, linked): how many rows each node (node, component, vector, copies) is linked with in its component."""
     tiles = members.groupBy("component").agg(F.ceil(F.count("*") / tile).alias("tiles"))
@@ -142,8 +190,35 @@ def linked_copies(members: DataFrame, threshold: float, tile: int) -> DataFrame:
     return rows.mapInArrow(run, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
-def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, orders: int = ORDERS, block: int = BLOCK, rounds: int = ROUNDS, tile: int = TILE) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row: links are other vectors with a cosine of at least ``threshold``."""
+def audited(nodes: DataFrame, found: DataFrame, threshold: float, sample: int) -> float:
+    """The share of the links of at most ``sample`` nodes, those with the least hashes, that lie within a component."""
+    asked = nodes.orderBy(F.xxhash64("node"), "node").limit(sample).select("node", "vector").collect()
+    by_size: dict[int, tuple] = {}
+    for size in {len(r["vector"]) for r in asked}:
+        mine = [r for r in asked if len(r["vector"]) == size]
+        by_size[size] = np.array([r["node"] for r in mine]), np.array([r["vector"] for r in mine])
+    shared = nodes.sparkSession.sparkContext.broadcast(by_size)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = pa.compute.list_value_length(b["vector"]).to_numpy()
+            for size, (own, q) in shared.value.items():
+                some = b.take(pa.array(np.flatnonzero(sizes == size)))
+                if some.num_rows:
+                    other = some["node"].to_numpy()
+                    who, at = np.nonzero((q @ vectors.matrix(some["vector"]).T >= threshold) & (own[:, None] != other[None, :]))
+                    yield pa.RecordBatch.from_arrays([pa.array(own[who]), pa.array(other[at])], ["node", "other"])
+
+    true = nodes.select("node", "vector").mapInArrow(compare, "node long, other long")
+    of = lambda c, name: found.select(F.col("node").alias(c), F.col("component").alias(name))
+    row = true.join(of("node", "x"), "node", "left").join(of("other", "y"), "other", "left").agg(F.count("*"), F.count_if(F.col("x") == F.col("y"))).first()
+    return row[1] / row[0] if row[0] else 1.0
+
+
+@base.scoped("near_vectors")
+def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, longest: int = LONGEST, orders: int = ORDERS, block: int = BLOCK, settled: float = SETTLED, tile: int = TILE, audit: int = AUDIT, target: float = TARGET, retries: int = RETRIES) -> DataFrame:
+    """(vec_id, n_links, component_id, kept, audit_recall) for each row: links are other vectors with a cosine of at least
+    ``threshold``."""
     usable = vectors.usable(rows, id_col, vector_col)
     classes = vectors.least_ids(usable, 1).select(F.element_at("ids", 1).alias("node"), "copies", "vector")
     # Two different vectors with one id: the node's number must tell them apart.
@@ -156,27 +231,23 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "v
             yield pa.RecordBatch.from_arrays([b["node"], b["copies"], pa.array([x / np.linalg.norm(x) for x in lists], pa.list_(pa.float64()))], ["node", "copies", "vector"])
 
     nodes = base.stored(classes.select("node", "copies", "vector").mapInArrow(unit, "node long, copies long, vector array<double>"), "nodes")
-    graph = base.stored(merged(first_graph(nodes, orders, block, k, threshold), k), "graph")
-    state = lambda g: tuple(g.agg(F.sum(F.size(F.filter("near", lambda x: x.d <= -threshold))), F.sum(F.size("links"))).first())
-    before = state(graph)
-    for _ in range(rounds):
-        old = graph.select("node", "near", F.explode_outer("links").alias("link"))
-        graph = base.stored(merged(meetings(graph, nodes, k, threshold).unionByName(old), k), "graph")
-        now = state(graph)
-        if now == before:
+    state = None
+    for attempt in range(retries + 1):
+        met = first_graph(nodes, range(attempt * orders, (attempt + 1) * orders), block, longest, threshold)
+        state = descended(nodes, met, state, k, longest, threshold, settled)
+        found = base.stored(components(state[1]).select("node", "component"), "components")
+        share = audited(nodes, found, threshold, audit)
+        if share >= target:
             break
-        before = now
-    links = graph.select(F.col("node").alias("a"), F.explode("links").alias("b"))
-    found = base.stored(components(links).select("node", "component"), "components")
     counts = linked_copies(found.join(nodes, "node"), threshold, tile)
     least = found.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
     known = classes.join(found, "node", "left").join(counts, "node", "left").join(least, "component", "left")
-    known = known.select("vector", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
-    known = base.stored(known, "known").withColumnRenamed("vector", "__v")
+    known = known.select(F.col("vector").alias("v"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+    known = base.stored(known, "known")
     all_rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    out = all_rows.join(known, (all_rows["vector"] == known["__v"]) & F.col("vec_id").isNotNull(), "left")
+    out = all_rows.join(known, (F.col("vector") == F.col("v")) & F.col("vec_id").isNotNull(), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return out.withColumns({"kept": F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)), "audit_recall": F.lit(float(share))})
 
 
 def recall(rows: DataFrame, found: DataFrame, every: int = 100, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
