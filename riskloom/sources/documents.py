@@ -120,14 +120,15 @@ def advisories(docs: DataFrame, json_col: str = "json") -> dict[str, DataFrame]:
         F.upper("d.database_specific.severity").alias("severity"), times.strict(F.col("d.published")).alias("published_at"), times.strict(F.col("d.modified")).alias("modified_at"), times.strict(F.col("d.withdrawn")).alias("withdrawn_at"),
     )
     entries = d.select(F.col("d.id").alias("advisory_id"), F.posexplode("d.affected").alias("place", "a"))
-    entries = entries.select("advisory_id", "place", packages.ecosystem_of_advisory(F.col("a.package.ecosystem")).alias("ecosystem"), F.col("a.package.name").alias("name"), "a.ranges", "a.versions").where("ecosystem is not null and name is not null")
+    spans = F.transform("a.ranges", lambda r: F.named_struct(F.lit("type"), r["type"], F.lit("spans"), range_events(r["events"]))).alias("ranges")
+    entries = entries.select("advisory_id", "place", packages.ecosystem_of_advisory(F.col("a.package.ecosystem")).alias("ecosystem"), F.col("a.package.name").alias("name"), spans, "a.versions").where("ecosystem is not null and name is not null")
     entries = entries.withColumn("package_name", text.package_name(F.col("ecosystem"), F.col("name")))
     from riskloom.operators.dedup import merged_entries
 
     merged = merged_entries(entries, ["advisory_id", "ecosystem", "package_name"], "name", "place", ["ranges"], ["versions"])
     merged = merged.withColumn("package_id", F.xxhash64("advisory_id", "ecosystem", "package_name"))
     key = ["package_id", "advisory_id", "ecosystem", "package_name"]
-    kinds = merged.select("package_id", F.posexplode("ranges").alias("at", "r")).where("trim(r.type) <> ''").select("package_id", "at", F.col("r.type").alias("range_type"), F.posexplode(range_events(F.col("r.events"))).alias("n", "e"))
+    kinds = merged.select("package_id", F.posexplode("ranges").alias("at", "r")).where("trim(r.type) <> ''").select("package_id", "at", F.col("r.type").alias("range_type"), F.posexplode("r.spans").alias("n", "e"))
     return {
         "advisories": heads, "packages": merged.select(*key, "name"),
         "ranges": kinds.select("package_id", "range_type", "at", "n", "e.introduced", "e.fixed", "e.last_affected"),
@@ -206,7 +207,7 @@ def product_statuses(docs: DataFrame, products: DataFrame, id_col: str = "adviso
 
     v = docs.select(F.col(id_col).cast("string").alias("advisory_id"), F.explode(F.from_json(json_col, STATUSES)["vulnerabilities"]).alias("v")).where("v.cve is not null")
     lists = F.array(*(F.struct(F.lit(s).alias("status"), F.col(f"v.product_status.{s}").alias("ids")) for s in STATUS_LISTS))
-    best = greatest_score(F.transform("v.scores", lambda s: F.struct(s["cvss_v3"]["baseScore"].alias("score"), s["cvss_v3"]["baseSeverity"].alias("severity"))))
+    best = greatest_score(F.transform("v.scores", lambda s: F.named_struct(F.lit("score"), s["cvss_v3"]["baseScore"], F.lit("severity"), s["cvss_v3"]["baseSeverity"])))
     rows = v.select("advisory_id", F.col("v.cve").alias("cve_id"), best.alias("best"), F.explode(lists).alias("l")).select("advisory_id", "cve_id", "best.score", "best.severity", "l.status", F.explode("l.ids").alias("product_id"))
     rows = rows.join(products.select("advisory_id", "product_id", "canonical"), ["advisory_id", "product_id"])
     once = rows.groupBy("advisory_id", "cve_id", "canonical", "status").agg(F.max("score").alias("score"), F.max_by("severity", "score").alias("severity"))
