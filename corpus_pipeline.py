@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = found.select(F.col("doc_id").alias("n"), "component_id").join(rows.select("n", "id"), "n")
     stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "n"))["n"].alias("stays"), F.count("*").alias("size")).where("size > 1")
     gone = base.stored(found.join(stays, "component_id").where("n != stays").select("n"), "gone")
-    may_go = base.key_filter(gone)
+    may_go = base.KeyFilter(gone)
     return rows.where(~may_go("n")).select("row.*").union(rows.where(may_go("n")).join(gone, "n", "left_anti").select("row.*"))
 
 
