@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, descent, hnsw, katz, minmax, packing, pieces, quality, repeats, secrets, token_files
+from . import base, descent, hnsw, katz, minmax, oracles, packing, pieces, quality, repeats, secrets, token_files
 
 
 def tokenizer_path(name: str) -> str:
@@ -77,4 +77,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the operators whose results are whole numbers, texts and flags. Encoders, compression, forests and packing cannot be
+    said in SQL; the sums of logarithms and products of op3 and op6 depend on the order of addition in their last bits."""
+    return {"op5_substrings": oracles.SUBSTRINGS, "op7_minmax_near_duplicates": oracles.NEAR_DUPLICATES, "op10_nn_descent": oracles.NEAR_VECTORS}
