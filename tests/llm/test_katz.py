@@ -1,5 +1,4 @@
 import re
-import tempfile
 import zlib
 from collections import Counter, defaultdict
 from math import log10
@@ -14,52 +13,66 @@ def tokens_of(text):
     return [*WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), None]
 
 
-def brute(rows):
+def brute(rows, order):
     held = [zlib.crc32(("null" if i is None else str(i)).encode()) % 10 == 0 for i, _ in rows]
     split = [tokens_of(t) for _, t in rows]
-    one, two = Counter(), Counter()
-    for h, w in zip(held, split, strict=True):
-        if not h:
-            one.update(w)
-            two.update(zip(["^", *w[:-1]], w, strict=True))
-    total, distinct = sum(one.values()), len(one)
-    d = [katz.discounts([sum(c == r for c in n.values()) for r in range(1, 7)]) for n in (one, two)]
-    kept = lambda c, i: c * (d[i][c] if c <= 5 else 1)
-    unknown = 1 - sum(kept(c, 0) for c in one.values()) / total
-    p1 = lambda w: kept(one[w], 0) / total if one[w] else unknown
-    after, history = defaultdict(dict), Counter()
-    for (a, b), c in two.items():
-        after[a][b] = c
-        history[a] += c
-    weight = {a: (1 - sum(kept(c, 1) for c in x.values()) / history[a]) / (1 - sum(map(p1, x))) for a, x in after.items()}
-
-    def p2(a, w):
-        if a not in after:
-            return p1(w)
-        return kept(after[a][w], 1) / history[a] if w in after[a] else weight[a] * p1(w)
-
-    for a in list(after)[:5]:  # exactly normalised, one unknown word included
-        assert sum(p2(a, w) for w in one) + p2(a, "unknown!") == pytest.approx(1)
+    padded = [["^"] * (order - 1) + w for w in split]
+    grams = lambda w, o: [tuple(w[i - o + 1 : i + 1]) for i in range(order - 1, len(w))]
+    counts = [Counter(g for h, w in zip(held, padded, strict=True) if not h for g in grams(w, o)) for o in range(1, order + 1)]
+    total, distinct = sum(counts[0].values()), len(counts[0])
+    d = [katz.discounts([sum(c == r for c in n.values()) for r in range(1, 7)])[0] for n in counts]
+    kept = lambda c, o: c * d[o - 1][c] if c <= 5 else c - katz.TRIFLE
+    unknown = 1 - sum(kept(c, 1) for c in counts[0].values()) / total
+    after = [defaultdict(dict) for _ in range(order)]
+    for o in range(2, order + 1):
+        for g, c in counts[o - 1].items():
+            after[o - 1][g[:-1]][g[-1]] = c
+    weights = {}
+
+    def p(history, w):
+        o = len(history) + 1
+        if o == 1:
+            return kept(counts[0][w,], 1) / total if counts[0][w,] else unknown
+        seen = after[o - 1].get(history)
+        if seen is None:
+            return p(history[1:], w)
+        if w in seen:
+            return kept(seen[w], o) / sum(seen.values())
+        if history not in weights:
+            weights[history] = (1 - sum(p(history, x) for x in seen)) / (1 - sum(p(history[1:], x) for x in seen))
+        return weights[history] * p(history[1:], w)
+
+    for o in range(2, order + 1):
+        for history in list(after[o - 1])[:4]:  # exactly normalised, one unknown word included
+            assert sum(p(history, w) for (w,) in counts[0]) + p(history, "unknown!") == pytest.approx(1, abs=1e-12)
     out = []
-    for (i, _), h, w in zip(rows, held, split, strict=True):
-        base_score = sum(log10((one[x] + 0.1) / (total + 0.1 * (distinct + 1))) for x in w)
-        out.append((str(i), h, len(w), sum(one[x] > 0 for x in w), total, base_score, sum(log10(p2(a, x)) for a, x in zip(["^", *w[:-1]], w, strict=True))))
+    for (i, _), h, w, full in zip(rows, held, split, padded, strict=True):
+        base_score = sum(log10((counts[0][x,] + 0.1) / (total + 0.1 * (distinct + 1))) for x in w)
+        out.append((str(i), h, len(w), sum(counts[0][x,] > 0 for x in w), total, base_score, sum(log10(p(g[:-1], g[-1])) for g in grams(full, order))))
     return sorted(out)
 
 
-def score(spark, rows):
+def score(spark, rows, order=3):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    out = katz.scored(docs, base.remainder("doc_id", 10) == 0, tempfile.mkdtemp())
+    out = katz.scored(docs, base.remainder("doc_id", 10) == 0, base.new_path(spark, "test_katz"), order)
     return sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in out.collect())
 
 
-def test_like_brute_force(spark, corpus):
-    got, want = score(spark, corpus), brute(corpus)
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_like_brute_force(spark, corpus, order):
+    got, want = score(spark, corpus, order), brute(corpus, order)
     assert [x[:5] for x in got] == [x[:5] for x in want]
     for a, b in zip(got, want, strict=True):
         assert a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
 
 
+def test_laws():
+    assert katz.discounts([1000, 400, 200, 120, 80, 55])[1] == "turing"
+    d, name = katz.discounts([1000, 200, 300, 120, 80, 255])
+    assert name == "smoothed" and (d[1:] > 0).all() and (d[1:] < 1).all()
+    assert katz.discounts([0, 0, 0, 0, 0, 0])[1] == katz.discounts([5, 0, 0, 0, 0, 0])[1] == "absolute"
+
+
 def test_nothing_to_learn_from_and_empty(spark):
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     assert score(spark, [(only, "a b")])[0][2:] == (3, 0, 0, 0.0, 0.0)
