@@ -425,11 +425,32 @@ select item, case when r then 'npm' end as ecosystem, case when r then '@s/' ||
   case when r and c then 'registry+catalogue' when r then 'registry' when c then 'catalogue' else 'none' end as method, case when r then conf end as version_confirmed, wrong and not r as deleted, verified from w join part on p_partkey = item
 """
 
+def record_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate records of which a plausible entry covers the item's version, with the first bound of that entry; only the
+    items of one owner."""
+    t = table(spark, sf_dir, "part")
+    items = t.where("p_size % 3 = 1").selectExpr("p_partkey as item", "p_name as name", "case when p_partkey % 2 = 0 then p_type end as vendor", "p_size || '.' || (p_partkey % 7) as version", "p_brand")
+    entry = "named_struct('vendor', {v}, 'product', {p}, 'package_name', cast(null as string), 'versions', array(named_struct('version', {a}, 'status', 'affected', 'lessThan', {b}, 'lessThanOrEqual', cast(null as string))))"
+    first, second = entry.format(v="p_type", p="replace(p_name, ' ', '_')", a="'1'", b="p_size || '.5'"), entry.format(v="''", p="split_part(p_name, ' ', 2)", a="p_size || '.1'", b="'*'")
+    records = t.where("p_partkey % 3 = 0").selectExpr("cast(p_partkey as string) as record", f"array({first}, {second}) as affected", "p_brand as of")
+    candidates = items.join(records, F.col("p_brand") == F.col("of")).select("item", "record")
+    return findings.record_matches(items, candidates, records)
+
+
+# Names have two words, of which the last has four letters or more where it is not "ring".
+MATCHES_SQL = """
+with i as (select p_partkey as item, p_brand, trim(lower(coalesce(case when p_partkey % 2 = 0 then p_type end || ' ', '') || p_name)) as q, p_size, [p_size::bigint, (p_partkey % 7)::bigint] as v from part where p_size % 3 = 1),
+r as (select p_partkey::varchar as record, p_brand, lower(p_type || ' ' || p_name) as c1, lower(split_part(p_name, ' ', 2)) as c2, p_size as s from part where p_partkey % 3 = 0),
+m as (select *, (contains(q, c1) or contains(c1, q) or len(list_filter(string_split(q, ' '), lambda w: length(w) >= 4 and contains(c1, w))) > 0) and v >= [1, 0] and v < [s::bigint, 5] as first,
+  (contains(q, c2) or contains(c2, q) or len(list_filter(string_split(q, ' '), lambda w: length(w) >= 4 and contains(c2, w))) > 0) and v >= [s::bigint, 1] as second from i join r using (p_brand))
+select item, record, case when first then s || '.5' end as fixed_version from m where first or second
+"""
+
 #: name -> (query, DuckDB SQL)
 RELATIONAL = {
     "replace_children": (replace_children, CHILDREN_SQL), "prune_not_seen": (prune_not_seen, PRUNE_SQL), "merge_policies": (merge_policies, MERGE_SQL), "insert_returning": (insert_returning, RETURNING_SQL), "delete_cascade": (delete_cascade, DELETE_SQL),
     "dedup_precedence": (dedup_precedence, PRECEDENCE_SQL), "latest_per_id": (latest_per_id, LATEST_SQL), "canonical_fold": (canonical_fold, FOLD_SQL), "merged_entries": (merged_entries, ENTRIES_SQL), "set_differences": (set_differences, DIFFERENCE_SQL), "names_to_refresh": (names_to_refresh, REFRESH_SQL),
     "capped_view": (capped_view, CAPPED_VIEW_SQL), "top_rows": (top_rows, TOP_SQL), "paging": (paging, PAGING_SQL), "tied_cap": (tied_cap, TIED_SQL), "merged_lists": (merged_lists, LISTS_SQL), "filters_probe": (filters_probe, FILTERS_SQL), "aggregates": (aggregates, AGGREGATES_SQL),
     "three_way_inner": (three_way_inner, THREE_WAY_SQL), "vendor_statuses": (vendor_statuses, STATUS_SQL), "referenced_only": (referenced_only, REFERENCED_SQL), "registry_match": (registry_match, REGISTRY_SQL), "artifact_order": (artifact_order, ARTIFACT_SQL), "mirror_versions": (mirror_versions, MIRROR_SQL),
-    "one_list": (one_list, LIST_SQL), "vendor_annotations": (vendor_annotations, ANNOTATION_SQL), "greatest_scores": (greatest_scores, GREATEST_SQL), "first_stage": (first_stage, STAGE_SQL), "merged_identity": (merged_identity, IDENTITY_SQL),
+    "one_list": (one_list, LIST_SQL), "vendor_annotations": (vendor_annotations, ANNOTATION_SQL), "greatest_scores": (greatest_scores, GREATEST_SQL), "first_stage": (first_stage, STAGE_SQL), "merged_identity": (merged_identity, IDENTITY_SQL), "record_matches": (record_matches, MATCHES_SQL),
 }
