@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators import evaluate, present, rank
+from riskloom.plans.lists import columns
 from riskloom.session import table
 from riskloom.sources import documents
 
@@ -15,20 +16,10 @@ _ACTUAL = """p_name || p_partkey as product_name, cast(p_size as {s}) as version
   case when p_partkey % 6 > 0 then 'cpe:2.3:' || case when p_size % 2 = 0 then 'a' else 'o' end || ':' || p_brand || ':' || p_type || ':*' end as cpe, case when p_size % 3 = 0 then '0.95' when p_size % 3 = 1 then '0.6' else '' end as confidence"""
 
 
-def _split(columns: str) -> list[str]:
-    out, depth, start = [], 0, 0
-    for i, c in enumerate(columns):
-        depth += (c == "(") - (c == ")")
-        if c == "," and depth == 0:
-            out.append(columns[start:i])
-            start = i + 1
-    return [*out, columns[start:]]
-
-
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "part")
-    expected = t.selectExpr(*_split(_EXPECTED.format(s="string").replace("(part=a, y)", "(part=a; y)")))
-    actual = t.where("p_partkey % 13 > 0").selectExpr(*_split(_ACTUAL.format(s="string")))
+    expected = t.selectExpr(*columns(_EXPECTED.format(s="string").replace("(part=a, y)", "(part=a; y)")))
+    actual = t.where("p_partkey % 13 > 0").selectExpr(*columns(_ACTUAL.format(s="string")))
     doubled = actual.where("status = 'IDENTIFIED' and confidence = '0.6'").withColumns({"sequence": F.lit(2), "confidence": F.lit("0.97")})
     return evaluate.matched(expected, actual.unionByName(doubled), "sequence")
 

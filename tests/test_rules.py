@@ -108,3 +108,11 @@ def test_ranked_and_rescued(spark):
     assert kept == [(11, False), (12, False), (13, False)]
     wide = pool.where("item = 1").selectExpr("*", "'1.0' as item_version", "'npm' as ecosystem", "'a' as part", "array('node.js') as targets", "5 as max_major", "case when id = 13 then 9 else 1 end as cataloged_row_count")
     assert [r["id"] for r in identify.ranked_candidates(wide).orderBy("rn").collect()] == [11, 13, 12, 10]
+
+
+def test_display_order_and_quoting(spark):
+    from riskloom.operators import rank
+
+    rows = spark.createDataFrame([(1, "b", 1), (1, None, 2), (1, None, 1), (0, "a", 5), (1, "a", 9)], "item int, component string, rn int")
+    assert [tuple(r) for r in rows.orderBy(*rank.display_order("item", "component")).collect()] == [(0, "a", 5), (1, None, 1), (1, None, 2), (1, "a", 9), (1, "b", 1)]
+    assert one(spark, text.escaped_query(lit('a+b "c" && d:/')), text.cut_text(lit("ab"), 1), text.tracking_id(lit("2024/rhsa-1_2_3.json")), text.tracking_id(lit("x.txt"))) == ['a\\+b \\"c\\" \\&& d\\:\\/', "a", "RHSA-1:2_3", None]
