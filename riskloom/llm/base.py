@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 FILTER_BITS = 26
 #: Spark removes a query's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
 
 _scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
@@ -40,21 +41,28 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Queries that end inside leave no shuffle files behind."""
-    before = spark.conf.get(CLEANUP, None)
+def settings(spark: SparkSession) -> Iterator[None]:
+    """Queries that end inside leave no shuffle files behind and send texts to Python in small batches."""
+    before = {k: spark.conf.get(k, None) for k in (CLEANUP, ROWS)}
     spark.conf.set(CLEANUP, "true")
+    small_batches(spark)
     try:
         yield
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python in batches of at most BATCH_ROWS, since texts are long; a smaller setting stays."""
+    spark.conf.set(ROWS, str(min(BATCH_ROWS, int(spark.conf.get(ROWS, "10000")) or BATCH_ROWS)))
 
 
 def written(df: DataFrame, path: str, *by: str, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` below ``path``, parted by the columns ``by``, and reads it back."""
     spark = df.sparkSession
     writer = df.write.option("compression", compression)
-    with shuffles_removed(spark):
+    with settings(spark):
         (writer.partitionBy(*by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -22,16 +22,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import base, cutting
-from .vocabulary import encoder
+from .vocabulary import KEPT, encoder
 
 BATCH = 256
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int, drops_space: bool, size: int) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, drops_space: bool, size: int, kept: int = KEPT) -> DataFrame:
     """(row, doc_id, n, ids, crcs): ids with the end id, and the crc32 of each block and of what remains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work, row = encoder(tokenizer, drops_space), TaskContext.get().partitionId() << 33
+        work, row = encoder(tokenizer, drops_space, kept), TaskContext.get().partitionId() << 33
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
@@ -95,10 +95,10 @@ def item_places(plan: cutting.Plan, kinds: np.ndarray, ranks: np.ndarray) -> tup
     return sequence, slot
 
 
-def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, drops_space: bool = False, size: int = 1024, unit: int = 8) -> tuple[DataFrame, DataFrame]:
+def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, drops_space: bool = False, size: int = 1024, unit: int = 8, kept: int = KEPT) -> tuple[DataFrame, DataFrame]:
     """(pieces, tokens): pieces (row, doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) and the stored
-    token table (row, doc_id, n, ids, crcs) that the pieces refer to."""
-    tokens = base.stored(encoded(base.texts(docs), tokenizer, end_id, drops_space, size), "tokens")
+    token table (row, doc_id, n, ids, crcs) that the pieces refer to. A worker remembers the ids of ``kept`` stretches."""
+    tokens = base.stored(encoded(base.texts(docs), tokenizer, end_id, drops_space, size, kept), "tokens")
     blocks, tail = F.floor(F.col("n") / size), F.col("n") % size
     items = tokens.select("row", "doc_id", "n", "crcs", blocks.alias("blocks"), F.ceil(tail / unit).alias("kind"))
     items = base.stored(ranked(items), "ranked")

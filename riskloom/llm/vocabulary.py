@@ -18,7 +18,7 @@ import numpy as np
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u206f\u3000\ufeff]")
 STRETCH = re.compile(r"[ \t\n\r\v\f]*[^ \t\n\r\v\f]+|[ \t\n\r\v\f]+")
 #: Stretches kept by a worker, and the longest that is kept.
-KEPT, KEPT_CHARS = 800_000, 48
+KEPT, KEPT_CHARS = 1_000_000, 48
 MARKS = ".,;:!?"
 #: Words that are encoded as one text.
 TOGETHER = 512
@@ -27,7 +27,8 @@ TOGETHER = 512
 class Encoder:
     """``encode(texts)`` gives, for each text, its ids as bytes of little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, drops_space: bool):
+    def __init__(self, path: str, drops_space: bool, kept: int = KEPT):
+        self.kept = kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -72,7 +73,7 @@ class Encoder:
 
     def encode(self, batch: list[str]) -> list[bytes]:
         known = self.known
-        if len(known) > KEPT:
+        if len(known) > self.kept:
             known.clear()
         split = [None if ODD_SPACE.search(t) else self.stretches(t) for t in batch]
         fresh = {s: self._core(s) for s in set().union(*filter(None, split)).difference(known)}
@@ -93,6 +94,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, drops_space: bool) -> Encoder:
+def encoder(path: str, drops_space: bool, kept: int = KEPT) -> Encoder:
     """One encoder for each vocabulary and Python worker."""
-    return Encoder(path, drops_space)
+    return Encoder(path, drops_space, kept)
