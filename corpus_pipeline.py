@@ -15,10 +15,13 @@ from riskloom.llm.queries import read, tokenizer_path
 #: A document goes if its score for good quality is below this.
 REJECT_BELOW = 0.5
 MASK = "[SECRET]"
+#: Stretches whose ids a worker remembers while packing: fewer than the operator's own default, since its workers have served all stages.
+KEPT_STRETCHES = 200_000
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents that the compression classifier rejects go. A null text is rated as an empty one."""
+    base.small_batches(spark)
     rate = quality.goodness(quality.fit(docs, read(spark, sf_dir, "labels")))
     return docs.where(rate(F.col("text")) >= REJECT_BELOW)
 
@@ -46,12 +49,13 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: secrets are masked; every document stays."""
+    base.small_batches(spark)
     return secrets.masked(docs, secrets.fit(docs), MASK)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: pieces of documents in sequences of at most 1,024 tokens; a null text is packed as its end token."""
-    pieces, _ = packing.packed(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, size=1024)
+    pieces, _ = packing.packed(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, size=1024, kept=KEPT_STRETCHES)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
