@@ -76,15 +76,18 @@ def forest(hit: np.ndarray) -> np.ndarray:
     return parent
 
 
-def compared(ids: np.ndarray, data: np.ndarray, k: int, threshold: float) -> pa.RecordBatch:
-    """NEAR rows for some nodes (ascending) that meet: each one's nearest, and its parent in a spanning forest of the links."""
+def compared(ids: np.ndarray, data: np.ndarray, k: int | np.ndarray, threshold: float) -> pa.RecordBatch:
+    """NEAR rows for some nodes (ascending) that meet: each one's ``k`` nearest, and its parent in a spanning forest of the links."""
     cosines = data @ data.T
     np.fill_diagonal(cosines, -2)
-    m = min(k, len(ids) - 1)
+    sizes = np.minimum(np.broadcast_to(k, len(ids)), len(ids) - 1)
+    m = int(sizes.max())
     order = np.argsort(-np.round(cosines, 6), axis=1, kind="stable")[:, :m]
     d = -np.round(np.take_along_axis(cosines, order, axis=1), 6)
+    kept = np.arange(m) < sizes[:, None]
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
     parent = forest(cosines >= threshold)
-    near = pa.ListArray.from_arrays(pa.array(np.arange(0, m * len(ids) + 1, m, dtype=np.int32)), pa.StructArray.from_arrays([pa.array(d.ravel()), pa.array(ids[order].ravel())], ["d", "node"]))
+    near = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(d[kept]), pa.array(ids[order][kept])], ["d", "node"]))
     return pa.RecordBatch.from_arrays([pa.array(ids), near, pa.array(ids[parent], mask=parent < 0)], ["node", "near", "link"])
 
 
@@ -129,15 +132,16 @@ def lengthened(graph: DataFrame, longest: int, threshold: float) -> DataFrame:
     return graph.select("node", F.when(full, F.least(F.col("k") * 2, F.lit(longest))).otherwise(F.col("k")).alias("k"))
 
 
-def meetings(graph: DataFrame, nodes: DataFrame, longest: int, threshold: float) -> DataFrame:
-    """NEAR rows from comparing the neighbours of each node, and those that name it, with each other."""
+def meetings(graph: DataFrame, nodes: DataFrame, lengths: DataFrame, threshold: float) -> DataFrame:
+    """NEAR rows from comparing the neighbours of each node, and those that name it, with each other: of each as many as its
+    list is long."""
     edges = graph.select("node", F.explode("near.node").alias("other"))
     names = edges.groupBy("other").agg(F.ceil(F.count("*") / GROUP).alias("groups")).withColumnRenamed("other", "centre")
     inward = edges.select(F.col("other").alias("centre"), F.col("node").alias("member")).join(names, "centre")
     inward = inward.select("centre", F.pmod(F.xxhash64("member"), F.col("groups")).alias("part"), "member")
     outward = edges.select(F.col("node").alias("centre"), F.col("other").alias("member")).unionByName(graph.select(F.col("node").alias("centre"), F.col("node").alias("member")))
     outward = outward.join(names, "centre", "left").select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("groups", F.lit(1)) - 1)).alias("part"), "member")
-    rows = inward.unionByName(outward).distinct().join(nodes.select(F.col("node").alias("member"), "vector"), "member")
+    rows = inward.unionByName(outward).distinct().join(nodes.join(lengths, "node").select(F.col("node").alias("member"), "vector", "k"), "member")
     rows = rows.repartition("centre", "part").sortWithinPartitions("centre", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +149,7 @@ def meetings(graph: DataFrame, nodes: DataFrame, longest: int, threshold: float)
             if some.num_rows > 1:
                 ids = some["member"].to_numpy()
                 order = np.argsort(ids)
-                yield compared(ids[order], vectors.matrix(some["vector"])[order], longest, threshold)
+                yield compared(ids[order], vectors.matrix(some["vector"])[order], some["k"].to_numpy()[order], threshold)
 
     return rows.mapInArrow(run, NEAR)
 
@@ -160,7 +164,7 @@ def descended(nodes: DataFrame, met: DataFrame, before: tuple[DataFrame, DataFra
     graph = base.stored(merged(found, lengths, k, longest, threshold), "graph")
     while True:
         lengths = base.stored(lengthened(graph, longest, threshold), "lengths")
-        met = base.stored(meetings(graph, nodes, longest, threshold), "met")
+        met = base.stored(meetings(graph, nodes, lengths, threshold), "met")
         links = base.stored(links.unionByName(forest_links(met)).distinct(), "links")
         after = base.stored(merged(entries(met).unionByName(entries(graph)), lengths, k, longest, threshold), "graph")
         changes = entries(after).join(entries(graph).select("node", "other"), ["node", "other"], "left_anti").count()
@@ -233,7 +237,7 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "v
     nodes = base.stored(classes.select("node", "copies", "vector").mapInArrow(unit, "node long, copies long, vector array<double>"), "nodes")
     state = None
     for attempt in range(retries + 1):
-        met = first_graph(nodes, range(attempt * orders, (attempt + 1) * orders), block, longest, threshold)
+        met = first_graph(nodes, range(attempt * orders, (attempt + 1) * orders), block, k, threshold)
         state = descended(nodes, met, state, k, longest, threshold, settled)
         found = base.stored(components(state[1]).select("node", "component"), "components")
         share = audited(nodes, found, threshold, audit)
