@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import base
 
 #: A block is closed when it holds so many words.
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 400_000
 SLICE = 512
 CHUNK = "part int, block long, keys binary, data binary"
 
@@ -88,7 +88,7 @@ def blocks(docs: DataFrame, lower: bool, also: list[str], block_words: int = BLO
 
     types = dict(docs.dtypes)
     arrays = ", ".join([f"doc_ids array<{types['doc_id']}>", *(f"{c} array<{types[c]}>" for c in also)])
-    return base.stored(docs.select(*kept, "text").mapInArrow(gather, f"block long, {arrays}, lengths binary, ids binary, vocab binary"), "blocks")
+    return base.stored(docs.select(*kept, "text").mapInArrow(base.rested(gather), f"block long, {arrays}, lengths binary, ids binary, vocab binary"), "blocks")
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

@@ -174,7 +174,7 @@ def scored(docs: DataFrame, held_out: DataFrame | str, model_path: str, order: i
         of_counts = np.bincount(np.minimum(c, k + 2), minlength=k + 3)[1 : k + 2].tolist()
         return (total[inverse] * 2 + owner).astype(np.uint64), (pack(known), squeeze(c.astype(np.uint32)), of_counts, int(c.sum()), len(c))
 
-    answered = answers(slim.mapInArrow(ask, asks), [np.uint32], count, "grams binary, counts binary, n_r array<long>, total long, distinct long", ("order", "part"))
+    answered = answers(slim.mapInArrow(base.rested(ask), asks), [np.uint32], count, "grams binary, counts binary, n_r array<long>, total long, distinct long", ("order", "part"))
     table = base.written(answered.withColumn("model", F.col("block").isNull()), f"{model_path}/counts", "model", "order", compression="zstd")
     facts = table.where("model").select("order", "total", "distinct", F.posexplode("n_r").alias("r", "n"))
     known = {(x["order"], x["r"]): x for x in facts.groupBy("order", "r").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct"), F.sum("n").alias("n")).collect()}
@@ -235,7 +235,7 @@ def scored(docs: DataFrame, held_out: DataFrame | str, model_path: str, order: i
     whole = stored
     for o in orders:
         whole = with_replies(whole, table.where(f"not model and order = {o}").select("part", "block", "data"), f"order{o}")
-    halves = base.stored(whole.mapInArrow(resolve, shape), "resolved", "kind", compression="zstd")
+    halves = base.stored(whole.mapInArrow(base.rested(resolve), shape), "resolved", "kind", compression="zstd")
 
     def weigh(keys, inverse, columns):
         spent, covered = (np.bincount(inverse, c, len(keys)) for c in columns)
@@ -254,4 +254,4 @@ def scored(docs: DataFrame, held_out: DataFrame | str, model_path: str, order: i
 
     final = with_replies(halves.where("kind = 0").drop("kind", "part", "keys", "data"), weights.where("not model").select("part", "block", "data"), "weights")
     named = ", ".join(f"{o}: {name}" for o, (_, name) in zip(orders, laws, strict=True))
-    return final.mapInArrow(finish, RESULT).withColumns({"train_tokens": F.lit(int(law.tokens)).cast("long"), "discount": F.lit(named)})
+    return final.mapInArrow(base.rested(finish), RESULT).withColumns({"train_tokens": F.lit(int(law.tokens)).cast("long"), "discount": F.lit(named)})

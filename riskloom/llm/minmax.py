@@ -77,7 +77,7 @@ def sketch(docs: DataFrame, bands: int, per_band: int, shingle: int) -> DataFram
                 lists = base.list_array(keys.reshape(-1).view(np.int64), np.where(n > 0, bands, 0), pa.int64())
                 yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array(n), pa.array(k[0].view(np.int64)), pa.array(k[1].view(np.int64)), lists], ["doc_id", "n_shingles", "k1", "k2", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    return docs.mapInArrow(base.rested(run), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
 def agreement_bits(sets: list[np.ndarray], words: int) -> np.ndarray:
@@ -111,7 +111,7 @@ def shingle_sets(docs: DataFrame, named: base.KeyFilter, shingle: int, words: in
                 yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), lists, base.list_array(bits.reshape(-1).view(np.int64), np.where(n > 0, words, 0), pa.int64())], ["doc_id", "items", "bits"])
 
     rows = docs.withColumn("place", named.place(F.col("doc_id").cast("long")))
-    return rows.mapInArrow(run, "doc_id long, items array<long>, bits array<long>").where(F.size("items") > 0)
+    return rows.mapInArrow(base.rested(run), "doc_id long, items array<long>, bits array<long>").where(F.size("items") > 0)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -133,7 +133,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep[k] = 100 * common >= percent * (len(p) + len(q) - common)
             yield pa.RecordBatch.from_arrays([t["a"], t["b"]], ["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(compare, "a long, b long").distinct()
+    return both.mapInArrow(base.rested(compare), "a long, b long").distinct()
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def left_apart(shared: DataFrame, found: DataFrame, sketches: DataFrame, percent
                     y = np.full(len(some), node[x])
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[some], y)), pa.array(np.maximum(node[some], y))], ["a", "b"])
 
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return dealt.mapInArrow(base.rested(compare), "a long, b long").distinct()
 
 
 @base.scoped("near_duplicates")

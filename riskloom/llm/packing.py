@@ -43,7 +43,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, drops_space: bool, siz
                 row += len(coded)
                 yield pa.RecordBatch.from_arrays([pa.array(rows), b["doc_id"].cast(pa.int64()), pa.array(n), base.list_array(np.frombuffer(b"".join(coded), "<i4"), n, pa.int32()), pa.array(crcs, pa.list_(pa.int64()))], ["row", "doc_id", "n", "ids", "crcs"])
 
-    return docs.mapInArrow(run, "row long, doc_id long, n long, ids array<int>, crcs array<long>")
+    return docs.mapInArrow(base.rested(run), "row long, doc_id long, n long, ids array<int>, crcs array<long>")
 
 
 def ranked(items: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def ranked(items: DataFrame) -> DataFrame:
     from pyspark.sql.types import IntegerType, LongType, StructType
 
     kind = StructType(list(dealt.schema.fields)).add("shard", IntegerType()).add("place", LongType()).add("before", LongType())
-    return dealt.mapInArrow(run, kind)
+    return dealt.mapInArrow(base.rested(run), kind)
 
 
 def item_places(plan: cutting.Plan, kinds: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +121,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, drops_space: bool =
 
     from pyspark.sql.types import IntegerType, LongType, StructType
 
-    placed = base.stored(known.mapInArrow(place, StructType(list(known.schema.fields)).add("sequence", LongType()).add("slot", LongType())), "placed")
+    placed = base.stored(known.mapInArrow(base.rested(place), StructType(list(known.schema.fields)).add("sequence", LongType()).add("slot", LongType())), "placed")
     shape = ["row", "doc_id", "start", "length", "ids_crc32", F.col("n").alias("doc_tokens"), "sequence_id", "offset"]
     length = F.col("n") % size
     whole = placed.where("blocks > 0").select("row", "doc_id", "n", "first_block", F.posexplode(F.slice("crcs", F.lit(1), F.col("blocks").cast("int"))).alias("k", "ids_crc32"))
@@ -143,7 +143,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, drops_space: bool =
             yield pa.RecordBatch.from_arrays([*(b[c] for c in b.schema.names if c != "part"), pa.array(crc, pa.int64())], [*(c for c in b.schema.names if c != "part"), "ids_crc32"])
 
     parts = tokens.select("row", "ids").join(F.broadcast(over), "row").withColumn("part", F.slice("ids", (F.col("start") + 1).cast("int"), F.col("length").cast("int"))).drop("ids")
-    over = parts.mapInArrow(check, StructType([f for f in parts.schema.fields if f.name != "part"]).add("ids_crc32", LongType()))
+    over = parts.mapInArrow(base.rested(check), StructType([f for f in parts.schema.fields if f.name != "part"]).add("ids_crc32", LongType()))
     pieces = whole.select(*shape).unionByName(tails.select(*shape)).unionByName(over.select(*shape))
     return pieces, tokens
 

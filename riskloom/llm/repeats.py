@@ -153,7 +153,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = KMER, with_pat
         return kind[inverse], ()
 
     slim = stored.select("block", "lengths", "ids", "vocab")
-    node_kinds = base.stored(answers(slim.mapInArrow(nodes, CHUNK), [np.uint32, np.uint64, np.bool_], kinds), "nodes")
+    node_kinds = base.stored(answers(slim.mapInArrow(base.rested(nodes), CHUNK), [np.uint32, np.uint64, np.bool_], kinds), "nodes")
 
     def of_anchors(g: Graph, replies: list[bytes]) -> np.ndarray:
         keys, at = np.unique(g.keys, return_inverse=True)
@@ -171,7 +171,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = KMER, with_pat
         return repeated(inverse, *columns), ()
 
     known = with_replies(slim, node_kinds, "kinds")
-    verified = base.stored(answers(known.mapInArrow(open_windows, CHUNK), [np.uint32, np.uint64], often), "windows")
+    verified = base.stored(answers(known.mapInArrow(base.rested(open_windows), CHUNK), [np.uint32, np.uint64], often), "windows")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
@@ -212,7 +212,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = KMER, with_pat
             )
 
     whole = with_replies(with_replies(stored, node_kinds, "kinds"), verified, "often")
-    return whole.mapInArrow(finish, RESULT)
+    return whole.mapInArrow(base.rested(finish), RESULT)
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))

@@ -7,7 +7,7 @@ import xxhash
 
 #: Odd multiplier of the polynomial over word hashes (any odd number serves).
 STEP = 0x9E3779B97F4A7C15
-KEPT = 400_000
+KEPT = 250_000
 
 
 class WordHashes(dict):
