@@ -38,7 +38,7 @@ K, LONGEST, ORDERS, BLOCK, TILE = 8, 64, 8, 128, 512
 #: Those that name a node are compared in groups of about so many.
 GROUP = 64
 #: Share of entries that a settled graph still changes; nodes of the audit, the recall it wants, and how often it tries again.
-SETTLED, AUDIT, TARGET, RETRIES = 0.002, 256, 0.95, 3
+SETTLED, AUDIT, TARGET, RETRIES = 0.02, 256, 0.95, 3
 NEAR = "node long, near array<struct<d:double,node:long>>, link long"
 
 
