@@ -20,6 +20,7 @@ FILTER_BITS = 26
 #: Spark removes a query's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
+BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 _scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
@@ -44,7 +45,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 @contextmanager
 def settings(spark: SparkSession) -> Iterator[None]:
     """Queries that end inside leave no shuffle files behind and send texts to Python in small batches."""
-    before = {k: spark.conf.get(k, None) for k in (CLEANUP, ROWS)}
+    before = {k: spark.conf.get(k, None) for k in (CLEANUP, ROWS, BYTES)}
     spark.conf.set(CLEANUP, "true")
     small_batches(spark)
     try:
@@ -55,8 +56,10 @@ def settings(spark: SparkSession) -> Iterator[None]:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """From now on rows go to Python in batches of at most BATCH_ROWS, since texts are long; a smaller setting stays."""
-    spark.conf.set(ROWS, str(min(BATCH_ROWS, int(spark.conf.get(ROWS, "10000")) or BATCH_ROWS)))
+    """From now on rows go to Python in batches of at most BATCH_ROWS rows and (but for a single row) BATCH_BYTES bytes, since
+    texts and blocks are long."""
+    spark.conf.set(ROWS, str(BATCH_ROWS))
+    spark.conf.set(BYTES, str(BATCH_BYTES))
 
 
 def written(df: DataFrame, path: str, *by: str, compression: str = "snappy") -> DataFrame:
