@@ -44,10 +44,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def settings(spark: SparkSession) -> Iterator[None]:
-    """Queries that end inside leave no shuffle files behind and send texts to Python in small batches."""
+    """Queries that end inside leave no shuffle files behind and send rows to Python in batches of at most BATCH_ROWS rows and
+    (but for a single row) BATCH_BYTES bytes, since texts and blocks are long. The session's own values come back after them.
+
+    What Python works on is therefore written inside: by ``stored``, by ``scoped`` operators, or by a writer of their own.
+    """
     before = {k: spark.conf.get(k, None) for k in (CLEANUP, ROWS, BYTES)}
-    spark.conf.set(CLEANUP, "true")
-    small_batches(spark)
+    for k, v in ((CLEANUP, "true"), (ROWS, str(BATCH_ROWS)), (BYTES, str(BATCH_BYTES))):
+        spark.conf.set(k, v)
     try:
         yield
     finally:
@@ -55,13 +59,6 @@ def settings(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """From now on rows go to Python in batches of at most BATCH_ROWS rows and (but for a single row) BATCH_BYTES bytes, since
-    texts and blocks are long."""
-    spark.conf.set(ROWS, str(BATCH_ROWS))
-    spark.conf.set(BYTES, str(BATCH_BYTES))
-
-
 def written(df: DataFrame, path: str, *by: str, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` below ``path``, parted by the columns ``by``, and reads it back."""
     spark = df.sparkSession
@@ -89,7 +86,7 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
-def scoped(name: str) -> Callable:
+def scoped(name: str, compression: str = "snappy") -> Callable:
     """An operator whose result is stored; the tables that it stored on the way are deleted when it returns or fails."""
 
     def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -102,7 +99,7 @@ def scoped(name: str) -> Callable:
                 out = operator(*args, **options)
                 spark = out.sparkSession
                 path = new_path(spark, name)
-                kept = written(out, path)
+                kept = written(out, path, compression=compression)
             finally:
                 _scope.reset(token)
                 drop(spark or SparkSession.active(), mine)

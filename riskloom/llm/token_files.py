@@ -61,7 +61,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         "parquet.page.row.count.limit": page_rows,
         "compression": "zstd",
     }
-    rows.write.options(**options).parquet(path)
+    with base.settings(docs.sparkSession):
+        rows.write.options(**options).parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, columns: list[str] | None = None, ids_from: int | None = None, ids_to: int | None = None) -> DataFrame:
