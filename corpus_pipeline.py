@@ -6,6 +6,8 @@ Null texts are empty ones; rows with a null or a repeated id are documents of th
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,15 +19,18 @@ REJECT_BELOW = 0.5
 MASK = "[SECRET]"
 #: Stretches whose ids a worker remembers while packing: fewer than the operator's own default, since its workers have served all stages.
 KEPT_STRETCHES = 200_000
+#: A stage's result is stored while Python gets bounded batches; texts are long, so it is packed tighter than other tables.
+_stage = functools.partial(base.scoped, compression="zstd")
 
 
+@_stage("quality")
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents that the compression classifier rejects go. A null text is rated as an empty one."""
-    base.small_batches(spark)
     rate = quality.goodness(quality.fit(docs, read(spark, sf_dir, "labels")))
     return docs.where(rate(F.col("text")) >= REJECT_BELOW)
 
 
+@_stage("near_duplicates")
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: one document of each group of near copies (five words, similarity of 0.8 or more) stays.
 
@@ -42,17 +47,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.where(~may_go("n")).select("row.*").union(rows.where(may_go("n")).join(gone, "n", "left_anti").select("row.*"))
 
 
+@_stage("substrings")
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: runs of words that repeat are cut out of the texts; every document stays, if only with an empty text."""
     return repeats.without_repeats(docs)
 
 
+@_stage("secrets")
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: secrets are masked; every document stays."""
-    base.small_batches(spark)
     return secrets.masked(docs, secrets.fit(docs), MASK)
 
 
+@_stage("packing")
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: pieces of documents in sequences of at most 1,024 tokens; a null text is packed as its end token."""
     pieces, _ = packing.packed(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, size=1024, kept=KEPT_STRETCHES)
@@ -65,14 +72,10 @@ STAGES = [("quality", quality_filter), ("near duplicates", near_duplicates), ("s
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written as Parquet and read again."""
-    return _run(spark, sf_dir)
-
-
 @base.scoped("pipeline")
-def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage stores its result as Parquet, which the next one reads."""
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = base.scoped(name.replace(" ", "_"))(stage)(spark, docs, sf_dir)
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
     return docs
