@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, descent, hnsw, katz, minmax, oracles, packing, pieces, quality, repeats, secrets, token_files
+from . import base, counts, descent, hnsw, infill, katz, minmax, oracles, packing, pieces, quality, repeats, secrets, token_files, variants
 
 
 def tokenizer_path(name: str) -> str:
@@ -76,6 +76,21 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descent.near_vectors(read(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(read(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@base.scoped("op12_infill")
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = infill.restored(infill.transformed(read(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"))
+
+
+@base.scoped("op13_token_counts")
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in sorted(globals().items()) if k.startswith("op") and k[2].isdigit()}
 
@@ -83,4 +98,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """Of the operators whose results are whole numbers, texts and flags. Encoders, compression, forests and packing cannot be
     said in SQL; the sums of logarithms and products of op3 and op6 depend on the order of addition in their last bits."""
-    return {"op5_substrings": oracles.SUBSTRINGS, "op7_minmax_near_duplicates": oracles.NEAR_DUPLICATES, "op10_nn_descent": oracles.NEAR_VECTORS}
+    return {"op5_substrings": oracles.SUBSTRINGS, "op7_minmax_near_duplicates": oracles.NEAR_DUPLICATES, "op10_nn_descent": oracles.NEAR_VECTORS, "op11_variants": oracles.VARIANTS, "op12_infill": oracles.INFILL}
