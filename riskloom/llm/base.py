@@ -86,8 +86,9 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
-def scoped(name: str, compression: str = "snappy") -> Callable:
-    """An operator whose result is stored; the tables that it stored on the way are deleted when it returns or fails."""
+def scoped(name: str, compression: str = "snappy", told: Callable[[str], None] = lambda path: None) -> Callable:
+    """An operator whose result is stored; the tables that it stored on the way are deleted when it returns or fails. ``told`` hears
+    where the result lies."""
 
     def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         @functools.wraps(operator)
@@ -105,6 +106,7 @@ def scoped(name: str, compression: str = "snappy") -> Callable:
                 drop(spark or SparkSession.active(), mine)
             if (outer := _scope.get()) is not None:
                 outer.append(path)
+            told(path)
             return kept
 
         return run

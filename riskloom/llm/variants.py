@@ -9,13 +9,13 @@ without the letter, and for an exchange the letter's place, must be equal too.
 
 That check is an equal join as well, so no pairs are formed: words with one remainder and place are all near each other and
 differ in one letter, which makes at most as many as the alphabet has letters; a word and the longer ones of which it is
-the remainder are at most letters times places. So no group grows with the corpus, however many words share their letters.
+the remainder are at most letters times places. So no group grows with the corpus, however many words share their letters. Words of more
+than LONG letters would leave too many remainders; of these only pairs that share all but a block are compared, letter by letter.
 
 Words are counted with partial sums, whatever the number of a word's occurrences. Everything is DataFrame functions.
 
 Nulls and ties: a null text has no words; a null id counts as the text "null"; repeated rows count as often as they occur; among
-near words with equal counts the one first in code-point order is the form. An empty table gives an empty result. Remainders
-of words of more than LONG letters are compared by a 128-bit hash. Other columns of the input are not read.
+near words with equal counts the one first in code-point order is the form. An empty table gives an empty result. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALPHABET = LOWER + "".join(map(chr, range(0xC0, 0x100)))
 #: Power of a letter's number. The largest value times the greatest length of a string fits a long integer.
 POWER = 5
-LONG = 64
+#: Letters of words whose remainders are compared as such, and blocks of longer ones.
+LONG, BLOCKS = 64, 4
 
 
 def runs(docs: DataFrame, every: int = 199) -> DataFrame:
@@ -72,24 +73,21 @@ def meetings(words: DataFrame) -> DataFrame:
 def remainders(met: DataFrame) -> DataFrame:
     """(rest, place, longer, word, n): what is left of a word without a letter, and the letter's place where others may have another
     letter there; with place -1 the word itself as the rest of longer ones, and those."""
-    letters = F.split("word", "")
-    places = F.filter(F.sequence(F.lit(0), F.char_length("word") - 1), lambda i: F.get(letters, i) == F.col("letter"))
-    rest = F.concat(F.substring("word", F.lit(1), F.col("at")), F.substring("word", F.col("at") + 2, F.char_length("word")))
-    # Both sides of an edit take the same way here: the rest's own length decides.
-    packed = lambda c: F.when(F.char_length(c) <= LONG, c).otherwise(F.concat(F.lit("#"), F.md5(c.cast("binary"))))
-    whole = met.where("letter is null and less > 0").select(packed(F.col("word")).alias("rest"), F.lit(-1).alias("place"), F.lit(False).alias("longer"), "word", "n")
+    own = met.where("letter is null and less > 0").select(F.col("word").alias("rest"), F.lit(-1).alias("place"), F.lit(False).alias("longer"), "word", "n")
+    places = F.filter(F.transform(F.split("word", ""), lambda c, i: F.when(c == F.col("letter"), i)), lambda i: i.isNotNull())
     less = met.where("letter is not null").select("word", "n", "less", "whole", "letter", F.explode(places).alias("at"))
+    rest = F.concat(F.substring("word", F.lit(1), F.col("at")), F.substring("word", F.col("at") + 2, F.char_length("word"))).alias("rest")
     # Of equal letters in a row each leaves the same rest: the first one stands for them.
     first = (F.col("at") == 0) | (F.substring("word", F.col("at"), F.lit(1)) != F.col("letter"))
-    longer = less.where(F.col("whole") > 0).where(first).select(packed(rest).alias("rest"), F.lit(-1).alias("place"), F.lit(True).alias("longer"), "word", "n")
-    exchanged = less.where("less > 1").select(packed(rest).alias("rest"), F.col("at").alias("place"), F.lit(True).alias("longer"), "word", "n")
-    return whole.unionByName(longer).unionByName(exchanged)
+    longer = less.where(F.col("whole") > 0).where(first).select(rest, F.lit(-1).alias("place"), F.lit(True).alias("longer"), "word", "n")
+    exchanged = less.where("less > 1").select(rest, F.col("at").alias("place"), F.lit(True).alias("longer"), "word", "n")
+    return own.unionByName(longer).unionByName(exchanged)
 
 
-def near_words(words: DataFrame) -> DataFrame:
-    """(word, n_near, best): for words with near ones, how many, and the first of them as (count less than 0, word)."""
+def near_short(met: DataFrame) -> DataFrame:
+    """(word, near, best) of words of at most LONG letters: how many are near in one respect, and the first of these."""
     entry = F.struct((-F.col("n")).alias("less"), "word", "longer")
-    groups = remainders(meetings(words)).groupBy("rest", "place").agg(F.array_sort(F.collect_list(entry)).alias("members")).where(F.size("members") > 1)
+    groups = remainders(met).groupBy("rest", "place").agg(F.array_sort(F.collect_list(entry)).alias("members")).where(F.size("members") > 1)
     groups = groups.select("place", F.filter("members", lambda m: ~m["longer"]).alias("shorter"), F.filter("members", lambda m: m["longer"]).alias("longer"))
     # In an exchange each is near all others; a shorter word is near all longer ones, and these are near it alone.
     exchange = groups.where("place >= 0").select(F.explode("longer").alias("m"), F.slice("longer", 1, 2).alias("top"), (F.size("longer") - 1).alias("near"))
@@ -97,8 +95,43 @@ def near_words(words: DataFrame) -> DataFrame:
     pair = groups.where("place < 0 and size(shorter) > 0 and size(longer) > 0").select(F.col("shorter")[0].alias("shorter"), "longer")
     up = pair.select("shorter.word", F.size("longer").alias("near"), F.col("longer")[0].alias("best"))
     down = pair.select(F.explode("longer").alias("m"), "shorter").select("m.word", F.lit(1).alias("near"), F.col("shorter").alias("best"))
-    found = exchange.unionByName(up).unionByName(down)
-    return found.groupBy("word").agg(F.sum("near").alias("n_near"), F.min(F.struct("best.less", "best.word")).alias("best"))
+    return exchange.unionByName(up).unionByName(down).select("word", "near", F.col("best.less").alias("less"), F.col("best.word").alias("best"))
+
+
+def near_long(met: DataFrame) -> DataFrame:
+    """The same for words of more letters, whose remainders would be as many as they are long: a row for each near word.
+
+    An edit leaves three of a word's BLOCKS as they are, but for a shift behind it; what lies before and behind the fourth is compared
+    by a hash, and pairs that agree in it and in the key by their letters.
+    """
+
+    def rows(some: DataFrame, length: Column, skip: int) -> DataFrame:
+        """A row for each block that may hold the edit; ``skip`` letters more lie before what is behind it."""
+        q = F.ceil(length / BLOCKS).cast("int")
+        some = some.select("*", length.alias("length"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+        inner = F.substring("word", F.col("block") * q + 1, q + skip)
+        some = some.where(F.col("letter").isNull() | F.contains(inner, "letter"))
+        return some.select("key", "length", "block", F.xxhash64(F.substring("word", F.lit(1), F.col("block") * q)).alias("before"), F.xxhash64(F.substring("word", (F.col("block") + 1) * q + 1 + skip, F.char_length("word"))).alias("behind"), "word", "n", "letter")
+
+    on = ["key", "length", "block", "before", "behind"]
+    other = lambda df: df.select(*on, F.col("word").alias("other"), F.col("n").alias("m"), F.col("letter").alias("its"))
+    equal = rows(met.where("letter is not null and less > 1"), F.char_length("word"), 0)
+    exchanged = equal.join(other(equal), on).where("letter <> its and levenshtein(word, other, 1) = 1").select("word", "n", "other", "m")
+    shorter, longer = rows(met.where("letter is null and less > 0"), F.char_length("word"), 0), rows(met.where("letter is not null and whole > 0"), F.char_length("word") - 1, 1)
+    # An added letter among equal ones can lie in two blocks.
+    added = shorter.join(other(longer), on).where("levenshtein(word, other, 1) = 1").select("word", "n", "other", "m").distinct()
+    pairs = exchanged.unionByName(added).unionByName(added.select(F.col("other").alias("word"), F.col("m").alias("n"), F.col("word").alias("other"), F.col("n").alias("m")))
+    return pairs.select("word", F.lit(1).alias("near"), (-F.col("m")).alias("less"), F.col("other").alias("best"))
+
+
+def near_words(words: DataFrame) -> DataFrame:
+    """(word, n_near, best): for words with near ones, how many, and the first of them as (count less than 0, word)."""
+    short = near_short(meetings(words.where(F.char_length("word") <= LONG + 1)))
+    # Words of LONG and LONG + 1 letters are compared with each other above; further up, those of LONG + 1 stand with longer ones.
+    long = near_long(meetings(words.where(F.char_length("word") > LONG)))
+    both = (F.char_length("word") == LONG + 1) & (F.char_length("best") == LONG + 1)
+    found = short.unionByName(long.where(~both))
+    return found.groupBy("word").agg(F.sum("near").alias("n_near"), F.min(F.struct("less", F.col("best").alias("word"))).alias("best"))
 
 
 def roots(forms: DataFrame) -> DataFrame:

@@ -78,8 +78,16 @@ def test_all_words_one_letter_from_each_other(spark):
 
 
 def test_long_runs(spark):
+    r = random.Random(5)
     long = "ab" * 40_000
-    rows = [(0, " ".join([long, long[:500] + long[501:], long[:-1] + "c"])), (1, f"{'x' * 64} {'x' * 65} {'x' * 66}")]
+    words = [long, long[:500] + long[501:], long[:-1] + "c", long[:70_000] + "É" + long[70_001:]]
+    for size in (60, 63, 64, 65, 66, 90, 200):
+        w = "".join(r.choice("abÉ") for _ in range(size))
+        for _ in range(30):
+            at, c = r.randrange(size + 1), r.choice("abÉz")
+            words += [w, w[:at] + c + w[at:], w[:at] + w[at + 1 :], w[:at] + c + w[at + 1 :], w[:at] + c + w[at:-1] + "z"]
+    words += ["x" * k for k in range(60, 70)] + ["q" * 100 + "x" * k for k in range(5)]
+    rows = [(i, " ".join(words[i::3])) for i in range(3)]
     assert found(spark, rows, least_count=1, every=10**9) == plain(rows, 6, 1, 5, 10**9)
 
 
