@@ -7,6 +7,8 @@ Null texts are empty ones; rows with a null or a repeated id are documents of th
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +21,34 @@ REJECT_BELOW = 0.5
 MASK = "[SECRET]"
 #: Stretches whose ids a worker remembers while packing: fewer than the operator's own default, since its workers have served all stages.
 KEPT_STRETCHES = 200_000
-#: A stage's result is stored while Python gets bounded batches; texts are long, so it is packed tighter than other tables.
-_stage = functools.partial(base.scoped, compression="zstd")
+#: Where results of stages lie that no later stage has replaced; each thread has its own.
+_results: ContextVar[tuple[str, ...]] = ContextVar("results", default=())
+
+
+def _stage(name: str) -> Callable:
+    """A stage whose result is stored, so that Python gets bounded batches whatever the caller's session says.
+
+    A stage's result is there for the next stage, or to be written elsewhere before the next stage is called: then it goes,
+    but where the next stage reads that very table; in that case it goes after it.
+    """
+
+    def wrap(stage: Callable) -> Callable:
+        store = base.scoped(name, "zstd", lambda path: _results.set((*_results.get(), path)))(stage)
+
+        @functools.wraps(stage)
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            earlier, inputs = _results.get(), docs.inputFiles()
+            read = [p for p in earlier if any(p in f for f in inputs)]
+            base.drop(spark, [p for p in earlier if p not in read])
+            _results.set(tuple(read))
+            out = store(spark, docs, sf_dir)
+            base.drop(spark, read)
+            _results.set(tuple(p for p in _results.get() if p not in read))
+            return out
+
+        return run
+
+    return wrap
 
 
 @_stage("quality")
@@ -38,7 +66,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows with one id the first. Rows without words are nobody's copies and all stay. Texts stay where they lie but for
     those that go, and the few that a bitmap of fixed size takes for such.
     """
-    rows = base.stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("n"), F.col("doc_id").alias("id")), "rows")
+    rows = base.stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("n"), F.col("doc_id").alias("id")), "rows", compression="zstd")
     found = minmax.near_duplicates(rows.select(F.col("n").alias("doc_id"), F.col("row.text").alias("text")), percent=80)
     found = found.select(F.col("doc_id").alias("n"), "component_id").join(rows.select("n", "id"), "n")
     stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "n"))["n"].alias("stays"), F.count("*").alias("size")).where("size > 1")
