@@ -21,29 +21,27 @@ REJECT_BELOW = 0.5
 MASK = "[SECRET]"
 #: Stretches whose ids a worker remembers while packing: fewer than the operator's own default, since its workers have served all stages.
 KEPT_STRETCHES = 200_000
-#: Where results of stages lie that no later stage has replaced; each thread has its own.
-_results: ContextVar[tuple[str, ...]] = ContextVar("results", default=())
+#: (stage, where its result lies) for results that no later stage has replaced; each thread has its own.
+_results: ContextVar[tuple[tuple[str, str], ...]] = ContextVar("results", default=())
 
 
 def _stage(name: str) -> Callable:
     """A stage whose result is stored, so that Python gets bounded batches whatever the caller's session says.
 
     A stage's result is there for the next stage, or to be written elsewhere before the next stage is called: then it goes,
-    but where the next stage reads that very table; in that case it goes after it.
+    but where the next stage reads that very table; in that case it goes after it. Calling the same stage again deletes nothing.
     """
 
     def wrap(stage: Callable) -> Callable:
-        store = base.scoped(name, "zstd", lambda path: _results.set((*_results.get(), path)))(stage)
+        store = base.scoped(name, "zstd", lambda path: _results.set((*_results.get(), (name, path))))(stage)
 
         @functools.wraps(stage)
         def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-            earlier, inputs = _results.get(), docs.inputFiles()
-            read = [p for p in earlier if any(p in f for f in inputs)]
-            base.drop(spark, [p for p in earlier if p not in read])
-            _results.set(tuple(read))
+            earlier, inputs = [x for x in _results.get() if x[0] != name], docs.inputFiles()
+            read = [x for x in earlier if any(x[1] in f for f in inputs)]
+            _forget(spark, [x for x in earlier if x not in read])
             out = store(spark, docs, sf_dir)
-            base.drop(spark, read)
-            _results.set(tuple(p for p in _results.get() if p not in read))
+            _forget(spark, read)
             return out
 
         return run
@@ -51,6 +49,11 @@ def _stage(name: str) -> Callable:
     return wrap
 
 
+def _forget(spark: SparkSession, results: list[tuple[str, str]]) -> None:
+    base.drop(spark, [path for _, path in results])
+    _results.set(tuple(x for x in _results.get() if x not in results))
+
+
 @_stage("quality")
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents that the compression classifier rejects go. A null text is rated as an empty one."""
