@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions import text
+from riskloom.functions import cpe, text
 from riskloom.functions.trigrams import similar
-from riskloom.operators.rank import merged_lists, top_each
+from riskloom.operators.rank import top_each
+from riskloom.operators.stats import candidate_statistics
+from riskloom.session import cut
 
 # Thresholds of the searched columns, and how many candidates a search keeps.
 PRODUCT, TITLE, RECORDS, ADVISORIES = 0.3, 0.6, 0.4, 0.35
@@ -24,15 +26,29 @@ def column_search(items: DataFrame, rows: DataFrame, column: str, threshold: flo
 
 
 def two_column_search(items: DataFrame, catalogue: DataFrame, pool: int = POOL, product: float = PRODUCT, title: float = TITLE) -> DataFrame:
-    """(item, id, score, rn): by product and by title; of each vendor and product the best row by either column, of both
-    lists each row's better score, the ``pool`` best of an item."""
-    lists = []
-    for column, threshold in (("product", product), ("title", title)):
-        found = column_search(items, catalogue, column, threshold).join(catalogue.select("id", "vendor", "product"), "id")
-        once = found.groupBy("item", "vendor", "product").agg(F.max(F.struct("score", (-F.col("id")).alias("minus_id"))).alias("b"))
-        once = once.select("item", (-F.col("b.minus_id")).alias("id"), F.col("b.score").alias("score"))
-        lists.append(top_each(once, ["item"], pool, F.desc("score"), F.asc("id")).drop("rn"))
-    return merged_lists(lists, ["item"], "id", "score", pool)
+    """(item, id, score, rn, targets, cataloged_row_count, max_major): by product and by title; of each vendor and product the best
+    row by either column, of both lists each row's better score, the ``pool`` best of an item.
+
+    ``targets`` are those of the rows of the vendor and product that the list found which gave the score (the product's, of equal
+    ones); the counts are of all the catalogue's rows of the vendor and product.
+    """
+    lists = None
+    for place, (column, threshold) in enumerate((("product", product), ("title", title))):
+        found = column_search(items, catalogue, column, threshold).join(catalogue.select("id", "vendor", "product", cpe.plain_segment(F.col("cpe"), 11).alias("target")), "id")
+        once = found.groupBy("item", "vendor", "product").agg(F.max(F.struct("score", (-F.col("id")).alias("minus_id"))).alias("b"), F.array_sort(F.collect_set("target")).alias("targets"))
+        once = once.select("item", (-F.col("b.minus_id")).alias("id"), F.col("b.score").alias("score"), F.lit(-place).alias("list"), "targets", "vendor", "product")
+        best = top_each(once, ["item"], pool, F.desc("score"), F.asc("id")).drop("rn")
+        lists = best if lists is None else lists.unionByName(best)
+    merged = lists.groupBy("item", "id").agg(F.max("score").alias("score"), F.max_by(F.struct("targets", "vendor", "product"), F.struct("score", "list")).alias("of"))
+    ranked = top_each(merged, ["item"], pool, F.desc("score"), F.asc("id")).select("item", "id", "score", "rn", "of.*")
+    return _with_statistics(ranked, catalogue)
+
+
+def _with_statistics(found: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Adds the statistics of each candidate's partition, which are counted for the partitions named only."""
+    found = cut(found)
+    facts = candidate_statistics(catalogue, found, ["vendor", "product"])
+    return found.join(facts, ["vendor", "product"], "left").drop("vendor", "product")
 
 
 def record_search(items: DataFrame, products: DataFrame, pool: int = RECORD_POOL, threshold: float = RECORDS) -> DataFrame:
@@ -80,9 +96,15 @@ def initialism_search(items: DataFrame, catalogue: DataFrame, pool: int = INITIA
 
 
 def pair_search(items: DataFrame, catalogue: DataFrame, pool: int = POOL) -> DataFrame:
-    """(item, id, rn): products that are a word of the item's name, of a vendor that is a word of its vendor (eight of each
-    at most); one row of each vendor and product, the least id."""
+    """(item, id, rn, targets, cataloged_row_count, max_major): products that are a word of the item's name, of a vendor that is a
+    word of its vendor (eight of each at most); one row of each vendor and product, the least id.
+
+    Targets and counts are of all the catalogue's rows of the vendor and product. The catalogue is thinned out by the pairs first.
+    """
     words = lambda c: text.tokens(text.containment_form(F.col(c)))
     asked = items.select("item", F.explode(text.pairs(words("vendor"), words("name"))).alias("p")).select("item", F.col("p.a").alias("vendor"), F.col("p.b").alias("product"))
-    once = catalogue.groupBy("vendor", "product").agg(F.min("id").alias("id"))
-    return top_each(asked.join(once, ["vendor", "product"]), ["item"], pool, F.asc("id")).select("item", "id", "vendor", "product", "rn")
+    rows = catalogue.join(asked.select("vendor", "product").distinct(), ["vendor", "product"], "left_semi")
+    once = rows.groupBy("vendor", "product").agg(F.min("id").alias("id"), F.array_sort(F.collect_set(cpe.plain_segment(F.col("cpe"), 11))).alias("targets"))
+    found = top_each(asked.join(once, ["vendor", "product"]), ["item"], pool, F.asc("id"))
+    facts = candidate_statistics(catalogue, asked, ["vendor", "product"])
+    return found.join(facts, ["vendor", "product"], "left").select("item", "id", "vendor", "product", "rn", "targets", "cataloged_row_count", "max_major")

@@ -7,14 +7,37 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import trigrams
 from riskloom.operators import fuzzy, identify
+from riskloom.plans.lists import columns
 from riskloom.session import table
 
 
+#: Versions and targets of the catalogue's names, in SQL that both engines read: some of a year, some none.
+_NAMED = "case p_partkey % 11 when 0 then '2019' when 1 then '-' else p_size || '.' || (p_partkey % 7) end as number, case p_partkey % 3 when 0 then 'node.js' when 1 then '*' else 'wordpress' end as target"
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """Adds the catalogue name of each row, whose vendor holds an escaped colon where its id is divisible by five."""
+    vendor = F.when(F.col("id") % 5 == 0, F.concat(F.col("vendor"), F.lit(r"\:x"))).otherwise(F.col("vendor"))
+    return rows.withColumn("cpe", F.concat_ws(":", F.lit("cpe:2.3:a"), vendor, "product", "number", F.lit("*:*:*:*"), "target", F.lit("*:*"))).drop("number", "target")
+
+
 def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr("p_partkey as id", "lower(replace(p_brand, '#', '_')) as vendor", "replace(p_name, ' ', '_') || case when p_size % 3 = 0 then '_' || lower(p_type) else '' end as product", "p_brand || ' ' || p_name as title")
+    t = table(spark, sf_dir, "part")
+    return _named(t.selectExpr("p_partkey as id", "lower(replace(p_brand, '#', '_')) as vendor", "replace(p_name, ' ', '_') || case when p_size % 3 = 0 then '_' || lower(p_type) else '' end as product", "p_brand || ' ' || p_name as title", *columns(_NAMED)))
+
 
+_CATALOGUE = f"select p_partkey as id, lower(replace(p_brand, '#', '_')) as vendor, replace(p_name, ' ', '_') || case when p_size % 3 = 0 then '_' || lower(p_type) else '' end as product, p_brand || ' ' || p_name as title, {_NAMED} from part"
 
-_CATALOGUE = "select p_partkey as id, lower(replace(p_brand, '#', '_')) as vendor, replace(p_name, ' ', '_') || case when p_size % 3 = 0 then '_' || lower(p_type) else '' end as product, p_brand || ' ' || p_name as title from part"
+
+def majors_sql(rows: str) -> str:
+    """Statistics of each vendor and product of ``rows`` (vendor, product, number, target), for all of them."""
+    return f"""
+select vendor, product, n as cataloged_row_count, all_targets, (case when r >= 20 and d >= 3 and p >= 4 and m > 4 * p then p else m end)::bigint as max_major from (
+  select vendor, product, n, all_targets, case when k then nr else r end as r, case when k then nd else d end as d, case when k then nm else m end as m, case when k then np else p end as p from (
+    select *, r > nr and (r - nr) * 10 < r and nr > 0 as k from (
+      select vendor, product, count(*) as n, list_sort(list_distinct(list(target))) as all_targets, count(j) as r, count(distinct j) as d, max(j) as m, quantile_disc(j, 0.99) as p,
+        count(j) filter (where j < 1000) as nr, count(distinct j) filter (where j < 1000) as nd, max(j) filter (where j < 1000) as nm, quantile_disc(j, 0.99) filter (where j < 1000) as np
+      from (select *, try_cast(regexp_extract(number, '^[0-9]{{1,9}}', 0) as int) as j from {rows}) group by 1, 2)))"""
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,14 +84,14 @@ def two_column_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy.two_column_search(_items(spark, sf_dir), _catalogue(spark, sf_dir)).withColumn("score", F.col("score").cast("double"))
 
 
-TWO_COLUMN_SQL = f"""
-with i as (select *, {grams_sql("name")} as g from ({_ITEMS})), c as (select *, {grams_sql("product")} as gp, {grams_sql("title")} as gt from ({_CATALOGUE})),
-s as (select item, id, c.vendor, product, {score_sql("g", "gp")} as score, 1 as l, 0.3 as t from i, c union all select item, id, c.vendor, product, {score_sql("g", "gt")}, 2, 0.6 from i, c),
-d as (select distinct on (item, l, vendor, product) * from s where score >= t::float and score::double > t::double order by item, l, vendor, product, score desc, id),
+_POOL_SQL = f"""i as (select *, {grams_sql("name")} as g from ({_ITEMS})), c as (select *, {grams_sql("product")} as gp, {grams_sql("title")} as gt from ({_CATALOGUE})), stats as ({majors_sql("c")}),
+s as (select item, id, c.vendor, product, target, {score_sql("g", "gp")} as score, 1 as l, 0.3 as t from i, c union all select item, id, c.vendor, product, target, {score_sql("g", "gt")}, 2, 0.6 from i, c),
+f as (select * from s where score >= t::float and score::double > t::double),
+d as (select distinct on (item, l, vendor, product) * exclude (target) from f order by item, l, vendor, product, score desc, id), tg as (select item, l, vendor, product, list_sort(list_distinct(list(target))) as targets from f group by all),
 r as (select * from (select *, row_number() over (partition by item, l order by score desc, id) as rn from d) where rn <= 40),
-b as (select item, id, max(score) as score from r group by 1, 2)
-select item, id, score::double as score, rn from (select *, row_number() over (partition by item order by score desc, id) as rn from b) where rn <= 40
-"""
+b as (select distinct on (item, id) item, id, vendor, product, score, targets from r join tg using (item, l, vendor, product) order by item, id, score desc, l),
+pool as (select item, id, vendor, product, score::double as score, rn, targets, cataloged_row_count, max_major from (select *, row_number() over (partition by item order by score desc, id) as rn from b) join stats using (vendor, product) where rn <= 40)"""
+TWO_COLUMN_SQL = f"with {_POOL_SQL} select item, id, score, rn, targets, cataloged_row_count, max_major from pool"
 
 
 def exact_then_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,14 +130,15 @@ def exact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue rows whose product is a word of an item's name and whose vendor is a word of its vendor."""
     t = table(spark, sf_dir, "part")
     items = t.where("p_partkey % 100 = 0").selectExpr("p_partkey as item", "p_type || ' ' || p_name as name", "replace(p_brand, '#', ' ') || ' Inc' as vendor")
-    catalogue = t.selectExpr("p_partkey as id", "case when p_size % 2 = 0 then 'brand' else split_part(p_brand, '#', 2) end as vendor", "lower(case when p_size % 3 = 0 then p_type else split_part(p_name, ' ', 2) end) as product")
-    return fuzzy.pair_search(items, catalogue)
+    catalogue = t.selectExpr("p_partkey as id", "case when p_size % 2 = 0 then 'brand' else split_part(p_brand, '#', 2) end as vendor", "lower(case when p_size % 3 = 0 then p_type else split_part(p_name, ' ', 2) end) as product", *columns(_NAMED))
+    return fuzzy.pair_search(items, _named(catalogue))
 
 
-PAIRS_SQL = """
+PAIRS_SQL = f"""
 with i as (select p_partkey as item, lower(p_type) as t, lower(split_part(p_name, ' ', 1)) as n1, lower(split_part(p_name, ' ', 2)) as n2, split_part(p_brand, '#', 2) as v from part where p_partkey % 100 = 0),
-c as (select case when p_size % 2 = 0 then 'brand' else split_part(p_brand, '#', 2) end as vendor, lower(case when p_size % 3 = 0 then p_type else split_part(p_name, ' ', 2) end) as product, min(p_partkey) as id from part group by 1, 2)
-select item, id, vendor, product, rn from (select item, id, vendor, product, row_number() over (partition by item order by id) as rn from i join c on vendor in ('brand', v, 'inc') and product in (t, n1, n2)) where rn <= 40
+a as (select case when p_size % 2 = 0 then 'brand' else split_part(p_brand, '#', 2) end as vendor, lower(case when p_size % 3 = 0 then p_type else split_part(p_name, ' ', 2) end) as product, p_partkey as id, {_NAMED} from part),
+c as (select vendor, product, min(id) as id from a group by 1, 2), stats as ({majors_sql("a")})
+select item, id, vendor, product, rn, all_targets as targets, cataloged_row_count, max_major from (select item, id, vendor, product, row_number() over (partition by item order by id) as rn from i join c on vendor in ('brand', v, 'inc') and product in (t, n1, n2)) join stats using (vendor, product) where rn <= 40
 """
 
 
@@ -128,11 +152,33 @@ def explained_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Found rows in the order of preference for their item, with what decided."""
     items, catalogue = _items(spark, sf_dir), _catalogue(spark, sf_dir)
-    pool = fuzzy.two_column_search(items, catalogue).select("item", "id").join(items.select("item", "name", F.col("vendor").alias("item_vendor")), "item").join(catalogue.drop("title"), "id")
-    pool = pool.selectExpr("*", "(item % 40) || '.1' as item_version", "case when item % 200 = 0 then 'npm' end as ecosystem", "case when id % 7 = 0 then 'o' when id % 11 = 0 then 'h' else 'a' end as part", "case id % 3 when 0 then array('node.js') when 1 then array('*') end as targets", "cast(id % 30 as int) as max_major", "id % 13 as cataloged_row_count")
+    pool = fuzzy.two_column_search(items, catalogue).drop("rn", "score").join(items.select("item", "name", F.col("vendor").alias("item_vendor")), "item").join(catalogue.select("id", "vendor", "product"), "id")
+    pool = pool.selectExpr("*", "(item % 40) || '.1' as item_version", "case when item % 200 = 0 then 'npm' end as ecosystem", "case when id % 7 = 0 then 'o' when id % 11 = 0 then 'h' else 'a' end as part")
     return identify.ranked_candidates(pool)
 
 
+def _words(x: str) -> str:
+    return f"regexp_extract_all({x}, '[a-z0-9]+')"
+
+
+def _holds(wide: str, slug: str, wide_words: str, slug_words: str) -> str:
+    return f"({slug} <> '' and {wide} <> '' and (contains({wide}, {slug}) or (len({slug_words}) > 0 and len(list_filter({slug_words}, lambda w: not list_contains({wide_words}, w))) = 0)))"
+
+
+RANK_SQL = f"""
+with {_POOL_SQL},
+k as (select pool.*, case when id % 7 = 0 then 'o' when id % 11 = 0 then 'h' else 'a' end as part, i.name, i.vendor as item_vendor, item % 40 as own, item % 200 = 0 as npm from pool join i using (item)),
+m as (select *, bool_or(part = 'a') over (partition by item) as has_app from k where part <> 'h'),
+u as (select distinct on (item, vendor, product) * from m where part = 'a' or not has_app order by item, vendor, product, id),
+e as (select *, replace(lower(product), '_', ' ') as slug, {_words("lower(replace(product, '_', ' '))")} as w, replace(vendor, '_', ' ') as cv, lower(item_vendor) as iv, {_words("lower(name)")} as q,
+  case when max_major is null or max_major <= 0 then 1 when own <= max_major then 0 when own <= 2 * max_major then 1 else 2 end as cover from u),
+g as (select e.item, e.id, bool_or(s.id <> e.id and s.cover = 0 and s.cv = e.cv and {_holds("s.slug", "e.slug", "s.w", "e.w")}) as current, bool_or(len(s.w) > 0 and len(s.w) < len(e.w) and e.w[1:len(s.w)] = s.w) as derived from e join e s using (item) group by 1, 2),
+o as (select item, id, vendor, product, not (array_to_string(q, ' ') = array_to_string(w, ' ') and not (cover = 2 and current)) as by_not_exact, not coalesce(npm and list_contains(targets, 'node.js'), false) as by_other_target,
+  len(list_filter(q, lambda x: not list_contains(w, x) and not (list_contains({_words("cv")}, x) or (length(x) >= 4 and contains(array_to_string({_words("cv")}, ''), x)))))::int as by_unexplained, cover as by_coverage, not (contains(iv, cv) or contains(cv, iv)) as by_other_vendor, derived as by_derived, -cataloged_row_count as by_fewer_rows from e join g using (item, id))
+select * from (select *, row_number() over (partition by item order by by_not_exact, by_other_target, by_unexplained, by_coverage, by_other_vendor, by_derived, by_fewer_rows, id) as rn from o) where rn <= 10
+"""
+
+
 def bundled_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of each order that one vendor alone makes under exactly this name."""
     t = table(spark, sf_dir, "part").selectExpr("p_partkey as id", "p_brand as vendor", "replace(p_name, ' ', '-') || '_' || p_type || case when p_size % 2 = 0 then cast(p_size as string) else '' end as product", "case when p_partkey % 4 > 0 then array('*', 'x') else array('x') end as targets")
@@ -151,5 +197,5 @@ select item, id, name, version, vendor from l join c using (k) where rn <= 10 an
 #: name -> (query, DuckDB SQL)
 SEARCHES = {
     "trigram_top_k": (trigram_top_k, TOP_K_SQL), "two_column_fuzzy": (two_column_fuzzy, TWO_COLUMN_SQL), "exact_then_fuzzy": (exact_then_fuzzy, EXACT_SQL), "initialism_regex": (initialism_regex, INITIALISM_SQL), "exact_pairs": (exact_pairs, PAIRS_SQL),
-    "explained_candidates": (explained_candidates, None), "candidate_rank": (candidate_rank, None), "bundled_components": (bundled_components, BUNDLED_SQL),
+    "explained_candidates": (explained_candidates, None), "candidate_rank": (candidate_rank, RANK_SQL), "bundled_components": (bundled_components, BUNDLED_SQL),
 }
