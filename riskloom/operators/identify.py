@@ -115,7 +115,7 @@ def explains(item_vendor: Column, query: Column, cpe_vendor: Column, candidate_t
     contradicts = contradicts & ~F.exists(text.tokens(item_vendor), lambda w: vendor_explains(cpe_vendor, w)) & ~F.exists(text.tokens(cpe_vendor), lambda w: vendor_explains(item_vendor, w))
     tail = text.tokens(F.regexp_extract(query, "^[^:]*:(.+)$", 1))
     related = F.exists(tail, lambda a: F.exists(c, lambda b: (a == b) | ((F.length(a) >= 4) & b.contains(a)) | ((F.length(b) >= 4) & a.contains(b))))
-    coordinate = (at > 1) & F.element_at(q, 1).isin(*REVERSED_HOSTS) & ~contradicts & query.rlike(r"^[a-z0-9]+(?:\.[a-z0-9]+)+:.+$") & related
+    coordinate = (at > 1) & F.try_element_at(q, F.lit(1)).isin(*REVERSED_HOSTS) & ~contradicts & query.rlike(r"^[a-z0-9]+(?:\.[a-z0-9]+)+:.+$") & related
     inside = (at > 0) & (coordinate | all_explained(before, cpe_vendor))
     wants_behind = (F.lit(strict) & (at == 1) & (F.size(c) == 1)) | ((at == 1) & contradicts)
     inside = inside & (~wants_behind | all_explained(behind, cpe_vendor))
@@ -198,21 +198,58 @@ def cascade(stages: list[DataFrame], keys: list[str]) -> DataFrame:
     return rows.withColumn("first", F.min("stage").over(Window.partitionBy(*keys))).where("stage = first").drop("first")
 
 
-def merged_identity(items: DataFrame, registry: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(item, ecosystem, package_name, cpe, confidence, method, version_confirmed) from the one registry match and the one
-    catalogue match of an item, if any.
+def merged_identity(items: DataFrame, registry: DataFrame, pool: DataFrame, rescue: DataFrame | None = None) -> DataFrame:
+    """(item, ecosystem, package_name, cpe, confidence, method, version_confirmed, n_candidates): what an item is, from its registry match
+    and its catalogue candidates.
 
-    A catalogue name that does not contain the package's last segment, nor stands in it, is distrusted beside a confirmed
-    registry match and dropped; otherwise the confidence is the greater of both. Items with neither stay unidentified.
+    ``items``: item, vendor, declared (the target that its address declares), selected (the place of the candidate that an arbiter
+    chose, 0 for none, null without a verdict), selected_confidence. ``registry``: at most one match of an item, with ecosystem,
+    package_name, confirmed, confidence, verdict (``matched``, ``rejected`` or null), verdict_confidence. ``pool``: item, rn, cpe,
+    vendor, product, title, targets, relaxed (found by the relaxed rule); a bounded list for each item. ``rescue``: such rows
+    from a search without the registry match.
+
+    1. The arbiter's candidate, else the first; candidates of the relaxed rule only with a verdict.
+    2. Without a candidate, a registry match that a verdict rejects, or that is unconfirmed and without a verdict while the item
+       names a vendor, goes, and the first rescued candidate comes in.
+    3. A registry match is trusted if its version is confirmed or there is no candidate. One that is not takes with it what it
+       vouched for: the candidate must pass the gate of targets alone, else the next of the pool that does takes its place.
+    4. A candidate beside a trusted match must explain the package's name; else it goes.
+
+    With neither left, an item is not identified (method ``none``).
     """
-    rows = items.select("item").join(registry.select("item", "ecosystem", "package_name", F.col("confirmed").alias("version_confirmed"), F.col("confidence").alias("registry_confidence")), "item", "left")
-    rows = rows.join(catalogue.select("item", "cpe", "product"), "item", "left")
+    fields = ["rn", "cpe", "vendor", "product", "title", "targets"]
+    lists = pool.groupBy("item").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("pool"), F.bool_or("relaxed").alias("relaxed"))
+    matches = registry.select("item", "ecosystem", "package_name", "confirmed", F.col("confidence").alias("registry_confidence"), "verdict", "verdict_confidence")
+    rows = items.select("item", F.col("vendor").alias("item_vendor"), "declared", "selected", "selected_confidence").join(matches, "item", "left").join(lists, "item", "left")
+    n, has = F.coalesce(F.size("pool"), F.lit(0)), F.col("ecosystem").isNotNull()
+    rows = rows.withColumns({"n": F.when(F.col("pool").isNull(), 0).otherwise(n), "relaxed": F.coalesce("relaxed", F.lit(False))})
+    named = F.col("selected").between(1, F.col("n")) & ((F.col("n") > 1) | F.col("relaxed"))
+    first = F.when((F.col("n") > 0) & ~F.col("relaxed"), F.try_element_at("pool", F.lit(1)))
+    refused = (F.col("n") > 1) & (F.col("selected") == 0)
+    rows = rows.withColumns({"named": F.coalesce(named, F.lit(False)), "refused": F.coalesce(refused, F.lit(False))})
+    rows = rows.withColumn("chosen", F.when(F.col("named"), F.try_element_at("pool", F.col("selected").cast("int"))).when(~F.col("refused"), first))
+    alone = has & F.col("chosen").isNull()
+    weak = F.col("verdict").isNull() & ~F.col("confirmed") & (F.trim(F.coalesce("item_vendor", F.lit(""))) != "")
+    rows = rows.withColumns({"rejected": F.coalesce(alone & ((F.col("verdict") == "rejected") | weak), F.lit(False)), "vouched": F.coalesce(alone & (F.col("verdict") == "matched"), F.lit(False))})
+    if rescue is not None:
+        saved = best(rescue, ["item"], F.col("rn")).select("item", F.struct(*fields).alias("saved"))
+        rows = rows.join(saved, "item", "left").withColumn("chosen", F.when(F.col("rejected"), F.col("saved")).otherwise(F.col("chosen")))
+    rows = rows.withColumn("trusted", F.coalesce(has & ~F.col("rejected") & (F.col("confirmed") | F.col("chosen").isNull()), F.lit(False)))
+    passes = lambda c: F.coalesce(passes_target(c["targets"], F.col("declared"), F.lit(False)), F.lit(False))
+    retried = has & ~F.col("rejected") & ~F.col("trusted") & ~passes(F.col("chosen"))
+    others = F.filter("pool", lambda c: (c["rn"] != F.col("chosen")["rn"]) & passes(c))
+    rows = rows.withColumn("chosen", F.when(retried, F.try_element_at(others, F.lit(1))).otherwise(F.col("chosen")))
     form = text.containment_form
-    related = contained(form(F.col("product")), form(text.last_segment(F.col("package_name")))) | contained(form(text.last_segment(F.col("package_name"))), form(F.col("product")))
-    distrusted = F.coalesce(F.col("version_confirmed"), F.lit(False)) & F.col("cpe").isNotNull() & ~related
-    rows = rows.withColumn("cpe", F.when(~distrusted, F.col("cpe")))
-    method = F.when(F.col("ecosystem").isNotNull() & F.col("cpe").isNotNull(), "registry+catalogue").when(F.col("ecosystem").isNotNull(), "registry").when(F.col("cpe").isNotNull(), "catalogue").otherwise("none")
-    return rows.select("item", "ecosystem", "package_name", "cpe", F.greatest("registry_confidence", F.when(F.col("cpe").isNotNull(), CATALOGUE)).alias("confidence"), method.alias("method"), "version_confirmed")
+    name, iv, cv = form(text.last_segment(F.col("package_name"))), form(F.col("item_vendor")), form(F.col("chosen")["vendor"])
+    agrees = (name == "") | explains(iv, name, cv, form(F.col("chosen")["product"]), False, True) | explains(iv, name, cv, form(F.col("chosen")["title"]), True, True)
+    rows = rows.withColumn("cpe", F.when(~F.col("trusted") | agrees, F.col("chosen")["cpe"]))
+    found = F.col("cpe").isNotNull()
+    backed = F.when(F.col("trusted"), F.when(F.col("vouched"), F.col("verdict_confidence")).otherwise(F.col("registry_confidence")))
+    confidence = F.when(found & F.col("named"), F.col("selected_confidence")).when(found, F.greatest(backed, F.lit(CATALOGUE))).otherwise(backed)
+    method = F.when(~F.col("trusted") & ~found, "none").when((F.col("named") & found) | F.col("refused") | (F.col("vouched") & F.col("trusted")), "arbitrated")
+    method = method.when(F.col("trusted") & found, "registry+catalogue").when(F.col("trusted"), "registry").otherwise("catalogue")
+    of = lambda c: F.when(F.col("trusted"), F.col(c))
+    return rows.select("item", of("ecosystem").alias("ecosystem"), of("package_name").alias("package_name"), "cpe", confidence.alias("confidence"), method.alias("method"), of("confirmed").alias("version_confirmed"), F.when(found, F.greatest("n", F.lit(1))).alias("n_candidates"))
 
 
 def verified(rows: DataFrame, verdict: str = "verdict") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators import dedup, findings, identify, merge, rank
+from riskloom.plans.lists import columns
 from riskloom.session import table
 from riskloom.sources import registries
 
@@ -408,23 +409,43 @@ select item, id, stage from (select *, min(stage) over (partition by item) as m
 """
 
 
+#: Candidate ``k`` of an item, and what arbiters say, in SQL that both engines read.
+_CANDIDATE = "'c' || p_partkey || '_' || k as cpe, 'v' as vendor, case when (p_partkey + k) % 5 = 0 then 'other' else lower(replace(p_name, ' ', '_')) end as product, '' as title, (p_partkey + k) % 3 as scope"
+_SELECTED = "case p_partkey % 13 when 0 then 0 when 1 then 2 when 2 then 9 when 3 then 1 end as selected"
+
+
 def merged_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identity from a registry match and a catalogue match, then after a verdict on the confident ones."""
+    """Identity from a registry match and up to three candidates, with distrust, retries and rescues, then after a verdict on the
+    confident ones."""
     t = table(spark, sf_dir, "part")
-    items = t.selectExpr("p_partkey as item")
-    reg = t.where("p_partkey % 3 > 0").selectExpr("p_partkey as item", "'npm' as ecosystem", "'@s/' || lower(replace(p_name, ' ', '-')) as package_name", "p_partkey % 2 = 0 as confirmed", "case when p_partkey % 2 = 0 then 0.95D else 0.5D end as confidence")
-    cat = t.where("p_partkey % 4 > 0").selectExpr("p_partkey as item", "'c' || p_partkey as cpe", "case when p_partkey % 5 = 0 then 'other' else lower(replace(p_name, ' ', '_')) end as product")
-    rows = identify.merged_identity(items, reg, cat).withColumn("verdict", F.expr("case item % 7 when 0 then 'incorrect' when 1 then 'correct' end"))
-    return identify.verified(rows).drop("verdict").withColumn("confidence", F.round("confidence", 4))
+    items = t.selectExpr("p_partkey as item", "case when p_size % 2 = 0 then p_brand else ' ' end as vendor", "case when p_partkey % 17 < 3 then 'wordpress' end as declared", _SELECTED, "0.85D as selected_confidence")
+    reg = t.where("p_partkey % 3 > 0").selectExpr("p_partkey as item", "'npm' as ecosystem", "'@s/' || lower(replace(p_name, ' ', '-')) as package_name", "p_partkey % 2 = 0 as confirmed", "case when p_partkey % 2 = 0 then 0.95D else 0.5D end as confidence", "case p_partkey % 19 when 0 then 'rejected' when 1 then 'matched' end as verdict", "0.8D as verdict_confidence")
+    targets = "case scope when 0 then array('node.js') when 1 then array('*') else array('wordpress', 'x') end as targets"
+    pool = t.selectExpr("*", "explode(sequence(1, 3)) as k").where("k <= p_partkey % 4").selectExpr("p_partkey as item", "k as rn", *columns(_CANDIDATE), "p_partkey % 11 = 0 as relaxed").selectExpr("*", targets)
+    rescue = t.where("p_partkey % 5 = 0").selectExpr("*", "7 as k").selectExpr("p_partkey as item", "k as rn", *columns(_CANDIDATE)).selectExpr("*", targets)
+    rows = identify.merged_identity(items, reg, pool, rescue).withColumn("verdict", F.expr("case item % 7 when 0 then 'incorrect' when 1 then 'correct' end"))
+    return identify.verified(rows).select("item", "ecosystem", "package_name", "cpe", F.round("confidence", 4).alias("confidence"), "method", "version_confirmed", "n_candidates", "deleted", "verified")
 
 
+# Step by step for each item, candidates by their number: 0 is none, 7 the rescued one. A product explains its package unless it is "other".
 IDENTITY_SQL = """
-with t as (select p_partkey as item, p_partkey % 3 > 0 as r, p_partkey % 2 = 0 as conf, p_partkey % 4 > 0 and not (p_partkey % 3 > 0 and p_partkey % 2 = 0 and p_partkey % 5 = 0) as c, p_partkey % 7 as v from part),
-m as (select *, greatest(case when r then case when conf then 0.95 else 0.5 end end, case when c then 0.6 end)::double as confidence from t), w as (select *, coalesce(c and confidence >= 0.95 and v = 0, false) as wrong, coalesce(c and confidence >= 0.95 and v < 2, false) as verified from m)
-select item, case when r then 'npm' end as ecosystem, case when r then '@s/' || lower(replace(p_name, ' ', '-')) end as package_name, case when c and not wrong then 'c' || item end as cpe, round(case when wrong then confidence * 0.5 else confidence end, 4) as confidence,
-  case when r and c then 'registry+catalogue' when r then 'registry' when c then 'catalogue' else 'none' end as method, case when r then conf end as version_confirmed, wrong and not r as deleted, verified from w join part on p_partkey = item
+with t as (select p_partkey as item, p_name, p_partkey % 4 as n, p_partkey % 11 = 0 as relaxed, p_partkey % 3 > 0 as r, p_partkey % 2 = 0 as conf, p_size % 2 = 0 as vendor, case when p_partkey % 17 < 3 then 2 end as declared, p_partkey % 7 as v,
+  case p_partkey % 13 when 0 then 0 when 1 then 2 when 2 then 9 when 3 then 1 end as sel, case p_partkey % 19 when 0 then 'rejected' when 1 then 'matched' end as word from part),
+a as (select *, coalesce(sel between 1 and n and (n > 1 or relaxed), false) as named, coalesce(n > 1 and sel = 0, false) as refused from t),
+b as (select *, case when named then sel when refused or n = 0 or relaxed then 0 else 1 end as first from a),
+c as (select *, r and first = 0 and (coalesce(word = 'rejected', false) or (word is null and not conf and vendor)) as rejected, r and first = 0 and coalesce(word = 'matched', false) as vouched from b),
+d as (select *, case when rejected then case when item % 5 = 0 then 7 else 0 end else first end as k from c),
+e as (select *, r and not rejected and (conf or k = 0) as trusted from d),
+f as (select *, case when r and not rejected and not trusted and not ((item + k) % 3 = 1 or coalesce((item + k) % 3 = declared, false)) then coalesce(list_filter(range(1, n + 1), lambda x: x <> k and ((item + x) % 3 = 1 or coalesce((item + x) % 3 = declared, false)))[1], 0) else k end as final from e),
+g as (select *, final > 0 and not (trusted and (item + final) % 5 = 0) as found from f),
+h as (select *, case when found and named then 0.85 when found then greatest(case when trusted then case when vouched then 0.8 when conf then 0.95 else 0.5 end end, 0.6) when trusted then case when vouched then 0.8 when conf then 0.95 else 0.5 end end::double as confidence,
+  case when not trusted and not found then 'none' when (named and found) or refused or (vouched and trusted) then 'arbitrated' when trusted and found then 'registry+catalogue' when trusted then 'registry' else 'catalogue' end as method from g),
+w as (select *, method <> 'none' and found and coalesce(confidence >= 0.95, false) as asked from h)
+select item, case when trusted then 'npm' end as ecosystem, case when trusted then '@s/' || lower(replace(p_name, ' ', '-')) end as package_name, case when found and not (asked and v = 0) then 'c' || item || '_' || final end as cpe, round(case when asked and v = 0 then confidence * 0.5 else confidence end, 4) as confidence,
+  method, case when trusted then conf end as version_confirmed, case when found then greatest(n, 1) end::int as n_candidates, asked and v = 0 and not trusted as deleted, asked and v < 2 as verified from w
 """
 
+
 def record_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate records of which a plausible entry covers the item's version, with the first bound of that entry; only the
     items of one owner."""
