@@ -109,8 +109,15 @@ def scoped_id(identifier: Column, package: Column, item: Column, longest: int =
 
 
 def cut_text(text: Column, longest: int) -> Column:
-    """At most so many characters; a character beyond the basic plane is never split and counts as one."""
-    return F.left(text, F.lit(longest))
+    """At most so many UTF-16 units: a character beyond the basic plane counts as two and goes where only one has room."""
+    beyond, second = r"[\x{10000}-\x{10FFFF}]", "\uffff"  # the second unit is marked by a code point that is no character
+    marked = F.left(F.regexp_replace(text, f"({beyond})", f"$1{second}"), F.lit(longest))
+    return F.when(text.rlike(beyond), F.translate(F.regexp_replace(marked, f"{beyond}$", ""), second, "")).otherwise(F.left(text, F.lit(longest)))
+
+
+def one_line(text: Column) -> Column:
+    """A text for a log: without control characters of ASCII, so it can neither end a line nor steer a terminal."""
+    return F.regexp_replace(text, r"[\x00-\x1F\x7F]", "")
 
 
 def tracking_id(path: Column) -> Column:

@@ -41,13 +41,17 @@ def two_column_search(items: DataFrame, catalogue: DataFrame, pool: int = POOL,
         lists = best if lists is None else lists.unionByName(best)
     merged = lists.groupBy("item", "id").agg(F.max("score").alias("score"), F.max_by(F.struct("targets", "vendor", "product"), F.struct("score", "list")).alias("of"))
     ranked = top_each(merged, ["item"], pool, F.desc("score"), F.asc("id")).select("item", "id", "score", "rn", "of.*")
-    return _with_statistics(ranked, catalogue)
+    return with_statistics(ranked, catalogue)
 
 
-def _with_statistics(found: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Adds the statistics of each candidate's partition, which are counted for the partitions named only."""
+def with_statistics(found: DataFrame, catalogue: DataFrame, targets: bool = False) -> DataFrame:
+    """Adds the statistics of each candidate's partition (vendor, product), which are counted for the partitions named only; and, if
+    asked, the targets of all its rows."""
     found = cut(found)
     facts = candidate_statistics(catalogue, found, ["vendor", "product"])
+    if targets:
+        rows = catalogue.join(found.select("vendor", "product").distinct(), ["vendor", "product"], "left_semi")
+        facts = facts.join(rows.groupBy("vendor", "product").agg(F.array_sort(F.collect_set(cpe.plain_segment(F.col("cpe"), 11))).alias("targets")), ["vendor", "product"])
     return found.join(facts, ["vendor", "product"], "left").drop("vendor", "product")
 
 

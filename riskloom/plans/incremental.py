@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.plans.lists import columns
 from riskloom.session import table
 from riskloom.streaming import budget, cursors
 
@@ -67,29 +68,44 @@ h as (select p_partkey, case when p_partkey % 7 = 5 then b when p_size % 5 = 0 t
 """
 
 
-def time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of 120 days from 1999 on, those with many results cut in half once."""
-    bounds = spark.sql("select timestamp'1999-01-01 00:00:00' as start, timestamp'2003-06-01 00:00:00' as end")
-    counted = cursors.windows(bounds).withColumn("n", F.month("start") * 2000)
-    w = lambda c, name: F.col(c).cast("timestamp_ntz").alias(name)
-    return cursors.split(counted).select(w("start", "begins"), w("end", "ends"), "settled")
+_BOUNDS = "min(ts) - interval '40' day as start, max(ts) + interval '30' day as end"
 
 
-WINDOWS_SQL = """
-with w as (select s as start, least(s + interval 120 days, timestamp '2003-06-01') as e from (select timestamp '1999-01-01' + to_days(120 * i::int) as s from range(0, 100) t(i)) where s < timestamp '2003-06-01'), l as (select *, month(start) * 2000 > 20000 and e > start + interval 1 day as large from w)
-select start as begins, e as ends, true as settled from l where not large union all select start, start + (e - start) / 2, false from l where large union all select start + (e - start) / 2, e, false from l where large
+def time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 20 days around the events, those with many events cut in half once."""
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    w = cursors.windows(e.selectExpr(*columns(_BOUNDS)), 20)
+    moments = e.groupBy("ts").agg(F.count("*").alias("m")).withColumn("day", F.to_date("ts"))
+    held = w.withColumn("day", F.explode(F.sequence(F.to_date("start"), F.to_date("end")))).join(moments, "day").where((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")))
+    counted = w.join(held.groupBy("start", "end").agg(F.sum("m").alias("n")), ["start", "end"], "left").select("start", "end", F.coalesce("n", F.lit(0)).alias("n"))
+    at = lambda c, name: F.col(c).cast("timestamp_ntz").alias(name)
+    return cursors.split(counted, 200).select(at("start", "begins"), at("end", "ends"), "settled")
+
+
+_WINDOWS = "b as (select min(ts) - interval 40 days as s, max(ts) + interval 30 days as e from events), w as (select s + to_days({days} * i::int) as s, least(s + to_days({days} * (i::int + 1)), e) as e from b, range(0, 400) t(i) where s + to_days({days} * i::int) < e)"
+WINDOWS_SQL = f"""
+with {_WINDOWS.format(days=20)}, l as (select w.s, w.e, count(ts) > 200 and w.e > w.s + interval 1 day as large from w left join events on ts >= w.s and ts < w.e group by 1, 2)
+select s as begins, e as ends, true as settled from l where not large union all select s, s + (e - s) / 2, false from l where large union all select s + (e - s) / 2, e, false from l where large
 """
 
 
 def settled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of ten days over the events, halved until none holds more than forty of them or is no longer than a day: each
+    """Windows of ten days around the events, halved until none holds more than forty of them or is no longer than a day: each
     window's number of events."""
     e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"))
-    bounds = spark.sql("select timestamp'2024-01-01 00:00:00' as start, timestamp'2024-03-01 00:00:00' as end")
-    w = cursors.settled_windows(bounds, e, "ts", 40, 10)
+    w = cursors.settled_windows(e.selectExpr(*columns(_BOUNDS)), e, "ts", 40, 10)
     return w.select(F.col("start").cast("timestamp_ntz").alias("begins"), F.col("end").cast("timestamp_ntz").alias("ends"), "n")
 
 
+# Times as microseconds, so that halves are exact; each round halves what holds too many.
+SETTLED_SQL = f"""
+with recursive {_WINDOWS.format(days=10)}, ev as (select epoch_us(ts) as t from events),
+tree as (select epoch_us(s) as s, epoch_us(e) as e, (select count(*) from ev where t >= epoch_us(s) and t < epoch_us(e)) as n from w
+  union all select h.s, h.e, (select count(*) from ev where t >= h.s and t < h.e) from (select unnest([{{'s': s, 'e': (s + e) // 2}}, {{'s': (s + e) // 2, 'e': e}}]) as h from tree where n > 40 and e > s + 86400000000))
+select make_timestamp(s) as begins, make_timestamp(e) as ends, n from tree where n <= 40 or e <= s + 86400000000
+"""
+
+
 def freshness_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Warnings of mirrors that cannot be relied on."""
     t = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as mirror", "s_suppkey % 7 > 0 as baseline_loaded", "case when s_suppkey % 5 = 0 then 'x' end as last_error", "case when s_suppkey % 11 > 0 then make_timestamp(2024, 1, 1 + cast(s_suppkey % 20 as int), 0, 0, 0) end as last_synced_at", "case when s_suppkey % 2 = 0 then 2 else 9 end as stale_after_days")
@@ -133,6 +149,6 @@ select job, seq, admitted, pool, (s + fs)::double as spent from f where i > 0
 
 #: name -> (query, DuckDB SQL)
 INCREMENTAL = {
-    "cursor_groups": (cursor_groups, GROUPS_SQL), "frozen_cursor": (frozen_cursor, FROZEN_SQL), "due_changes": (due_changes, DUE_SQL), "dead_letters": (dead_letters, DEAD_SQL), "time_windows": (time_windows, WINDOWS_SQL), "settled_windows": (settled_windows, None),
+    "cursor_groups": (cursor_groups, GROUPS_SQL), "frozen_cursor": (frozen_cursor, FROZEN_SQL), "due_changes": (due_changes, DUE_SQL), "dead_letters": (dead_letters, DEAD_SQL), "time_windows": (time_windows, WINDOWS_SQL), "settled_windows": (settled_windows, SETTLED_SQL),
     "freshness_age": (freshness_age, FRESHNESS_SQL), "cost_rollup": (cost_rollup, COST_SQL), "budget_fold": (budget_fold, BUDGET_SQL),
 }

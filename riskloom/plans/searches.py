@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import trigrams
-from riskloom.operators import fuzzy, identify
+from riskloom.operators import cascade, fuzzy, identify
 from riskloom.plans.lists import columns
 from riskloom.session import table
 
@@ -179,6 +179,18 @@ select * from (select *, row_number() over (partition by item order by by_not_ex
 """
 
 
+def fallback_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item's candidates of the first stage of the fallback cascade that has any: names that are similar, that hold a pair
+    of words, that fewer words find in a further table, or that nothing finds."""
+    t = table(spark, sf_dir, "part")
+    name = "case p_partkey % 300 when 0 then p_name when 100 then split_part(p_name, ' ', 2) || ' of many quite different long words' else 'unit ' || p_size || ' deluxe edition' end as name"
+    vendor = "case p_partkey % 300 when 200 then p_type else replace(p_brand, '#', ' ') end as vendor"
+    items = t.where("p_partkey % 100 = 0").selectExpr("p_partkey as item", name, vendor, "p_size || '.0' as version", "cast(null as string) as declared", "case when p_size % 9 = 0 then 'npm' end as ecosystem")
+    short = _named(t.selectExpr("p_partkey + 1000000000 as id", "case when p_size % 2 = 0 then 'brand' else split_part(p_brand, '#', 2) end as vendor", "lower(split_part(p_name, ' ', 2)) as product", "p_type as title", *columns(_NAMED)))
+    further = _named(t.selectExpr("p_partkey + 2000000000 as id", "lower(p_type) as vendor", "lower(p_type) || '_unit_' || p_size as product", "p_type || ' Unit ' || p_size as title", *columns(_NAMED)))
+    return cascade.cascade(items, _catalogue(spark, sf_dir).unionByName(short), further)
+
+
 def bundled_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of each order that one vendor alone makes under exactly this name."""
     t = table(spark, sf_dir, "part").selectExpr("p_partkey as id", "p_brand as vendor", "replace(p_name, ' ', '-') || '_' || p_type || case when p_size % 2 = 0 then cast(p_size as string) else '' end as product", "case when p_partkey % 4 > 0 then array('*', 'x') else array('x') end as targets")
@@ -197,5 +209,5 @@ select item, id, name, version, vendor from l join c using (k) where rn <= 10 an
 #: name -> (query, DuckDB SQL)
 SEARCHES = {
     "trigram_top_k": (trigram_top_k, TOP_K_SQL), "two_column_fuzzy": (two_column_fuzzy, TWO_COLUMN_SQL), "exact_then_fuzzy": (exact_then_fuzzy, EXACT_SQL), "initialism_regex": (initialism_regex, INITIALISM_SQL), "exact_pairs": (exact_pairs, PAIRS_SQL),
-    "explained_candidates": (explained_candidates, None), "candidate_rank": (candidate_rank, RANK_SQL), "bundled_components": (bundled_components, BUNDLED_SQL),
+    "explained_candidates": (explained_candidates, None), "candidate_rank": (candidate_rank, RANK_SQL), "bundled_components": (bundled_components, BUNDLED_SQL), "fallback_stages": (fallback_stages, None),
 }

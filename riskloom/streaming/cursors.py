@@ -3,10 +3,15 @@ a run reads and writes as a whole; changes come as a DataFrame with the result o
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+import time
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskloom.functions import times
 
@@ -57,6 +62,11 @@ def dead_letters(failures: DataFrame, results: DataFrame, key: str, ok: Column,
     return both.select(key, n.alias("failures"), (n >= after).alias("dead"))
 
 
+def letter_counts(letters: DataFrame, feed: str) -> DataFrame:
+    """(feed, n_failing, n_dead): how many documents of each feed failed in their last run, and how many the cursor has passed."""
+    return letters.groupBy(feed).agg(F.count_if(F.col("failures") > 0).alias("n_failing"), F.count_if(F.coalesce("dead", F.lit(False))).alias("n_dead"))
+
+
 def advanced(cursors: DataFrame, run: DataFrame, feed: str) -> DataFrame:
     """The cursor table after a run; a run that passed nothing, and feeds without one, leave their cursor as it is."""
     return cursors.select(feed, F.col("cursor").alias("old")).join(run.select(feed, "cursor"), feed, "full").select(feed, F.greatest("old", "cursor").alias("cursor"))
@@ -82,29 +92,55 @@ def split(counted: DataFrame, most: int = 20_000, least: str = "INTERVAL 1 DAY")
     """(start, end, settled) from windows with their number of results ``n``: those with more than ``most`` become two
     halves unless they are short already."""
     large = (F.col("n") > most) & (F.col("end") > F.col("start") + F.expr(least))
-    middle = times.midpoint(F.col("start"), F.col("end"))
-    halves = F.array(F.struct(F.col("start").alias("start"), middle.alias("end")), F.struct(middle.alias("start"), F.col("end").alias("end")))
-    whole = F.array(F.struct("start", "end"))
-    return counted.select(F.explode(F.when(large, halves).otherwise(whole)).alias("w"), (~large).alias("settled")).select("w.start", "w.end", "settled")
+    return counted.select(F.explode(F.when(large, _halves(F.col("start"), F.col("end"))).otherwise(F.array(F.struct("start", "end")))).alias("w"), (~large).alias("settled")).select("w.start", "w.end", "settled")
+
 
+def _halves(start: Column, end: Column) -> Column:
+    middle = times.midpoint(start, end)
+    return F.array(F.struct(start.alias("start"), middle.alias("end")), F.struct(middle.alias("start"), end.alias("end")))
 
-def settled_windows(bounds: DataFrame, events: DataFrame, ts: str, most: int, days: int = 120, least: str = "INTERVAL 1 DAY", rounds: int = 40) -> DataFrame:
-    """Windows (start, end, n) over the events such that none holds more than ``most`` unless it is short: windows are
-    counted and halved until nothing changes. Events meet windows by equality on the day, so no event meets them all."""
-    now = windows(bounds, days)
-    daily = events.groupBy(F.col(ts).alias("ts")).agg(F.count("*").alias("m")).withColumn("day", F.to_date("ts"))
 
-    def counted(w: DataFrame) -> DataFrame:
-        listed = w.select("start", "end", F.explode(F.sequence(F.to_date("start"), F.to_date("end"))).alias("day"))
-        held = listed.join(daily, "day").where((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")))
-        return w.join(held.groupBy("start", "end").agg(F.sum("m").alias("n")), ["start", "end"], "left").select("start", "end", F.coalesce("n", F.lit(0)).alias("n"))
+def window_tree(tops: DataFrame, least: str = "INTERVAL 1 DAY") -> DataFrame:
+    """(tree, level, path, start, end, leaf): each window of ``tops`` and its halves, quarters and so on, down to the first that are no
+    longer than ``least``. A node's path is its place on its level; trees are known by their start.
 
-    for _ in range(rounds):  # a window of 120 days is short after seven halvings
-        halved = split(counted(now), most, least).persist()
-        if halved.where("not settled").isEmpty():
-            return counted(halved.select("start", "end"))
-        now = halved.select("start", "end")
-    return counted(now)
+    The levels follow from the longest window, so the tree is made without looking at any data.
+    """
+    spare = F.col("end") > F.col("start") + F.expr(least)
+    level = tops.select(F.col("start").alias("tree"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("path"), "start", "end")
+    longest = tops.agg(F.max(F.unix_micros("end") - F.unix_micros("start")).alias("n"), F.max(F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(least))).alias("least")).first()
+    depth = max(0, math.ceil(math.log2(longest["n"] / longest["least"]))) if longest["n"] else 0
+    out = level
+    for n in range(1, depth + 1):
+        halves = level.where(spare).select("tree", "path", F.posexplode(_halves(F.col("start"), F.col("end"))).alias("half", "w"))
+        level = halves.select("tree", F.lit(n).alias("level"), (F.col("path") * 2 + F.col("half")).alias("path"), "w.start", "w.end")
+        out = out.unionByName(level)
+    return out.withColumn("leaf", ~spare)
+
+
+def settled_windows(bounds: DataFrame, events: DataFrame, ts: str, most: int, days: int = 120, least: str = "INTERVAL 1 DAY") -> DataFrame:
+    """Windows (start, end, n) over the events such that none holds more than ``most`` unless it is short: the windows that halving
+    each one that holds too many would end with.
+
+    Events are counted once, by the finest windows; sums over these are the counts of all wider ones. A window stays if it is
+    settled and the one that it is half of is not. Events meet the finest windows by equality on a step of time, so none
+    meets them all.
+    """
+    tree = window_tree(windows(bounds, days), least)
+    width = F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(least))
+    step = lambda c: F.floor(F.unix_micros(c) / width).cast("long")
+    moments = events.groupBy(F.col(ts).cast("timestamp").alias("ts")).agg(F.count("*").alias("m")).withColumn("step", step(F.col("ts")))
+    leaves = tree.where("leaf").withColumn("step", F.explode(F.sequence(step(F.col("start")), step(F.col("end")))))
+    held = leaves.join(moments, "step").where((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")))
+    counts = held.groupBy("tree", "level", "path").agg(F.sum("m").alias("m"))
+    above = counts.select("tree", "path", F.col("level").alias("own"), "m", F.explode(F.sequence(F.lit(0), F.col("level"))).alias("level"))
+    sums = above.groupBy("tree", "level", F.call_function("shiftright", F.col("path"), F.col("own") - F.col("level")).alias("path")).agg(F.sum("m").alias("n"))
+    known = tree.join(sums, ["tree", "level", "path"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    known = known.withColumn("settled", (F.col("n") <= most) | F.col("leaf"))
+    open_ones = known.where("not settled").select("tree", (F.col("level") + 1).alias("level"), F.col("path").alias("parent"))
+    top = known.where("settled and level = 0").select("start", "end", "n")
+    below = known.where("settled and level > 0").withColumn("parent", F.shiftright("path", 1)).join(open_ones, ["tree", "level", "parent"])
+    return top.unionByName(below.select("start", "end", "n"))
 
 
 def freshness(states: DataFrame, now: Column) -> DataFrame:
@@ -128,3 +164,57 @@ def run_over(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpo
     """Works off what a stream has, batch by batch, and ends; a batch that is repeated after a failure comes under its old
     number, so ``apply`` must be idempotent for a number."""
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+class _Spent(Exception):
+    """The run's budget is used up."""
+
+
+def run_within(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, batches: int, seconds: float | None = None) -> bool:
+    """Works off at most so many batches, and begins none after so many seconds; True if nothing is left.
+
+    How much a batch holds is limited by the stream's source (``maxFilesPerTrigger``, ``maxBytesPerTrigger``). What is not begun stays
+    behind the stream's offset and is the next run's first batch, so several runs do what one without limits does.
+    """
+    began, done = time.monotonic(), 0
+
+    def limited(batch: DataFrame, number: int) -> None:
+        nonlocal done
+        if done >= batches or (seconds is not None and time.monotonic() - began > seconds):
+            raise _Spent("budget used up")
+        apply(batch, number)
+        done += 1
+
+    query = stream.writeStream.foreachBatch(limited).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as e:
+        if "budget used up" not in str(e):
+            raise
+        return False
+    return True
+
+
+LETTERS = "feed string, document string, ts timestamp, failures int, dead boolean"
+
+
+def letters_stream(results: DataFrame, after: int = DEAD_AFTER) -> DataFrame:
+    """LETTERS rows, one for each document of a batch, from a stream of results (feed, document, ts, ok): how often it failed in a
+    row, over all batches.
+
+    The count is the state of the document's key in the stream's state store, so it survives restarts; a success sets it
+    back and drops the state. Results of one batch count in the order of their times.
+    """
+
+    def count(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (failures,) = state.get if state.exists else (0,)
+        rows = pd.concat(list(parts)).sort_values("ts", kind="stable")
+        for ok in rows["ok"].fillna(False).astype(bool):
+            failures = 0 if ok else failures + 1
+        if failures:
+            state.update((failures,))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"feed": [key[0]], "document": [key[1]], "ts": [rows["ts"].iloc[-1]], "failures": [failures], "dead": [failures >= after]})
+
+    return results.select("feed", "document", "ts", "ok").groupBy("feed", "document").applyInPandasWithState(count, LETTERS, "failures int", "update", GroupStateTimeout.NoTimeout)
