@@ -114,7 +114,7 @@ def merged(found: DataFrame, lengths: DataFrame, k: int, longest: int, threshold
     """
     once = found.groupBy("node", "other").agg(F.min("d").alias("d"))
     ranked = once.withColumn("rn", F.row_number().over(Window.partitionBy("node").orderBy("d", "other"))).where(F.col("rn") <= longest)
-    kept = ranked.join(lengths, "node", "left").withColumn("k", F.coalesce("k", F.lit(k))).where(F.col("rn") <= F.col("k"))
+    kept = ranked.join(lengths.select("node", "k"), "node", "left").withColumn("k", F.coalesce("k", F.lit(k))).where(F.col("rn") <= F.col("k"))
     return kept.groupBy("node").agg(F.first("k").alias("k"), F.array_sort(F.collect_list(F.struct("d", F.col("other").alias("node")))).alias("near"))
 
 
@@ -127,9 +127,9 @@ def forest_links(near: DataFrame) -> DataFrame:
 
 
 def lengthened(graph: DataFrame, longest: int, threshold: float) -> DataFrame:
-    """(node, k): twice as long where a full list ends with a link."""
+    """(node, k, was): twice as long as it was where a full list ends with a link."""
     full = (F.size("near") >= F.col("k")) & (F.element_at("near", -1)["d"] <= -threshold)
-    return graph.select("node", F.when(full, F.least(F.col("k") * 2, F.lit(longest))).otherwise(F.col("k")).alias("k"))
+    return graph.select("node", F.when(full, F.least(F.col("k") * 2, F.lit(longest))).otherwise(F.col("k")).alias("k"), F.col("k").alias("was"))
 
 
 def meetings(graph: DataFrame, nodes: DataFrame, lengths: DataFrame, threshold: float) -> DataFrame:
@@ -141,7 +141,7 @@ def meetings(graph: DataFrame, nodes: DataFrame, lengths: DataFrame, threshold:
     inward = inward.select("centre", F.pmod(F.xxhash64("member"), F.col("groups")).alias("part"), "member")
     outward = edges.select(F.col("node").alias("centre"), F.col("other").alias("member")).unionByName(graph.select(F.col("node").alias("centre"), F.col("node").alias("member")))
     outward = outward.join(names, "centre", "left").select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("groups", F.lit(1)) - 1)).alias("part"), "member")
-    rows = inward.unionByName(outward).distinct().join(nodes.join(lengths, "node").select(F.col("node").alias("member"), "vector", "k"), "member")
+    rows = inward.unionByName(outward).distinct().join(nodes.join(lengths.select("node", "k"), "node").select(F.col("node").alias("member"), "vector", "k"), "member")
     rows = rows.repartition("centre", "part").sortWithinPartitions("centre", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,24 +154,35 @@ def meetings(graph: DataFrame, nodes: DataFrame, lengths: DataFrame, threshold:
     return rows.mapInArrow(run, NEAR)
 
 
-def descended(nodes: DataFrame, met: DataFrame, before: tuple[DataFrame, DataFrame] | None, k: int, longest: int, threshold: float, settled: float) -> tuple[DataFrame, DataFrame]:
-    """(graph, links) from first meetings, joined to an earlier graph and its links if there are any, until settled."""
+def descended(nodes: DataFrame, met: DataFrame, before: tuple[DataFrame, list[DataFrame]] | None, k: int, longest: int, threshold: float, settled: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(graph, what met) from first meetings, joined to an earlier graph if there is one, until settled.
+
+    A round writes two tables, what met and the graph; the links are read from all that met, at the end.
+    """
     met = base.stored(met, "met")
-    no_lengths = nodes.select("node", F.lit(k).alias("k"))
-    lengths = no_lengths if before is None else before[0].select("node", "k")
+    lengths = nodes.select("node", F.lit(k).alias("k")) if before is None else before[0].select("node", "k")
     found = entries(met) if before is None else entries(met).unionByName(entries(before[0]))
-    links = forest_links(met) if before is None else forest_links(met).unionByName(before[1]).distinct()
+    all_met = [met] if before is None else [*before[1], met]
     graph = base.stored(merged(found, lengths, k, longest, threshold), "graph")
     while True:
-        lengths = base.stored(lengthened(graph, longest, threshold), "lengths")
+        lengths = lengthened(graph, longest, threshold)
         met = base.stored(meetings(graph, nodes, lengths, threshold), "met")
-        links = base.stored(links.unionByName(forest_links(met)).distinct(), "links")
+        all_met.append(met)
         after = base.stored(merged(entries(met).unionByName(entries(graph)), lengths, k, longest, threshold), "graph")
-        changes = entries(after).join(entries(graph).select("node", "other"), ["node", "other"], "left_anti").count()
-        grown = lengths.join(graph.select("node", F.col("k").alias("was")), "node").where("k > was").count()
+        old = entries(graph).select("node", "other", F.lit(True).alias("old"))
+        changes, total = entries(after).join(old, ["node", "other"], "left").agg(F.count_if(F.col("old").isNull()), F.count("*")).first()
+        grown = lengths.agg(F.count_if(F.col("k") > F.col("was"))).first()[0]
         graph = after
-        if changes <= settled * max(1, after.select(F.sum(F.size("near"))).first()[0] or 0) and not grown:
-            return graph, links
+        if changes <= settled * max(1, total) and not grown:
+            return graph, all_met
+
+
+def links_of(all_met: list[DataFrame]) -> DataFrame:
+    """(a, b): the links in the forests of all that met."""
+    out = forest_links(all_met[0])
+    for met in all_met[1:]:
+        out = out.unionByName(forest_links(met))
+    return out.distinct()
 
 
 def linked_copies(members: DataFrame, threshold: float, tile: int) -> DataFrame:
@@ -239,7 +250,7 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "v
     for attempt in range(retries + 1):
         met = first_graph(nodes, range(attempt * orders, (attempt + 1) * orders), block, k, threshold)
         state = descended(nodes, met, state, k, longest, threshold, settled)
-        found = base.stored(components(state[1]).select("node", "component"), "components")
+        found = base.stored(components(links_of(state[1])).select("node", "component"), "components")
         share = audited(nodes, found, threshold, audit)
         if share >= target:
             break
