@@ -35,8 +35,8 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = katz.scored(read(spark, sf_dir, "documents"), base.remainder("doc_id", 10) == 0, base.new_path(spark, "katz"), order=2)
-    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    rows = katz.scored(read(spark, sf_dir, "documents"), base.remainder("doc_id", 10) == 0, base.new_path(spark, "katz"), order=3)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "discount")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
