@@ -2,7 +2,8 @@
 
 A text's number of tokens is the sum of its pre-tokens' numbers, since byte-level merges never cross the borders that the
 tokenizer's pattern draws. First tier: a table of the corpus' frequent pre-tokens and their lengths in tokens, broadcast to all
-tasks. Second tier: what the table lacks is encoded by the library, many pre-tokens at once, and kept in the worker's cache.
+tasks. Second tier: what the table lacks is encoded by the library, many pre-tokens at once, and kept in the worker's cache, which begins
+with the table and is set back to it when it is full.
 
 No pre-token is ever the key of a shuffle. The table comes from all texts: each task summarises its pre-tokens' counts in a
 bounded number of counters (Misra-Gries; whatever makes up more than a ``frequent``-th of a task's pre-tokens has one), and the
@@ -36,11 +37,21 @@ from pyspark.sql import functions as F
 
 from . import base
 
-#: Pre-tokens of byte-level BPE, as the public tokenizer's pattern has them (fixed value).
-PRE_TOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Anything but characters that every edition of Unicode puts in the same class: printable ASCII and its white space, letters and
 #: signs of Latin, Greek and Cyrillic, punctuation, kana, the first block of Chinese characters, Korean syllables.
 UNSURE = re.compile("[^\t\n\v\f\r -~¡-¬®-ȳΑ-ΡΣ-ώЀ-ҁ‐-‧‰-⁞ぁ-ゔァ-ヺ一-龥가-힣]")
+
+
+def _of(kind: str) -> str:
+    """The sure characters of a class of Unicode, as ranges within brackets."""
+    found = {c for c in map(chr, range(0xD800)) if regex.fullmatch(kind, c) and not UNSURE.search(c)}
+    begins, ends = (sorted(c for c in found if chr(ord(c) + by) not in found) for by in (-1, 1))
+    return "".join(f"{a}-{b}" for a, b in zip(begins, ends, strict=True))
+
+
+LETTER, NUMBER = _of(r"\p{L}"), _of(r"\p{N}")
+#: Pre-tokens of byte-level BPE in sure characters, as the public tokenizer's pattern has them (fixed value).
+PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
 CUT = re.compile("[!-~](?=[ \t\n\v\f\r])")
 #: Characters of a stretch; pre-tokens looked up at once; entries of a worker's cache and their longest text.
 STRETCH, TOGETHER, KEPT, KEPT_CHARS = 1 << 15, 1 << 16, 200_000, 48
@@ -127,15 +138,15 @@ class Library:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.added = re.compile("|".join(re.escape(t["content"]) for t in told["added_tokens"]) or "(?!)")
-        self.cache: dict[str, int] = {}
+        self.added = [t["content"] for t in told["added_tokens"]]
+        self.known: dict[str, int] = {}
 
     def lengths(self, parts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def whole(self, part: str) -> bool:
         """Must the library see this stretch as it is?"""
-        return bool(UNSURE.search(part) or self.added.search(part))
+        return bool(UNSURE.search(part)) or any(a in part for a in self.added)
 
 
 @lru_cache(maxsize=2)
@@ -144,17 +155,6 @@ def library(path: str) -> Library:
     return Library(path)
 
 
-class Tiers(dict):
-    """Lengths of frequent pre-tokens; those of others are looked up in the worker's cache."""
-
-    def __init__(self, entries: Iterator[tuple[str, int]], others: dict[str, int]):
-        super().__init__(entries)
-        self.others = others
-
-    def __missing__(self, word: str) -> int:
-        return self.others[word]
-
-
 def broadcast_lengths(docs: DataFrame, path: str, k: int = FREQUENT) -> Broadcast:
     """The first tier, packed: pre-tokens as one text, their numbers of tokens as 16-bit integers."""
     words = list(frequent_words(docs, k))
@@ -169,21 +169,24 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, frequent: i
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = library(tokenizer)
         words, lengths = first.value
-        table = Tiers(zip(words.split("\0"), np.frombuffer(lengths, np.uint16).tolist(), strict=True) if words else iter(()), work.cache)
+        frequent = dict(zip(words.split("\0"), np.frombuffer(lengths, np.uint16).tolist(), strict=True)) if words else {}
+        known = work.known
+        known.update(frequent)
         waiting: list[tuple[int, list[str]]] = []
         totals = np.zeros(0, np.int64)
 
         def look_up() -> None:
-            unknown = set().union(*(w for _, w in waiting)).difference(table, work.cache)
-            work.cache.update(zip(unknown, work.lengths(list(unknown)), strict=True))
+            misses = list(set().union(*(w for _, w in waiting)).difference(known))
+            known.update(zip(misses, work.lengths(misses), strict=True))
             for i, found in waiting:
-                totals[i] += sum(map(table.__getitem__, found))
+                totals[i] += sum(map(known.__getitem__, found))
             waiting.clear()
-            for w in unknown:
+            for w in misses:
                 if len(w) > KEPT_CHARS:
-                    del work.cache[w]
-            if len(work.cache) > KEPT:
-                work.cache.clear()
+                    del known[w]
+            if len(known) > KEPT + len(frequent):
+                known.clear()
+                known.update(frequent)
 
         for b in batches:
             totals, held = np.zeros(b.num_rows, np.int64), 0
