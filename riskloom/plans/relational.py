@@ -255,11 +255,11 @@ def three_way_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     then what the alias knows."""
     t = table(spark, sf_dir, "part")
     items = t.selectExpr("p_partkey as item", "p_brand as ecosystem", "p_type as package_name", "p_size || '.' || (p_partkey % 7) as version")
-    packs = t.where("p_partkey % 4 = 0").selectExpr("p_partkey as package_id", "string(p_partkey) as advisory_id", "p_brand as ecosystem", "p_type as package_name")
-    heads = t.where("p_partkey % 4 = 0").selectExpr("string(p_partkey) as advisory_id", "case when p_partkey % 12 = 0 then 1 end as withdrawn_at", "case when p_partkey % 8 = 0 then 'C' || p_partkey end as cve_id", "string(p_partkey + 2) as alias_id", "case when p_size > 20 then 'HIGH' end as severity")
-    spans = t.where("p_partkey % 4 = 0").selectExpr("p_partkey as package_id", "'SEMVER' as range_type", "(p_size - 3) || '.2' as introduced", "(p_size + 3) || '.1' as fixed", "cast(null as string) as last_affected")
-    listed = t.where("p_partkey % 4 = 0").selectExpr("p_partkey as package_id", "p_size || '.3' as version")
-    aliases = t.where("p_partkey % 2 = 0").selectExpr("string(p_partkey) as advisory_id", "case when p_partkey % 3 = 0 then 'A' || p_partkey end as cve_id", "'LOW' as severity")
+    packs = t.selectExpr("p_partkey as package_id", "string(p_partkey) as advisory_id", "p_brand as ecosystem", "p_type as package_name")
+    heads = t.selectExpr("string(p_partkey) as advisory_id", "case when p_partkey % 12 = 0 then 1 end as withdrawn_at", "case when p_partkey % 8 = 0 then 'C' || p_partkey end as cve_id", "string(p_partkey + 2) as alias_id", "case when p_size > 20 then 'HIGH' end as severity")
+    spans = t.selectExpr("p_partkey as package_id", "'SEMVER' as range_type", "(p_size - 3) || '.2' as introduced", "(p_size + 3) || '.1' as fixed", "cast(null as string) as last_affected")
+    listed = t.selectExpr("p_partkey as package_id", "p_size || '.3' as version")
+    aliases = t.selectExpr("string(p_partkey * 2) as advisory_id", "case when p_partkey % 3 = 0 then 'A' || (p_partkey * 2) end as cve_id", "'LOW' as severity")
     columns = ["item", "advisory_id", "cve_id", "alias_id", "severity"]
     by_range = findings.affected_by_ranges(items, packs, heads, spans).select(*columns, F.lit("range").alias("by"))
     by_version = findings.affected_by_versions(items, packs, heads, listed).select(*columns, F.lit("version").alias("by"))
@@ -267,10 +267,10 @@ def three_way_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 THREE_WAY_SQL = """
-with i as (select p_partkey as item, p_brand, p_type, [p_size::bigint, (p_partkey % 7)::bigint] as v from part), a as (select * from part where p_partkey % 4 = 0 and p_partkey % 12 <> 0),
+with i as (select p_partkey as item, p_brand, p_type, [p_size::bigint, (p_partkey % 7)::bigint] as v from part), a as (select * from part where p_partkey % 12 <> 0),
 m as (select item, p_partkey as advisory_id, p_size, 'range' as found_by from i join a using (p_brand, p_type) where p_size >= 3 and v >= [p_size::bigint - 3, 2] and v < [p_size::bigint + 3, 1] union all select item, p_partkey, p_size, 'version' from i join a using (p_brand, p_type) where v = [p_size::bigint, 3])
-select item, advisory_id, found_by, coalesce(case when advisory_id % 8 = 0 then 'C' || advisory_id end, case when x.p_partkey % 3 = 0 then 'A' || x.p_partkey end, (advisory_id + 2)::varchar) as finding, coalesce(case when m.p_size > 20 then 'HIGH' end, case when x.p_partkey is not null then 'LOW' end) as severity
-from m left join (select p_partkey from part where p_partkey % 2 = 0) x on x.p_partkey = advisory_id + 2
+select item, advisory_id, found_by, coalesce(case when advisory_id % 8 = 0 then 'C' || advisory_id end, case when x.p_partkey % 3 = 0 then 'A' || (x.p_partkey * 2) end, (advisory_id + 2)::varchar) as finding, coalesce(case when m.p_size > 20 then 'HIGH' end, case when x.p_partkey is not null then 'LOW' end) as severity
+from m left join part x on x.p_partkey * 2 = advisory_id + 2
 """
 
 
@@ -280,13 +280,13 @@ def vendor_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").selectExpr("o_orderkey as advisory_id", "case when o_orderstatus = 'F' then 'final' else 'draft' end as tracking_status")
     heads = l.select("vendor", "advisory_id").distinct().join(o, "advisory_id")
     products = l.groupBy("vendor", "advisory_id", "product_id").agg(F.min("l_linenumber").alias("line"))
-    asked = products.where("product_id % 10 = 0").select((F.col("product_id") * 2).alias("item"), "vendor", "advisory_id", "product_id")
+    asked = products.select((F.col("product_id") * 2).alias("item"), "vendor", "advisory_id", "product_id")
     return findings.vendor_statuses(asked, l.drop("l_linenumber"), heads, products)
 
 
 STATUS_SQL = """
 with l as (select l_suppkey % 5 as vendor, l_orderkey as advisory_id, l_partkey as product_id, l_returnflag as status, l_linenumber from lineitem), p as (select vendor, advisory_id, product_id, min(l_linenumber) as line from l group by all)
-select product_id * 2 as item, vendor, advisory_id, product_id, status, line from l join p using (vendor, advisory_id, product_id) join orders on o_orderkey = advisory_id where o_orderstatus = 'F' and product_id % 10 = 0
+select product_id * 2 as item, vendor, advisory_id, product_id, status, line from l join p using (vendor, advisory_id, product_id) join orders on o_orderkey = advisory_id where o_orderstatus = 'F'
 """
 
 
@@ -334,17 +334,17 @@ select item, group_id, artifact_id, n_versions, confirmed, rn from (select *, ro
 def mirror_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions of asked packages in the mirror, versions as registries write them, and which ecosystems have entries."""
     t = table(spark, sf_dir, "part")
-    mirror = t.where("p_partkey % 2 = 0").selectExpr("'crates.io' as ecosystem", "'x-' || p_partkey as package_name", "array(cast(p_size as string), null) as versions")
-    asked = t.where("p_partkey % 3 = 0").selectExpr("'crates.io' as ecosystem", "'X__' || p_partkey as name")
+    mirror = t.selectExpr("'crates.io' as ecosystem", "'x-' || p_partkey as package_name", "array(cast(p_size as string), null) as versions")
+    asked = t.selectExpr("'crates.io' as ecosystem", "'X__' || (p_partkey * 2) as name")
     found = registries.versions_of(mirror, asked).select("name", F.array_join("versions", ",").alias("versions"))
-    there = registries.has_entries(mirror, t.where("p_partkey < 4").selectExpr("case p_partkey when 0 then 'crates.io' when 1 then 'npm' when 2 then 'hex' else 'go' end as ecosystem", "p_partkey <> 2 as enabled"))
+    there = registries.has_entries(mirror, t.selectExpr("case p_partkey % 4 when 0 then 'crates.io' when 1 then 'npm' when 2 then 'hex' else 'go' end as ecosystem", "p_partkey % 4 <> 2 as enabled").distinct())
     xml = F.concat(F.lit("<metadata><versioning><versions><version>1.0</version><version>"), F.col("p_size").cast("string"), F.lit("</version></versions></versioning></metadata>"))
-    lines = t.where("p_partkey % 5 = 0").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("name"), F.array_join(F.concat(registries.versions_of_metadata(xml), registries.versions_of_lines(F.concat(F.lit(" v1 \n\nv"), F.col("p_size").cast("string")))), ",").alias("versions"))
+    lines = t.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("name"), F.array_join(F.concat(registries.versions_of_metadata(xml), registries.versions_of_lines(F.concat(F.lit(" v1 \n\nv"), F.col("p_size").cast("string")))), ",").alias("versions"))
     return found.unionByName(there.select(F.col("ecosystem").alias("name"), F.col("has_entries").cast("string").alias("versions"))).unionByName(lines)
 
 
 MIRROR_SQL = """
-select 'X__' || p_partkey as name, p_size::varchar as versions from part where p_partkey % 6 = 0 union all select * from (values ('crates.io', 'true'), ('npm', 'false'), ('go', 'false')) union all select 'm' || p_partkey, '1.0,' || p_size || ',v1,v' || p_size from part where p_partkey % 5 = 0
+select 'X__' || p_partkey as name, p_size::varchar as versions from part where p_partkey in (select p_partkey * 2 from part) union all select * from (values ('crates.io', 'true'), ('npm', 'false'), ('go', 'false')) union all select 'm' || p_partkey, '1.0,' || p_size || ',v1,v' || p_size from part
 """
 
 
@@ -453,7 +453,7 @@ def record_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = t.where("p_size % 3 = 1").selectExpr("p_partkey as item", "p_name as name", "case when p_partkey % 2 = 0 then p_type end as vendor", "p_size || '.' || (p_partkey % 7) as version", "p_brand")
     entry = "named_struct('vendor', {v}, 'product', {p}, 'package_name', cast(null as string), 'versions', array(named_struct('version', {a}, 'status', 'affected', 'lessThan', {b}, 'lessThanOrEqual', cast(null as string))))"
     first, second = entry.format(v="p_type", p="replace(p_name, ' ', '_')", a="'1'", b="p_size || '.5'"), entry.format(v="''", p="split_part(p_name, ' ', 2)", a="p_size || '.1'", b="'*'")
-    records = t.where("p_partkey % 3 = 0").selectExpr("cast(p_partkey as string) as record", f"array({first}, {second}) as affected", "p_brand as of")
+    records = t.selectExpr("cast(p_partkey as string) as record", f"array({first}, {second}) as affected", "p_brand as of")
     candidates = items.join(records, F.col("p_brand") == F.col("of")).select("item", "record")
     return findings.record_matches(items, candidates, records)
 
@@ -461,7 +461,7 @@ def record_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Names have two words, of which the last has four letters or more where it is not "ring".
 MATCHES_SQL = """
 with i as (select p_partkey as item, p_brand, trim(lower(coalesce(case when p_partkey % 2 = 0 then p_type end || ' ', '') || p_name)) as q, p_size, [p_size::bigint, (p_partkey % 7)::bigint] as v from part where p_size % 3 = 1),
-r as (select p_partkey::varchar as record, p_brand, lower(p_type || ' ' || p_name) as c1, lower(split_part(p_name, ' ', 2)) as c2, p_size as s from part where p_partkey % 3 = 0),
+r as (select p_partkey::varchar as record, p_brand, lower(p_type || ' ' || p_name) as c1, lower(split_part(p_name, ' ', 2)) as c2, p_size as s from part),
 m as (select *, (contains(q, c1) or contains(c1, q) or len(list_filter(string_split(q, ' '), lambda w: length(w) >= 4 and contains(c1, w))) > 0) and v >= [1, 0] and v < [s::bigint, 5] as first,
   (contains(q, c2) or contains(c2, q) or len(list_filter(string_split(q, ' '), lambda w: length(w) >= 4 and contains(c2, w))) > 0) and v >= [s::bigint, 1] as second from i join r using (p_brand))
 select item, record, case when first then s || '.5' end as fixed_version from m where first or second
