@@ -102,21 +102,25 @@ def cascade(items: DataFrame, catalogue: DataFrame, further: DataFrame) -> DataF
 
     Candidates of the last stage, and those of the relaxed rule, want a verdict before they are trusted (``relaxed``).
     """
-    columns = ["item", "stage", "rn", "id", "relaxed"]
-    local = cut(settled(_similar(items, items, catalogue, F.col("name"))).withColumn("stage", F.lit(0)).select(*columns))
-    rest = items.where("ecosystem is null").join(local, "item", "left_anti")
+    shaped = lambda rows, stage: rows.withColumn("stage", F.lit(stage)).select("item", "stage", "rn", "id", "relaxed")
+    out = cut(shaped(settled(_similar(items, items, catalogue, F.col("name"))), 0))
+    rest = items.where("ecosystem is null").join(out, "item", "left_anti")
     pairs = fuzzy.pair_search(rest, catalogue).select("item", "id", "targets", "cataloged_row_count", "max_major")
-    exact = cut(settled(identify.explained_candidates(_pool(pairs, rest, catalogue, F.col("name")))).withColumn("stage", F.lit(1)).select(*columns))
-    rest = cut(rest.join(exact, "item", "left_anti"))
+    exact = cut(shaped(settled(identify.explained_candidates(_pool(pairs, rest, catalogue, F.col("name")))), 1))
+    out, rest = out.unionByName(exact), cut(rest.join(exact, "item", "left_anti"))
+    if rest.isEmpty():
+        return out
     met = cut(keyword_rows(fewer_words(rest), further))
-    wider = catalogue.unionByName(further.join(met.select("id").distinct(), "id", "left_semi").select(*catalogue.columns))
     words = best(met, ["item"], F.col("id")).select("item", "query")
-    lucky = rest.join(words, "item")
-    again = settled(_similar(lucky, lucky, wider, F.col("name")))
-    again = cut(again.withColumn("stage", F.lit(2)).select(*columns))
-    still = lucky.join(again, "item", "left_anti")
-    by_words = settled(_similar(still.withColumn("name", F.col("query")), still, wider, F.col("name")))
-    by_words = by_words.withColumn("stage", F.lit(2)).select(*columns)
-    unlucky = rest.join(words, "item", "left_anti")
-    variants = _variants(unlucky, catalogue).withColumns({"stage": F.lit(3), "relaxed": F.lit(True)}).select(*columns)
-    return local.unionByName(exact).unionByName(again).unionByName(by_words).unionByName(variants)
+    lucky = cut(rest.join(words, "item"))
+    if not lucky.isEmpty():
+        wider = catalogue.unionByName(further.join(met.select("id").distinct(), "id", "left_semi").select(*catalogue.columns))
+        again = cut(shaped(settled(_similar(lucky, lucky, wider, F.col("name"))), 2))
+        still = cut(lucky.join(again, "item", "left_anti"))
+        out = out.unionByName(again)
+        if not still.isEmpty():  # whose name alone is not similar to what its words found
+            out = out.unionByName(shaped(settled(_similar(still.withColumn("name", F.col("query")), still, wider, F.col("name"))), 2))
+    unlucky = cut(rest.join(words, "item", "left_anti"))
+    if not unlucky.isEmpty():
+        out = out.unionByName(shaped(_variants(unlucky, catalogue).withColumn("relaxed", F.lit(True)), 3))
+    return out

@@ -25,11 +25,12 @@ def capped_view(findings: DataFrame, item: str, component: str, version: str, ad
     """
     own = F.col(component).isNull()
     group = Window.partitionBy(item, own)
+    # The wider window first: its exchange by item serves the windows by item and kind, too.
     ranked = (
         findings.withColumn("score", score)
+        .withColumn("component_rank", F.dense_rank().over(Window.partitionBy(item).orderBy(F.asc_nulls_last(component), F.asc_nulls_last(version))))
         .withColumn("total_count", F.count("*").over(group))
         .withColumn("rn", F.row_number().over(group.orderBy(F.desc_nulls_first("score"), F.asc_nulls_last(tie))))
-        .withColumn("component_rank", F.dense_rank().over(Window.partitionBy(item).orderBy(F.asc_nulls_last(component), F.asc_nulls_last(version))))
     )
     kept = (own & (F.col("rn") <= limit)) | (~own & (F.col("component_rank") <= limit)) | F.col(advisory).isNotNull()
     return ranked.where(kept)

@@ -183,7 +183,7 @@ def fallback_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item's candidates of the first stage of the fallback cascade that has any: names that are similar, that hold a pair
     of words, that fewer words find in a further table, or that nothing finds."""
     t = table(spark, sf_dir, "part")
-    name = "case p_partkey % 300 when 0 then p_name when 100 then split_part(p_name, ' ', 2) || ' of many quite different long words' else 'unit ' || p_size || ' deluxe edition' end as name"
+    name = "case p_partkey % 300 when 0 then p_name when 100 then split_part(p_name, ' ', 2) || ' of many quite different long words' when 200 then case when p_size % 2 = 0 then upper(left(p_name, 1) || left(split_part(p_name, ' ', 2), 1)) || ' ' || p_type else p_type || ' unit ' || p_size || ' deluxe' end else p_type || ' unit ' || p_size || ' deluxe' end as name"
     vendor = "case p_partkey % 300 when 200 then p_type else replace(p_brand, '#', ' ') end as vendor"
     items = t.where("p_partkey % 100 = 0").selectExpr("p_partkey as item", name, vendor, "p_size || '.0' as version", "cast(null as string) as declared", "case when p_size % 9 = 0 then 'npm' end as ecosystem")
     short = _named(t.selectExpr("p_partkey + 1000000000 as id", "case when p_size % 2 = 0 then 'brand' else split_part(p_brand, '#', 2) end as vendor", "lower(split_part(p_name, ' ', 2)) as product", "p_type as title", *columns(_NAMED)))
