@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from riskloom.llm import base, counts
+from riskloom.llm import base, counts, queries
 from riskloom.llm.queries import tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -67,3 +67,9 @@ def test_empty_table_and_other_vocabularies(spark):
     assert counts.token_counts(docs, tokenizer_path(VOCABULARY)).collect() == []
     with pytest.raises(ValueError):
         counts.library(tokenizer_path("word_bpe_49k.json"))
+
+
+def test_registered_query_like_the_library(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in queries.read(spark, sf, "documents").select("doc_id", "text").collect()]
+    assert sorted((tuple(r) for r in queries.op13_token_counts(spark, sf).collect()), key=repr) == want(rows, 1024)

@@ -5,7 +5,7 @@ from math import log10
 
 import pytest
 
-from riskloom.llm import base, katz
+from riskloom.llm import base, katz, queries
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -77,3 +77,16 @@ def test_nothing_to_learn_from_and_empty(spark):
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     assert score(spark, [(only, "a b")])[0][2:] == (3, 0, 0, 0.0, 0.0)
     assert score(spark, []) == []
+
+
+def test_registered_query_like_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in queries.read(spark, sf, "documents").select("doc_id", "text").collect()]
+    out = queries.op3_katz(spark, sf).collect()
+    got = sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in out)
+    want = brute(rows, 2)
+    assert [x[:5] for x in got] == [x[:5] for x in want]
+    for a, b in zip(got, want, strict=True):
+        assert a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
+    (used,) = {r["discount"] for r in out}
+    assert used

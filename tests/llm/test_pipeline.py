@@ -77,5 +77,7 @@ def test_intermediate_tables_go(spark):
 
     folder = base.shared_dir(spark).removeprefix("file:")
     before = set(glob.glob(f"{folder}/riskloom/*"))
+    settings = {k: spark.conf.get(k, None) for k in (base.ROWS, base.BYTES, base.CLEANUP)}
     corpus_pipeline.run(spark, SF)
+    assert {k: spark.conf.get(k, None) for k in settings} == settings
     assert [x.rsplit("/", 1)[1].split("-")[0] for x in set(glob.glob(f"{folder}/riskloom/*")) - before] == ["pipeline"]
