@@ -79,11 +79,11 @@ def test_all_words_one_letter_from_each_other(spark):
 
 def test_long_runs(spark):
     r = random.Random(5)
-    long = "ab" * 40_000
-    words = [long, long[:500] + long[501:], long[:-1] + "c", long[:70_000] + "É" + long[70_001:]]
-    for size in (60, 63, 64, 65, 66, 90, 200):
+    long = "ab" * 10_000
+    words = [long, long[:500] + long[501:], long[:-1] + "c", long[:17_000] + "É" + long[17_001:]]
+    for size in (63, 64, 65, 66, 200):
         w = "".join(r.choice("abÉ") for _ in range(size))
-        for _ in range(30):
+        for _ in range(12):
             at, c = r.randrange(size + 1), r.choice("abÉz")
             words += [w, w[:at] + c + w[at:], w[:at] + w[at + 1 :], w[:at] + c + w[at + 1 :], w[:at] + c + w[at:-1] + "z"]
     words += ["x" * k for k in range(60, 70)] + ["q" * 100 + "x" * k for k in range(5)]
