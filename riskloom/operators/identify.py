@@ -3,6 +3,8 @@ and joins for all items at once."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,10 +72,37 @@ def first_confirmed(tried: DataFrame, confirmed: str = "confirmed") -> DataFrame
     return best(tried, ["item"], F.when(F.col(confirmed), 0).otherwise(1), F.col("rn"))
 
 
-def vendor_explains(vendor: Column, token: Column) -> Column:
+class Form(NamedTuple):
+    """A normalised text, its words, and its words run together."""
+
+    text: Column
+    words: Column
+    run: Column
+
+
+def formed(form: Column | Form) -> Form:
+    if isinstance(form, Form):
+        return form
+    words = text.tokens(form)
+    return Form(form, words, F.array_join(words, ""))
+
+
+def with_forms(rows: DataFrame, **forms: Column) -> tuple[DataFrame, list[Form]]:
+    """``rows`` with columns of each form, worked out once a row however many rules look at them."""
+    rows = rows.withColumns({f"{k}_form": v for k, v in forms.items()})
+    rows = rows.withColumns({f"{k}_words": text.tokens(F.col(f"{k}_form")) for k in forms})
+    rows = rows.withColumns({f"{k}_run": F.array_join(f"{k}_words", "") for k in forms})
+    return rows, [Form(F.col(f"{k}_form"), F.col(f"{k}_words"), F.col(f"{k}_run")) for k in forms]
+
+
+def without_forms(rows: DataFrame, *forms: str) -> DataFrame:
+    return rows.drop(*(f"{k}_{part}" for k in forms for part in ("form", "words", "run")))
+
+
+def vendor_explains(vendor: Column | Form, token: Column) -> Column:
     """Whether a word is one of a normalised vendor's, or four letters or more of its words run together."""
-    words = text.tokens(vendor)
-    return (vendor != "") & (token != "") & (F.array_contains(words, token) | ((F.length(token) >= 4) & F.array_join(words, "").contains(token)))
+    vendor = formed(vendor)
+    return (vendor.text != "") & (token != "") & (F.array_contains(vendor.words, token) | ((F.length(token) >= 4) & vendor.run.contains(token)))
 
 
 def _ends(words: Column) -> Column:
@@ -89,7 +118,31 @@ def aligned_words(query: Column, candidate: Column) -> Column:
     return F.when((F.size(query) > 0) & (F.size(candidate) > 0) & whole.startswith(spelled) & (place > 0), place.cast("int")).otherwise(-1)
 
 
-def explains(item_vendor: Column, query: Column, cpe_vendor: Column, candidate_text: Column, is_title: bool, strict: bool) -> Column:
+def _all_explained(words: Column, vendor: Form) -> Column:
+    return F.forall(words, lambda w: vendor_explains(vendor, w))
+
+
+def consumed_words(item_vendor: Form, query: Form, candidate: Form, is_title: bool) -> Column:
+    """How many of the candidate's words are used up where the query is spelled: by its first words or, for products and queries of
+    several words, by words after those that the item's vendor explains; -1 if it is not."""
+    q, c = query.words, candidate.words
+    here = aligned_words(q, c)
+    if is_title:
+        return here
+    starts = F.when(F.size(c) > 1, F.sequence(F.lit(1), F.greatest(F.size(c) - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    later = F.filter(F.transform(starts, lambda s: F.struct(s.alias("s"), aligned_words(q, F.slice(c, s + 1, F.size(c))).alias("n"))), lambda x: x["n"] > 0)
+    later = F.filter(later, lambda x: _all_explained(F.slice(c, F.lit(1), x["s"]), item_vendor))
+    return F.when((here <= 0) & (F.size(q) >= 2), F.coalesce(F.try_element_at(later, F.lit(1))["n"], F.lit(-1))).otherwise(here)
+
+
+def contradicting(item_vendor: Form, cpe_vendor: Form) -> Column:
+    """Whether two vendors are both named and neither holds the other or a word that explains it."""
+    held = item_vendor.text.contains(cpe_vendor.text) | cpe_vendor.text.contains(item_vendor.text)
+    apart = (item_vendor.text != "") & (cpe_vendor.text != "") & ~held
+    return apart & ~F.exists(item_vendor.words, lambda w: vendor_explains(cpe_vendor, w)) & ~F.exists(cpe_vendor.words, lambda w: vendor_explains(item_vendor, w))
+
+
+def explains(item_vendor: Column | Form, query: Column | Form, cpe_vendor: Column | Form, candidate: Column | Form, is_title: bool, strict: bool, consumed: Column | None = None, at: Column | None = None, contradicts: Column | None = None) -> Column:
     """Whether a candidate's product or title explains an item's name (all normalised by ``text.containment_form``).
 
     Either the name is spelled by the candidate's words, from the first on or, for products, from a later one if the
@@ -97,36 +150,33 @@ def explains(item_vendor: Column, query: Column, cpe_vendor: Column, candidate_t
     that the item's vendor explains. Or the candidate's words stand in the name, the words before explained by its
     vendor, or by the form of a Java coordinate; a single candidate word at the beginning (if ``strict``), or one whose
     vendor contradicts the item's, wants the words behind explained too.
+
+    ``consumed``, ``at`` and ``contradicts`` are columns of ``consumed_words``, ``text.run_at`` and ``contradicting`` where these
+    are there already.
     """
-    q, c = text.tokens(query), text.tokens(candidate_text)
-    all_explained = lambda words, vendor: F.forall(words, lambda w: vendor_explains(vendor, w))
-    here = aligned_words(q, c)
-    starts = F.when(F.size(c) > 1, F.sequence(F.lit(1), F.greatest(F.size(c) - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    later = F.filter(F.transform(starts, lambda s: F.struct(s.alias("s"), aligned_words(q, F.slice(c, s + 1, F.size(c))).alias("n"))), lambda x: x["n"] > 0)
-    later = F.filter(later, lambda x: all_explained(F.slice(c, F.lit(1), x["s"]), item_vendor))
-    consumed = here if is_title else F.when((here <= 0) & (F.size(q) >= 2), F.coalesce(F.try_element_at(later, F.lit(1))["n"], F.lit(-1))).otherwise(here)
-    spelled = (consumed > 0) & ((consumed > F.size(text.tokens(cpe_vendor))) if is_title else F.lit(True))
+    iv, query, cv, candidate = (formed(x) for x in (item_vendor, query, cpe_vendor, candidate))
+    q, c = query.words, candidate.words
+    consumed = consumed_words(iv, query, candidate, is_title) if consumed is None else consumed
+    spelled = (consumed > 0) & ((consumed > F.size(cv.words)) if is_title else F.lit(True))
     left = F.slice(c, F.greatest(consumed, F.lit(0)) + 1, F.size(c))
-    spelled = spelled & ~((F.size(q) == 1) & (item_vendor != "") & ~all_explained(left, item_vendor))
-    at = text.run_at(q, c)
+    spelled = spelled & ~((F.size(q) == 1) & (iv.text != "") & ~_all_explained(left, iv))
+    at = text.run_at(q, c) if at is None else at
     before, behind = F.slice(q, F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(q, F.greatest(at, F.lit(1)) + F.size(c), F.size(q))
-    both = lambda a, b: a.contains(b) | b.contains(a)
-    contradicts = (item_vendor != "") & (cpe_vendor != "") & ~both(item_vendor, cpe_vendor)
-    contradicts = contradicts & ~F.exists(text.tokens(item_vendor), lambda w: vendor_explains(cpe_vendor, w)) & ~F.exists(text.tokens(cpe_vendor), lambda w: vendor_explains(item_vendor, w))
-    tail = text.tokens(F.regexp_extract(query, "^[^:]*:(.+)$", 1))
+    contradicts = contradicting(iv, cv) if contradicts is None else contradicts
+    tail = text.tokens(F.regexp_extract(query.text, "^[^:]*:(.+)$", 1))
     related = F.exists(tail, lambda a: F.exists(c, lambda b: (a == b) | ((F.length(a) >= 4) & b.contains(a)) | ((F.length(b) >= 4) & a.contains(b))))
-    coordinate = (at > 1) & F.try_element_at(q, F.lit(1)).isin(*REVERSED_HOSTS) & ~contradicts & query.rlike(r"^[a-z0-9]+(?:\.[a-z0-9]+)+:.+$") & related
-    inside = (at > 0) & (coordinate | all_explained(before, cpe_vendor))
+    coordinate = (at > 1) & F.try_element_at(q, F.lit(1)).isin(*REVERSED_HOSTS) & ~contradicts & query.text.rlike(r"^[a-z0-9]+(?:\.[a-z0-9]+)+:.+$") & related
+    inside = (at > 0) & (coordinate | _all_explained(before, cv))
     wants_behind = (F.lit(strict) & (at == 1) & (F.size(c) == 1)) | ((at == 1) & contradicts)
-    inside = inside & (~wants_behind | all_explained(behind, cpe_vendor))
-    usable = (query != "") & (candidate_text != "") & (F.size(q) > 0) & (F.size(c) > 0)
+    inside = inside & (~wants_behind | _all_explained(behind, cv))
+    usable = (query.text != "") & (candidate.text != "") & (F.size(q) > 0) & (F.size(c) > 0)
     return F.coalesce(usable & (spelled | inside), F.lit(False))
 
 
-def contained(slug: Column, wider: Column) -> Column:
+def contained(slug: Column | Form, wider: Column | Form) -> Column:
     """Whether a slug stands in another one, as a text or by all its words."""
-    words = text.tokens(slug)
-    return (slug != "") & (wider != "") & (wider.contains(slug) | ((F.size(words) > 0) & (F.size(F.array_except(words, text.tokens(wider))) == 0)))
+    slug, wider = formed(slug), formed(wider)
+    return (slug.text != "") & (wider.text != "") & (wider.text.contains(slug.text) | ((F.size(slug.words) > 0) & (F.size(F.array_except(slug.words, wider.words)) == 0)))
 
 
 def explained_candidates(pool: DataFrame) -> DataFrame:
@@ -136,16 +186,19 @@ def explained_candidates(pool: DataFrame) -> DataFrame:
     where no candidate passes, the relaxed rule.
     """
     form = text.containment_form
-    query, iv, cv = form(text.without_host(F.col("name"))), form(F.col("item_vendor")), form(F.col("vendor"))
-    product, title = form(F.col("product")), form(F.col("title"))
-    passes = lambda strict: explains(iv, query, cv, product, False, strict) | explains(iv, query, cv, title, True, strict)
-    rows = pool.withColumn("strict_ok", passes(True)).withColumn("relaxed_ok", passes(False))
-    exact = F.col("strict_ok") & (F.array_join(text.tokens(query), " ") == F.array_join(text.tokens(product), " ")) & (cv != "")
+    rows, (query, iv, cv, product, title) = with_forms(pool, query=form(text.without_host(F.col("name"))), own=form(F.col("item_vendor")), cpe=form(F.col("vendor")), product=form(F.col("product")), title=form(F.col("title")))
+    sides = (("product", product, False), ("title", title, True))
+    about = {f"{k}_consumed": consumed_words(iv, query, c, is_title) for k, c, is_title in sides} | {f"{k}_at": text.run_at(query.words, c.words) for k, c, _ in sides}
+    rows = rows.withColumns(about | {"contradicts": contradicting(iv, cv)})
+    by = lambda strict, k, c, is_title: explains(iv, query, cv, c, is_title, strict, F.col(f"{k}_consumed"), F.col(f"{k}_at"), F.col("contradicts"))
+    rows = rows.withColumns({f"{name}_ok": by(strict, *sides[0]) | by(strict, *sides[1]) for name, strict in (("strict", True), ("relaxed", False))})
+    exact = F.col("strict_ok") & (F.array_join(query.words, " ") == F.array_join(product.words, " ")) & (cv.text != "")
     group = Window.partitionBy("item")
-    rows = rows.withColumn("anchors", F.collect_set(F.when(exact, cv)).over(group)).withColumn("any_strict", F.max("strict_ok").over(group))
-    rescued = F.array_contains("anchors", cv) & contained(query, product)
+    rows = rows.withColumn("anchors", F.collect_set(F.when(exact, cv.text)).over(group)).withColumn("any_strict", F.max("strict_ok").over(group))
+    rescued = F.array_contains("anchors", cv.text) & contained(query, product)
     kept = F.when(F.col("any_strict"), F.col("strict_ok") | rescued).otherwise(F.col("relaxed_ok"))
-    return rows.where(kept).withColumn("relaxed", ~F.col("any_strict")).drop("strict_ok", "relaxed_ok", "anchors", "any_strict")
+    rows = without_forms(rows.where(kept).withColumn("relaxed", ~F.col("any_strict")), "query", "own", "cpe", "product", "title")
+    return rows.drop("strict_ok", "relaxed_ok", "anchors", "any_strict", *about, "contradicts")
 
 
 def passes_target(targets: Column, declared: Column, has_registry: Column) -> Column:
@@ -172,17 +225,17 @@ def ranked_candidates(pool: DataFrame, limit: int = 10) -> DataFrame:
     form = text.containment_form
     parted = pool.where(F.col("part").isin("a", "o")).withColumn("has_app", F.max(F.col("part") == "a").over(Window.partitionBy("item")))
     once = best(parted.where((F.col("part") == "a") | ~F.col("has_app")), ["item", "vendor", "product"], F.col("id"))
-    query, slug, cv, iv = form(F.col("name")), form(F.col("product")), form(F.col("vendor")), form(F.col("item_vendor"))
-    rows = once.withColumns({"slug": slug, "slug_words": text.tokens(slug), "cpe_vendor": cv, "coverage": versions.coverage(F.col("max_major"), F.col("item_version"))})
-    siblings = F.collect_list(F.struct("id", "slug", "slug_words", "cpe_vendor", "coverage")).over(Window.partitionBy("item"))
+    rows, (query, slug, cv, iv) = with_forms(once, query=form(F.col("name")), slug=form(F.col("product")), cpe=form(F.col("vendor")), own=form(F.col("item_vendor")))
+    rows = rows.withColumn("coverage", versions.coverage(F.col("max_major"), F.col("item_version")))
+    siblings = F.collect_list(F.struct("id", "slug_form", "slug_words", "slug_run", "cpe_form", "coverage")).over(Window.partitionBy("item"))
     rows = rows.withColumn("siblings", siblings)
-    current = F.exists("siblings", lambda s: (s["id"] != F.col("id")) & (s["coverage"] == 0) & (s["cpe_vendor"] == F.col("cpe_vendor")) & contained(F.col("slug"), s["slug"]))
-    outranked = (F.col("coverage") == 2) & (F.col("cpe_vendor") != "") & current
+    current = F.exists("siblings", lambda s: (s["id"] != F.col("id")) & (s["coverage"] == 0) & (s["cpe_form"] == cv.text) & contained(slug, Form(s["slug_form"], s["slug_words"], s["slug_run"])))
+    outranked = (F.col("coverage") == 2) & (cv.text != "") & current
     derived = F.exists("siblings", lambda s: (F.size(s["slug_words"]) > 0) & (F.size(s["slug_words"]) < F.size("slug_words")) & (F.slice("slug_words", F.lit(1), F.size(s["slug_words"])) == s["slug_words"]))
-    exact = (F.array_join(text.tokens(query), " ") == F.array_join("slug_words", " ")) & ~outranked
+    exact = (F.array_join(query.words, " ") == F.array_join("slug_words", " ")) & ~outranked
     target = F.coalesce(F.array_contains("targets", packages.target_software(F.col("ecosystem"))), F.lit(False))
-    unexplained = F.size(F.filter(text.tokens(query), lambda w: ~F.array_contains("slug_words", w) & ~vendor_explains(F.col("cpe_vendor"), w)))
-    agrees = (iv != "") & (F.col("cpe_vendor") != "") & (iv.contains(F.col("cpe_vendor")) | F.col("cpe_vendor").contains(iv))
+    unexplained = F.size(F.filter(query.words, lambda w: ~F.array_contains("slug_words", w) & ~vendor_explains(cv, w)))
+    agrees = (iv.text != "") & (cv.text != "") & (iv.text.contains(cv.text) | cv.text.contains(iv.text))
     order = {"not_exact": ~exact, "other_target": ~target, "unexplained": unexplained, "coverage": F.col("coverage"), "other_vendor": ~agrees, "derived": derived, "fewer_rows": -F.coalesce("cataloged_row_count", F.lit(0))}
     rows = rows.withColumns({f"by_{k}": v for k, v in order.items()})
     rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("item").orderBy(*(F.col(f"by_{k}").asc() for k in order), F.asc("id"))))

@@ -80,6 +80,19 @@ def test_explained_names(spark, item_vendor, name, vendor, product, title, stric
     assert one(spark, of(True), of(False)) == [strict, relaxed]
 
 
+def test_forms_as_columns(spark):
+    """A table's candidates pass by the same rule as single names, and no column of the forms is left."""
+    form = text.containment_form
+    names = [("", "visual studio code"), ("google", "android studio"), (None, "org.apache.tomcat:tomcat-core"), ("apache", "log4j core"), ("", ""), ("microsoft", "word"), ("", "android studio")]
+    products = [("microsoft", "visual_studio_code", ""), ("google", "android", None), ("apache", "tomcat", "apache tomcat"), ("apache", "apache_log4j_core", ""), ("microsoft", "other", "microsoft word"), (None, None, None)]
+    items = [(10 * i + j, n, v, j, *p) for i, (v, n) in enumerate(names) for j, p in enumerate(products)]  # one candidate an item
+    pool = spark.createDataFrame(items, "item int, name string, item_vendor string, id int, vendor string, product string, title string")
+    rule = lambda s: identify.explains(form("item_vendor"), form(text.without_host(F.col("name"))), form("vendor"), form("product"), False, s) | identify.explains(form("item_vendor"), form(text.without_host(F.col("name"))), form("vendor"), form("title"), True, s)
+    want = {(r["item"], not r["a"]) for r in pool.select("item", rule(True).alias("a"), rule(False).alias("b")).collect() if r["a"] or r["b"]}
+    got = identify.explained_candidates(pool)
+    assert got.columns == [*pool.columns, "relaxed"] and {(r["item"], r["relaxed"]) for r in got.collect()} == want and len(want) > 4
+
+
 def brute_prefix(query, candidate):
     spelled = ""
     for i, w in enumerate(candidate):
