@@ -4,8 +4,9 @@ Vectors are dealt to shards of about ``shard_rows``: first to the nearest of som
 then by a hash where a centroid has more. A task builds its shard's graph, and the graph is stored as one Parquet row of
 flat arrays: ids, vectors, and for each level the nodes' neighbours as 32-bit integers. Rows enter a graph in batches: each
 batch searches the graph so far for its neighbours, keeps a spread-out few of them and links both ways; a node whose list
-overflows keeps its best. Searching reads the stored rows: a task loads one shard's arrays for one block of queries of
-bounded size, and the shards' answers are merged.
+overflows keeps its best. Searching reads the stored rows: a task holds one block of queries of bounded size, mostly of
+one cell, loads the arrays of one visited shard after the other, and merges their answers as it goes. A block's shards are dealt to a
+fixed number of lanes, so the answers stored are at most ``n`` of each query and lane, however many shards are visited.
 
 A query visits the shards of its nearest centroids only. How many is audited in each run: a bounded sample of queries is
 compared with all rows, and so many centroids are visited as hold ``target`` of the sample's true neighbours, all of them
@@ -34,7 +35,7 @@ from . import base, vectors
 
 #: Rows of a shard; neighbours on a level (twice as many on the lowest); width of the search while building and asking.
 SHARD_ROWS, LINKS, BUILD_WIDTH, SEARCH_WIDTH = 4096, 16, 96, 192
-BATCH, QUERY_BLOCK = 128, 1024
+BATCH, QUERY_BLOCK, LANES = 128, 1024, 4
 #: Most centroids, rows they are fitted on, queries of the audit, and the share of true neighbours that visits must hold.
 CENTROIDS, SAMPLE, AUDIT, TARGET = 1024, 16_384, 128, 0.97
 
@@ -271,62 +272,93 @@ def visits(rows: DataFrame, asked: DataFrame, means: np.ndarray, n: int, audit:
     return int(needed[math.ceil(target * len(needed)) - 1])
 
 
-def search(index: DataFrame, asked: DataFrame, means: np.ndarray, probes: int, n: int, width: int, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, vec_id, score): the answers of the shards that each query visits."""
+class Block:
+    """A block of queries (query_id, vector, cells) and the best ``n`` answers of each so far."""
+
+    def __init__(self, rows: pa.Table, n: int, width: int):
+        self.n, self.width = n, max(width, n + 1)
+        self.own, self.vectors = rows["query_id"].to_numpy(), vectors.matrix(rows["vector"])
+        offsets, self.cells = base.list_parts(rows["cells"])
+        self.owner = np.repeat(np.arange(len(self.own)), np.diff(offsets))
+        self.ids = [np.empty(0, np.int64)] * len(self.own)
+        self.scores = [np.empty(0)] * len(self.own)
+
+    def ask(self, cell: int, shard: pa.Table) -> None:
+        """Merges the answers of a shard for the queries that visit its cell."""
+        who = np.unique(self.owner[self.cells == cell])
+        ids = shard["ids"][0].as_py()
+        data = shard["vectors"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        graph = Graph.stored(data, [np.array(t, np.int32) for t in shard["levels"][0].as_py()])
+        for at in range(0, len(who), BATCH):
+            some = who[at : at + BATCH]
+            for i, nodes, scores in zip(some.tolist(), *graph.nearest(self.vectors[some], self.width), strict=True):
+                left, got_v, got_s = self.n, [], []
+                for node, s in zip(nodes, scores, strict=True):
+                    # the shard's answer is cut where a lower score begins and enough are there
+                    if node < 0 or (left <= 0 and s < got_s[-1]):
+                        break
+                    mine = [x for x in ids[node] if x != self.own[i]]
+                    got_v += mine
+                    got_s += [s] * len(mine)
+                    left -= len(mine)
+                self._merge(i, np.array(got_v, np.int64), np.array(got_s, np.float64))
+
+    def _merge(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Keeps the best ``n`` different answers, ties by the smaller id."""
+        ids, scores = np.concatenate((self.ids[i], ids)), np.concatenate((self.scores[i], scores))
+        order = np.lexsort((ids, -scores))
+        ids, scores = ids[order], scores[order]
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1])
+        self.ids[i], self.scores[i] = ids[new][: self.n], scores[new][: self.n]
+
+    def answers(self) -> pa.RecordBatch:
+        who = np.repeat(self.own, [len(x) for x in self.ids])
+        return pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate(self.ids)), pa.array(np.concatenate(self.scores))], ["query_id", "vec_id", "score"])
+
+
+def search(index: DataFrame, asked: DataFrame, means: np.ndarray, probes: int, n: int, width: int, query_block: int = QUERY_BLOCK, lanes: int = LANES) -> DataFrame:
+    """(query_id, vec_id, score): the answers of the shards that each query visits, the best ``n`` of each lane."""
     spark = index.sparkSession
     shared = spark.sparkContext.broadcast(means)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = pa.compute.list_value_length(b["vector"]).to_numpy()
-            fits = sizes == shared.value.shape[1]
-            for chosen, cells in ((np.flatnonzero(~fits), None), (np.flatnonzero(fits), shared.value)):
-                if not len(chosen):
-                    continue
-                if cells is None:
-                    who, cell = chosen, np.full(len(chosen), -1)
-                else:
-                    near = np.argsort(-(vectors.matrix(b["vector"].take(pa.array(chosen))) @ cells.T), axis=1)[:, :probes]
-                    who, cell = np.repeat(chosen, near.shape[1]), near.ravel()
-                at = pa.array(who)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(sizes[who].astype(np.int32)), b["vec_id"].take(at), b["vector"].take(at)], ["cell", "size", "query_id", "vector"])
-
-    routed = asked.mapInArrow(route, "cell int, size int, query_id long, vector array<double>")
-    # A shard's queries in blocks of bounded size; its arrays go to each block.
-    blocks = routed.groupBy("cell", "size").agg(F.ceil(F.count("*") / query_block).cast("int").alias("blocks"))
-    shards = index.select("cell", "sub", "size").join(blocks, ["cell", "size"])
-    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    keys = ["cell", "sub", "size", "block"]
-    left = index.join(shards, ["cell", "sub", "size"]).select("*", each).drop("blocks")
-    right = routed.withColumn("h", F.xxhash64("query_id", "vector")).join(shards, ["cell", "size"]).withColumn("block", F.pmod("h", "blocks").cast("int")).select(*keys, "query_id", "vector")
-
-    def ask(key: tuple, graphs: pa.Table, queries: pa.Table) -> pa.Table:
-        out_q, out_v, out_s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float64)]
-        if graphs.num_rows and queries.num_rows:
-            row = graphs.slice(0, 1)
-            ids = row["ids"][0].as_py()
-            data = row["vectors"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-            graph = Graph.stored(data, [np.array(t, np.int32) for t in row["levels"][0].as_py()])
-            q, own = vectors.matrix(queries["vector"]), queries["query_id"].to_pylist()
-            for at in range(0, len(q), BATCH):
-                found, score = graph.nearest(q[at : at + BATCH], max(width, n + 1))
-                for i, query in enumerate(own[at : at + BATCH]):
-                    left, got_v, got_s = n, [], []
-                    for node, s in zip(found[i], score[i], strict=True):
-                        # the shard's answer is cut where a lower score begins and enough are there
-                        if node < 0 or (left <= 0 and s < got_s[-1]):
-                            break
-                        mine = [x for x in ids[node] if x != query]
-                        got_v += mine
-                        got_s += [s] * len(mine)
-                        left -= len(mine)
-                    out_q.append(np.full(len(got_v), query))
-                    out_v.append(np.array(got_v, np.int64))
-                    out_s.append(np.array(got_s, np.float64))
-        return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
-
-    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # both come from ``shards``
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(ask, "query_id long, vec_id long, score double")
+            sizes = pa.compute.list_value_length(b["vector"]).to_numpy().astype(np.int32)
+            near = np.full((b.num_rows, min(probes, len(shared.value))), -1, np.int32)
+            fits = np.flatnonzero(sizes == shared.value.shape[1])
+            if len(fits):
+                near[fits] = np.argsort(-(vectors.matrix(b["vector"].take(pa.array(fits))) @ shared.value.T), axis=1)[:, : near.shape[1]]
+            lists = base.list_array(near.ravel(), np.full(len(near), near.shape[1]), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(near[:, 0]), pa.array(sizes), b["vec_id"], b["vector"], lists], ["first", "size", "query_id", "vector", "cells"])
+
+    routed = base.stored(asked.mapInArrow(route, "first int, size int, query_id long, vector array<double>, cells array<int>"), "routed")
+    # Blocks of about ``query_block`` queries: cells one after another, large cells cut by a hash. One row a cell is numbered here.
+    counted = routed.groupBy("size", "first").agg(F.count("*").alias("of"))
+    counted = counted.withColumn("before", F.sum("of").over(Window.partitionBy("size").orderBy("first")) - F.col("of"))
+    place = F.col("before") + F.pmod(F.xxhash64("query_id", "vector"), "of")
+    queries = base.stored(routed.join(counted, ["size", "first"]).select("size", F.floor(place / query_block).alias("block"), "query_id", "vector", "cells"), "queries")
+    wanted = queries.groupBy("size", "block").agg(F.array_distinct(F.flatten(F.collect_set("cells"))).alias("cells")).select("size", "block", F.explode("cells").alias("cell"))
+    # A block's queries come before its shards in each lane.
+    left = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).withColumns({"kind": F.lit(0), "cell": F.lit(-2), "sub": F.lit(-1)})
+    right = index.join(wanted, ["size", "cell"]).withColumns({"lane": F.pmod(F.hash("cell", "sub"), F.lit(lanes)), "kind": F.lit(1)})
+    keys = ["size", "block", "lane", "kind", "cell", "sub"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.unionByName(right, allowMissingColumns=True).repartition(parts, *keys[:3]).sortWithinPartitions(*keys)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
+        for key, rows in base.runs_of(batches, keys):
+            if key[3] == 0:
+                if block is not None:
+                    yield block.answers()
+                block = Block(rows, n, width)
+            else:
+                block.ask(key[4], rows)
+        if block is not None:
+            yield block.answers()
+
+    return dealt.select(*keys, "query_id", "vector", "cells", "ids", "vectors", "levels").mapInArrow(base.rested(ask), "query_id long, vec_id long, score double")
 
 
 @base.scoped("nearest")
