@@ -56,7 +56,7 @@ class Language:
     words: frozenset[str]
 
     def of(self, value: str) -> float:
-        codes = [min(ord(c), CHARACTERS) for c in value[:512]]
+        codes = [min(ord(c), CHARACTERS) for c in value]
         return float(self.surprise[codes[:-1], codes[1:]].mean()) if len(codes) > 1 else 0.0
 
     def covered(self, value: str) -> int:

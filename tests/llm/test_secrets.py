@@ -89,3 +89,13 @@ def test_overlaps_of_many_candidates():
         want += [(at + s, n) for s, n in secrets.candidates(line)]
         at += len(line) + 1
     assert got == want
+
+
+def test_the_surprise_of_a_value_counts_all_of_it():
+    import numpy as np
+
+    from riskloom.llm import secrets
+
+    surprise = np.zeros((secrets.CHARACTERS + 1,) * 2)
+    surprise[ord("b"), ord("b")] = 8.0
+    assert secrets.Language(surprise, frozenset()).of("a" * 513 + "b" * 513) > 3.9
