@@ -160,3 +160,10 @@ def test_registry_bodies(spark):
     row = spark.createDataFrame([(xml, "<!DOCTYPE x>" + xml, "v1\n\n v2 \n", '{"versions": {"1.0": {}, "b": 1}}')], "a string, b string, c string, d string")
     got = row.select(registries.versions_of_metadata(F.col("a")), registries.versions_of_metadata(F.col("b")), registries.versions_of_lines(F.col("c")), registries.versions_of_keys(F.col("d"), "versions"), registries.versions_of_keys(F.col("d"), "none")).first()
     assert list(got) == [["1", "2"], [], ["v1", "v2"], ["1.0", "b"], []]
+
+
+def test_a_tree_in_pieces_is_one_document(spark):
+    leaf = lambda i, n: {"category": "product_name", "name": n, "product": {"product_id": i, "name": n}}
+    pieces = [("a", 1, json.dumps({"product_tree": {"branches": [leaf("OS", "Linux"), leaf("P1", "x")]}})), ("a", 2, json.dumps({"product_tree": {"branches": [leaf("OS", "Linux"), leaf("P2", "x"), leaf("P3", "y")]}}))]
+    got = documents.product_trees(spark.createDataFrame(pieces, "advisory_id string, n int, json string"), piece_col="n")
+    assert sorted(tuple(r) for r in got.select("product_id", "component", "canonical").collect()) == [("OS", "Linux", "OS"), ("P1", "x", "P1"), ("P2", "x", "P1"), ("P3", "y", "P3")]
