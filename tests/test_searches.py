@@ -1,5 +1,7 @@
 """Searches over many copies of few names: the work is that of the names, the lists are those of the rows."""
 
+from pyspark.sql import functions as F
+
 from riskloom.functions import trigrams
 from riskloom.operators import cascade, fuzzy
 
@@ -65,3 +67,16 @@ def test_initialisms_and_keywords_of_copies(spark):
     asked = spark.range(300).selectExpr("id as item", "0 as attempt", "'small unit' as query")
     met = cascade.keyword_rows(asked, rows)
     assert most_rows(met) < 20_000 and {r["id"] for r in met.where("item = 3").collect()} == set(range(5, 25))
+
+
+def test_two_columns_read_titles_once(spark):
+    """Their rows are told apart once, whatever the search does with them; names are not cut into trigrams for every row."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = spark.range(900).selectExpr("id", "cast(id % 2 as string) as vendor", "'blue ring' as product", "'blue rings' as title", "'cpe:2.3:a:v:p:1:*:*:*:*:*:*:*' as cpe")
+    rows = rows.withColumn("title", F.udf(counted, "string")("title"))
+    assert fuzzy.two_column_search(items(spark, 3), rows).count() == 6 and seen.value == 900
