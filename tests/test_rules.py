@@ -129,3 +129,14 @@ def test_display_order_and_quoting(spark):
     rows = spark.createDataFrame([(1, "b", 1), (1, None, 2), (1, None, 1), (0, "a", 5), (1, "a", 9)], "item int, component string, rn int")
     assert [tuple(r) for r in rows.orderBy(*rank.display_order("item", "component")).collect()] == [(0, "a", 5), (1, None, 1), (1, None, 2), (1, "a", 9), (1, "b", 1)]
     assert one(spark, text.escaped_query(lit('a+b "c" && d:/')), text.cut_text(lit("ab"), 1), text.tracking_id(lit("2024/rhsa-1_2_3.json")), text.tracking_id(lit("x.txt"))) == ['a\\+b \\"c\\" \\&& d\\:\\/', "a", "RHSA-1:2_3", None]
+
+
+def test_items_that_say_the_same(spark):
+    """Rules look at one of equal items, nulls being equal, and at all of a pool's items in as many tasks as a shuffle has."""
+    rows = [(5, "a", None), (3, "a", None), (4, "a", "v"), (7, "b", None)]
+    first, every = identify.asked_once(spark.createDataFrame(rows, "item int, name string, item_vendor string"), ["name", "item_vendor"])
+    assert sorted(r["item"] for r in first.collect()) == [3, 4, 7]
+    assert sorted(tuple(r) for r in every.collect()) == [(3, 3), (4, 4), (5, 3), (7, 7)]
+    pool = spark.range(500).selectExpr("cast(id as int) as item", "'foo' as name", "'acme' as item_vendor", "id", "'acme' as vendor", "'foo' as product", "'' as title")
+    found = identify.explained_candidates(pool)
+    assert found.rdd.getNumPartitions() == 8 and found.count() == 500
