@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import base, cutting
 from .vocabulary import KEPT, encoder
 
-BATCH = 256
+BATCH = 512
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, drops_space: bool, size: int, kept: int = KEPT) -> DataFrame:
@@ -32,16 +32,15 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, drops_space: bool, siz
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, row = encoder(tokenizer, drops_space, kept), TaskContext.get().partitionId() << 33
-        end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 b = whole.slice(at, BATCH)
-                coded = [x + end for x in work.encode(b["text"].to_pylist())]
-                n = np.array([len(x) // 4 for x in coded], np.int64)
-                crcs = [[zlib.crc32(x[i : i + 4 * size]) for i in range(0, len(x), 4 * size)] for x in coded]
-                rows = np.arange(row, row + len(coded))
-                row += len(coded)
-                yield pa.RecordBatch.from_arrays([pa.array(rows), b["doc_id"].cast(pa.int64()), pa.array(n), base.list_array(np.frombuffer(b"".join(coded), "<i4"), n, pa.int32()), pa.array(crcs, pa.list_(pa.int64()))], ["row", "doc_id", "n", "ids", "crcs"])
+                ids, n = work.ids(b["text"], end_id)
+                raw, ends = memoryview(ids).cast("B"), np.cumsum(n).tolist()
+                crcs = [[zlib.crc32(raw[4 * i : 4 * min(i + size, j)]) for i in range(j - k, j, size)] for j, k in zip(ends, n.tolist(), strict=True)]
+                rows = np.arange(row, row + len(n))
+                row += len(n)
+                yield pa.RecordBatch.from_arrays([pa.array(rows), b["doc_id"].cast(pa.int64()), pa.array(n), base.list_array(ids, n, pa.int32()), pa.array(crcs, pa.list_(pa.int64()))], ["row", "doc_id", "n", "ids", "crcs"])
 
     return docs.mapInArrow(base.rested(run), "row long, doc_id long, n long, ids array<int>, crcs array<long>")
 

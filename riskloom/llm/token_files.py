@@ -27,7 +27,7 @@ from .vocabulary import encoder
 
 SCHEMA = "doc_id long, shard int, start long, n_tokens long, ids array<int>"
 #: How many documents are encoded at once.
-BATCH = 256
+BATCH = 512
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, drops_space: bool) -> DataFrame:
@@ -35,16 +35,13 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, drops_space:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, shard, start = encoder(tokenizer, drops_space), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
-                coded = [x + end for x in work.encode(batch["text"].to_pylist())]
-                lengths = np.array([len(x) // 4 for x in coded], np.int64)
+                ids, lengths = work.ids(batch["text"], end_id)
                 starts = start + np.concatenate(([0], np.cumsum(lengths)[:-1]))
                 start += int(lengths.sum())
-                ids = np.frombuffer(b"".join(coded), "<i4")
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(np.full(len(coded), shard, np.int32)), pa.array(starts), pa.array(lengths), base.list_array(ids, lengths, pa.int32())], ["doc_id", "shard", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(np.full(len(lengths), shard, np.int32)), pa.array(starts), pa.array(lengths), base.list_array(ids, lengths, pa.int32())], ["doc_id", "shard", "start", "n_tokens", "ids"])
 
     return docs.mapInArrow(encode, SCHEMA)
 
