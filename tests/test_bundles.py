@@ -1,12 +1,14 @@
 """Joins by way of bundles against plain joins, and queries of which every row is asked for."""
 
+from test_expansion import exchanged, parts, without_broadcasts
+
 from riskloom.operators import bundles
 from riskloom.plans import catalogue
 
 
 def test_bundles_join_like_rows(spark):
-    left = spark.range(700).selectExpr("case when id % 50 > 0 then if(id < 400, 'hot', string(id % 9)) end as k", "id % 2 as l", "if(id % 3 > 0, id, null) as item", "string(id) as word")
-    right = spark.range(400).selectExpr("case when id % 40 > 0 then if(id < 300, 'hot', string(id % 9)) end as k", "id % 2 as l", "if(id % 7 > 0, id, null) as other")
+    left = spark.range(900).selectExpr("case when id % 50 > 0 then if(id < 600, 'hot', string(id % 9)) end as k", "id % 2 as l", "if(id % 3 > 0, id, null) as item", "string(id) as word")
+    right = spark.range(200).selectExpr("case when id % 40 > 0 then if(id < 150, 'hot', string(id % 9)) end as k", "id % 2 as l", "if(id % 7 > 0, id, null) as other")
     for keys in (["k"], ["k", "l"]):
         rows = lambda df: sorted(map(repr, df.select("k", "item", "word", "other").collect()))  # noqa: E731, B023
         a, b = (left, right) if "l" in keys else (left.drop("l"), right.drop("l"))
@@ -21,3 +23,9 @@ def test_first_stage_asks_for_every_part(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
     got = sorted((r["item"], r["id"], r["stage"]) for r in catalogue.queries()["first_stage"](spark, str(tmp_path)).collect())
     assert got == [(0, 1, 0), (1, 0, 0), (2, 3, 1), (3, 2, 1), (4, 2, 2), (6, 7, 2), (7, 6, 2)]
+
+
+def test_ranges_meet_as_bundles(spark, tmp_path):
+    folder = parts(spark, tmp_path, 6000)
+    n, rows = without_broadcasts(spark, lambda: exchanged(catalogue.queries()["version_range_join"](spark, folder)))
+    assert n > 5_000_000 // 4 and rows < 30_000
