@@ -29,3 +29,9 @@ def test_ranges_meet_as_bundles(spark, tmp_path):
     folder = parts(spark, tmp_path, 6000)
     n, rows = without_broadcasts(spark, lambda: exchanged(catalogue.queries()["version_range_join"](spark, folder)))
     assert n > 5_000_000 // 4 and rows < 30_000
+
+
+def test_catalogue_entries_meet_as_bundles(spark, tmp_path):
+    folder = parts(spark, tmp_path, 3000)
+    n, rows = without_broadcasts(spark, lambda: exchanged(catalogue.queries()["cpe_range_match"](spark, folder)))
+    assert n > 300_000 and rows < 40_000
