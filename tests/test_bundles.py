@@ -35,3 +35,9 @@ def test_catalogue_entries_meet_as_bundles(spark, tmp_path):
     folder = parts(spark, tmp_path, 3000)
     n, rows = without_broadcasts(spark, lambda: exchanged(catalogue.queries()["cpe_range_match"](spark, folder)))
     assert n > 300_000 and rows < 40_000
+
+
+def test_advisories_meet_as_bundles(spark, tmp_path):
+    folder = parts(spark, tmp_path)
+    n, rows = without_broadcasts(spark, lambda: exchanged(catalogue.queries()["three_way_inner"](spark, folder)))
+    assert n == 230_555 and rows < 25_000
