@@ -2,7 +2,7 @@
 
 from test_expansion import exchanged, parts, without_broadcasts
 
-from riskloom.operators import bundles
+from riskloom.operators import bundles, findings
 from riskloom.plans import catalogue
 
 
@@ -13,7 +13,7 @@ def test_bundles_join_like_rows(spark):
         rows = lambda df: sorted(map(repr, df.select("k", "item", "word", "other").collect()))  # noqa: E731, B023
         a, b = (left, right) if "l" in keys else (left.drop("l"), right.drop("l"))
         want = rows(a.join(b, keys))
-        assert rows(bundles.join(a, b, keys)) == want and len(want) > 50_000
+        assert rows(bundles.join(a, b, keys)) == want and len(want) > 40_000
     assert bundles.join(left.where("false"), right, ["k", "l"]).count() == 0
     assert bundles.bundled(left, ["k"], "_").selectExpr("max(size(_item)) as n").first()["n"] == bundles.MOST
 
@@ -41,3 +41,16 @@ def test_advisories_meet_as_bundles(spark, tmp_path):
     folder = parts(spark, tmp_path)
     n, rows = without_broadcasts(spark, lambda: exchanged(catalogue.queries()["three_way_inner"](spark, folder)))
     assert n == 230_555 and rows < 25_000
+
+
+def test_records_of_many_entries_and_alike_rows(spark):
+    v = "array<struct<version:string,status:string,lessThan:string,lessThanOrEqual:string>>"
+    entry = lambda i, product: ("", product, None, [("1", "affected", str(i), None)])
+    long = [entry(i, "thing" if i < 70 else "ring") for i in range(1, 73)]  # the first plausible entry is the 70th
+    records = [("a", 1, long)] + [(f"b{i}", 1, [entry(9, "ring")]) for i in range(700)]
+    items = [(i, 1, "ring", None, "3") for i in range(3)] + [(3, 1, "ring", None, "71"), (4, 2, "ring", None, "3")]
+    df = spark.createDataFrame(records, f"record string, k int, affected array<struct<vendor:string,product:string,package_name:string,versions:{v}>>")
+    got = findings.record_matches(spark.createDataFrame(items, "item int, k int, name string, vendor string, version string"), df, ["k"])
+    want = [(i, r, b) for i in range(3) for r, b in [("a", "70"), *((f"b{j}", "9") for j in range(700))]] + [(3, "a", "72")]
+    n, rows = without_broadcasts(spark, lambda: exchanged(got))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and n == len(want) and rows < 100
